@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, packing
+from . import language, media, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op8_language_id": language.op8_language_id,
         "page_languages": language.page_languages,
+        "op9_avi_mjpeg": media.op9_avi_mjpeg,
         "op10_length_buckets": packing.op10_length_buckets,
     }
 
