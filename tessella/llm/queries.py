@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, media, packing
+from . import bpe, language, media, packing, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_byte_bpe": bpe.op4_byte_bpe,
+        "op7_wavelet_tokens": tokens.op7_wavelet_tokens,
         "op8_language_id": language.op8_language_id,
         "page_languages": language.page_languages,
         "op9_avi_mjpeg": media.op9_avi_mjpeg,
