@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, media, packing, tokens, warc
+from . import bpe, language, media, minhash, packing, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_warc": warc.op3_warc,
         "op4_byte_bpe": bpe.op4_byte_bpe,
+        "op6_minhash": minhash.op6_minhash,
         "op7_wavelet_tokens": tokens.op7_wavelet_tokens,
         "op8_language_id": language.op8_language_id,
         "page_languages": language.page_languages,
