@@ -7,10 +7,12 @@ make sure that two sketches with COMMON hashes in common meet (prefix filtering)
 COMMON of K in common with a probability under 2e-6. That keeps what many texts share, such as frequent passages, from
 forming long lists.
 
-Overlaps are taken from the lists in two steps. First every member is paired with LEADERS members of its list, so a list
-gives as many pairs as it has members, and links found unite most of each group of near copies. Then the pairs that could
-still unite two components are formed: those with a member outside a list's largest component. Pairs pass the estimate
-of their similarity from the sketch of the union, then full sets are compared exactly. Components follow.
+Classes that share a list go on with their full sets. Their lists are narrowed by exact prefix filtering: a set takes part
+with its rarest shingles only, as many as any set of the needed similarity must share one of. Overlaps are taken from these
+lists in two steps. First every member is paired with LEADERS members of its list, so a list gives as many pairs as it has
+members, and links found unite most of each group of near copies. Then the pairs that could still unite two components are
+formed: those with a member outside a list's largest component. Pairs pass the estimate of their similarity from the
+sketch of the union, then full sets are compared exactly. Components follow.
 """
 
 from __future__ import annotations
@@ -61,35 +63,56 @@ def sketches(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
 
 
 def lists(classes: DataFrame, k: int = K, common: int = COMMON) -> DataFrame:
-    """Inverted lists: v (a retained hash), rep and n of the classes that keep it among their rarest."""
-    held = classes.select("rep", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
+    """Inverted lists: v (a retained hash), rep, n and at of the classes that keep it among their rarest."""
+    m = F.size("sketch")
+    return _rarest(classes.select("rep", "n", m.alias("m"), (m - F.least(F.lit(common), _needed(m)) + 1).alias("prefix"), F.explode("sketch").alias("v")))
+
+
+def exact_lists(sets: DataFrame) -> DataFrame:
+    """The same of full sets: v (a shingle), rep, n and at (v's place, from 1, in rep's shingles from the rarest). Sets of the needed similarity share one of these lists at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, offsets, data in slices(batches, "set"):
+            n = np.diff(offsets) // 8
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), n)), pa.array(np.repeat(n, n)), pa.array(np.frombuffer(data.tobytes(), np.int64))], ["rep", "n", "v"])
+
+    n = F.col("n")
+    return _rarest(sets.select("rep", "set").mapInArrow(run, "rep long, n long, v long").select("rep", "n", n.alias("m"), (n - _needed(n) + 1).alias("prefix"), "v"))
+
+
+def _needed(n):
+    """Of n hashes, those that a set of the needed similarity has too."""
+    return F.ceil(n * PERCENT / 100)
+
+
+def _rarest(held: DataFrame) -> DataFrame:
+    """held: v, rep, n, m (values of rep) and prefix. The rows of each rep's prefix rarest values that others have too."""
     shared = held.groupBy("v").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     own = Window.partitionBy("rep")
     ranked = held.join(shared, "v").withColumn("q", F.row_number().over(own.orderBy("f", "v"))).withColumn("twice", F.count(F.lit(1)).over(own))
-    prefix = F.col("m") - F.least(F.lit(common), F.ceil(F.col("m") * (PERCENT / 100))) + 1
-    return ranked.where(F.col("m") - F.col("twice") + F.col("q") <= prefix).select("v", "rep", "n")
+    return ranked.withColumn("at", F.expr("m - twice + q")).where("at <= prefix").select("v", "rep", "n", "at")
 
 
-def _near(a: str, b: str):
-    """Sizes that the threshold allows."""
-    return F.expr(f"least({a}, {b}) * 100 >= greatest({a}, {b}) * {PERCENT}")
+def _near(n: str, at: str, m: str, be: str):
+    """What the threshold allows for sets of n and m shingles whose first common one is at these places: those after it must do."""
+    return F.expr(f"(1 + least({n} - {at}, {m} - {be})) * {100 + PERCENT} >= ({n} + {m}) * {PERCENT}")
 
 
 def leader_pairs(entries: DataFrame) -> DataFrame:
     """(hub, b): each member of a list with LEADERS members."""
-    chosen = entries.groupBy("v").agg(F.array(*(F.min(F.struct(F.xxhash64("rep", F.lit(i)).alias("h"), F.col("rep").alias("hub"), F.col("n").alias("hub_n"))) for i in range(LEADERS))).alias("leaders"))
-    pairs = entries.join(chosen, "v").select("rep", "n", F.explode("leaders").alias("l")).select(F.col("l.hub").alias("hub"), F.col("l.hub_n").alias("hub_n"), F.col("rep").alias("b"), "n")
-    return pairs.where("hub <> b").where(_near("n", "hub_n")).select("hub", "b").distinct()
+    chosen = entries.groupBy("v").agg(F.array(*(F.min(F.struct(F.xxhash64("rep", F.lit(i)).alias("h"), F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("at").alias("hub_at"))) for i in range(LEADERS))).alias("leaders"))
+    pairs = entries.join(chosen, "v").select("rep", "n", "at", F.explode("leaders").alias("l")).select("l.*", F.col("rep").alias("b"), "n", "at")
+    return pairs.where("hub <> b").where(_near("n", "at", "hub_n", "hub_at")).select("hub", "b").distinct()
 
 
 def open_pairs(entries: DataFrame, component: DataFrame) -> DataFrame:
     """(hub, b): pairs of a list in two components, one member outside the list's largest."""
-    own = materialize(entries.join(component.withColumnRenamed("id", "rep"), "rep", "left").select("v", "rep", "n", F.coalesce("component_id", "rep").alias("c")), "listed")
+    own = materialize(entries.join(component.withColumnRenamed("id", "rep"), "rep", "left").select("v", "rep", "n", "at", F.coalesce("component_id", "rep").alias("c")), "listed")
     count = own.groupBy("v", "c").agg(F.count(F.lit(1)).alias("members"))
     major = count.groupBy("v").agg(F.max(F.struct("members", "c")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("v", F.col("most.c").alias("major"))
     rest = materialize(own.join(major, "v"), "open-lists")
-    some = rest.where("c <> major").select("v", F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("c").alias("b_c"))
-    cross = rest.join(some, "v").where("c <> b_c AND (c = major OR rep < b)").where(_near("n", "b_n"))
+    some = rest.where("c <> major").select("v", F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("at").alias("b_at"), F.col("c").alias("b_c"))
+    cross = rest.join(some, "v").where("c <> b_c AND (c = major OR rep < b)").where(_near("n", "at", "b_n", "b_at"))
     return cross.select(F.col("rep").alias("hub"), "b").distinct()
 
 
@@ -180,7 +203,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = materialize(classes, "classes")
     named = classes.where("rep IS NOT NULL")
     entries = materialize(lists(named), "lists")
-    sets = materialize(full_sets(docs, materialize(entries.select("rep").distinct(), "listed-ids")), "sets")
+    met = entries.groupBy("v").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("v")
+    sets = materialize(full_sets(docs, materialize(entries.join(met, "v", "left_semi").select("rep").distinct(), "listed-ids")), "sets")
+    entries = materialize(exact_lists(sets), "exact-lists")
     first = materialize(leader_pairs(entries), "leaders")
     links = verified(estimated(first, named), sets)
     so_far = components(links, "near")
