@@ -31,7 +31,7 @@ from .util import arrow_list, components, materialize, mix64, signed, slices, ta
 K, COMMON = 32, 12
 WORDS = 5
 PERCENT = 75
-LEADERS = 3
+LEADERS = 16
 #: Tables of at most so many rows of one or two ids are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
 #: A leader's set goes with so many others at most to one task's run.
