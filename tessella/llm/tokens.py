@@ -60,7 +60,7 @@ class Wavelet:
 
     @staticmethod
     def _ranks(planes: np.ndarray) -> np.ndarray:
-        each = _ONES[planes].reshape(len(planes), -1, SUPER // 8).sum(2, dtype=np.uint32) if planes.shape[1] else np.zeros((len(planes), 0), np.uint32)
+        each = np.bitwise_count(planes.view(np.uint64)).reshape(len(planes), -1, SUPER // 64).sum(2, dtype=np.uint32) if planes.shape[1] else np.zeros((len(planes), 0), np.uint32)
         out = np.zeros((len(planes), each.shape[1] + 1), np.uint32)
         np.cumsum(each, axis=1, out=out[:, 1:])
         return out
@@ -179,23 +179,99 @@ class Shard:
         return [k * BLOCK + i for k, b in enumerate(self.blocks) for i in b.occurrences(value)]
 
 
-_tokenizers: dict[str, object] = {}
+#: Encoded words that a worker keeps.
+KEEP = 700_000
 
 
-def tokenizer(path: str):
-    if path not in _tokenizers:
+class Words:
+    """Whole texts encoded by the tokenizers library, word by word.
+
+    The library splits a text before each space between two other than white characters, whatever surrounds it, and
+    encodes the parts by themselves. So a text is cut at these spaces, and each distinct word with its space goes to
+    the library once; texts with other white space beside a space go there whole.
+    """
+
+    _loaded: dict[str, Words] = {}
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _tokenizers[path] = t
-    return _tokenizers[path]
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True
+        size = self.library.get_vocab_size()
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        # in the byte-level alphabet a character is a byte
+        self.length = np.array([len(self.library.id_to_token(i) or "") for i in range(size)], np.int64)
+        self.words: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
 
+    @classmethod
+    def load(cls, path: str) -> Words:
+        if path not in cls._loaded:
+            cls._loaded[path] = cls(path)
+        return cls._loaded[path]
+
+    def whole(self, strings: list[str]) -> list[bytes]:
+        return [np.array(x.ids, self.kind).tobytes() for x in self.library.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Words are joined by spaces for the library; token lengths tell which ids are whose."""
+        for i in range(0, len(words), 2000):
+            part = words[i : i + 2000]
+            ids = np.array(self.library.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.cumsum([len(w.encode()) + 1 for w in part])
+            to = np.searchsorted(np.cumsum(self.length[ids]), ends) + 1
+            data, at = ids.tobytes(), 0
+            for w, b in zip(part, (to * self.kind.itemsize).tolist(), strict=True):
+                self.words[w], at = data[at:b], b
+
+    def encode(self, strings: list[str], offsets: np.ndarray, data: np.ndarray) -> list[bytes]:
+        """The ids of each text as bytes of self.kind; offsets and data are the texts' UTF-8."""
+        if len(self.words) > KEEP:
+            self.words.clear()
+        if len(self.heads) > KEEP:
+            self.heads.clear()
+        odd = np.zeros(len(strings), bool)
+        space = np.flatnonzero(data == 32)
+        if len(space):
+            pad = np.concatenate([np.full(3, 32, np.uint8), data, np.full(1, 32, np.uint8)])  # place i of data is i + 3
+            text = np.searchsorted(offsets, space, "right") - 1
+            bad = _WHITE[pad[space + 4]] | _WHITE_LAST[pad[space + 2]] | ((pad[space + 1] == 0xC2) & (pad[space + 2] < 0xA1)) | _WHITE_LEAD[pad[space]]
+            bad |= (space == offsets[text]) | (space + 1 == offsets[text + 1])
+            odd[text[bad]] = True
+        split = [s.split(" ") for s in strings]
+        sent = np.flatnonzero(odd).tolist()
+        for i in sent:
+            split[i] = [""]
+        new = set().union(*split).difference(self.words)
+        if new:
+            self._learn([w for w in new if w])
+            self.words[""] = b""
+        fresh = list({p[0] for p in split}.difference(self.heads))
+        if fresh:
+            self.heads.update(zip(fresh, self.whole(fresh), strict=True))
+        get, heads = self.words.__getitem__, self.heads
+        out = []
+        for p in split:
+            head = heads[p[0]]
+            p[0] = ""
+            out.append(head + b"".join(map(get, p)))
+        for i, ids in zip(sent, self.whole([strings[i] for i in sent]), strict=True):
+            out[i] = ids
+        return out
+
+
+def _bytes(*values: int) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(values)] = True
+    return out
 
-def token_ids(strings: list[str], path: str) -> list[np.ndarray]:
-    found = tokenizer(path).encode_batch_fast(strings, add_special_tokens=False)
-    return [np.array(x.ids, np.uint32) for x in found]
+
+# White space after a space: ASCII, or a first byte of what may be other white space. Before it: ASCII here, more bytes above.
+_WHITE = _bytes(*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3)
+_WHITE_LAST = _bytes(*range(9, 14), *range(28, 33))
+_WHITE_LEAD = _bytes(0xE1, 0xE2, 0xE3)
 
 
 def write_shards(docs: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -209,16 +285,16 @@ def write_shards(docs: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        coder = Words.load(path)
+        end = np.array([END], coder.kind).tobytes()
         ids, lengths, names = [], [], []
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                for x in token_ids([t or "" for t in part.column(1).to_pylist()], path):
-                    lengths.append(len(x) + 1)
-                    ids.append(np.append(x, np.uint32(END)).astype(np.uint16 if not len(x) or x.max() < 1 << 16 else np.uint32))
-                names.append(np.array([-(2**63) if d is None else d for d in part.column(0).to_pylist()], np.int64))
+        for part, offsets, data in slices(batches, "text"):
+            for x in coder.encode([t or "" for t in part.column(1).to_pylist()], offsets, data):
+                lengths.append(len(x) // coder.kind.itemsize + 1)
+                ids += (x, end)
+            names.append(np.array([-(2**63) if d is None else d for d in part.column(0).to_pylist()], np.int64))
         if lengths:
-            file = write_file(np.concatenate(names), np.array(lengths), np.concatenate(ids))
+            file = write_file(np.concatenate(names), np.array(lengths), np.frombuffer(b"".join(ids), coder.kind))
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([len(lengths)], pa.int64()), pa.array([int(np.sum(lengths))], pa.int64()), pa.array([file], pa.binary())], ["shard", "n_docs", "n_tokens", "file"])
 
     return materialize(dealt.mapInArrow(run, "shard long, n_docs long, n_tokens long, file binary"), "token-shards")
