@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, media, minhash, packing, tokens, warc
+from . import bpe, language, media, minhash, packing, suffix, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": suffix.op1_suffix_dedup,
         "op3_warc": warc.op3_warc,
         "op4_byte_bpe": bpe.op4_byte_bpe,
         "op6_minhash": minhash.op6_minhash,
