@@ -161,10 +161,12 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     gets all of them, and a task holds two sets at a time.
     """
     p = materialize(pairs, "estimated")
-    degree = small(materialize(p.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("chunks")), "degree"))
-    others = small(p.join(degree, "hub")).join(sets.withColumnRenamed("rep", "b"), "b")
-    others = others.select("hub", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"), F.col("b").alias("id"), F.lit(1).alias("role"), "set")
-    hubs = degree.join(sets.withColumnRenamed("rep", "hub"), "hub").select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("chunk"), F.col("hub").alias("id"), F.lit(0).alias("role"), "set")
+    large = materialize(p.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("chunks")).where("chunks > 1"), "large-hubs")
+    dealt = p.join(small(large), "hub", "left").select("hub", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("chunks")), F.lit(0).cast("long")).alias("chunk"))
+    dealt = materialize(dealt, "dealt")
+    others = small(dealt).join(sets.withColumnRenamed("rep", "b"), "b").select("hub", "chunk", F.col("b").alias("id"), F.lit(1).alias("role"), "set")
+    runs = small(materialize(dealt.select("hub", "chunk").distinct(), "runs"))
+    hubs = runs.join(sets.withColumnRenamed("rep", "hub"), "hub").select("hub", "chunk", F.col("hub").alias("id"), F.lit(0).alias("role"), "set")
     rows = hubs.unionByName(others).repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
