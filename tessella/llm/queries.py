@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, media, minhash, packing, suffix, tokens, warc
+from . import bpe, embedding, language, media, minhash, packing, suffix, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_suffix_dedup": suffix.op1_suffix_dedup,
         "op3_warc": warc.op3_warc,
         "op4_byte_bpe": bpe.op4_byte_bpe,
+        "op5_multi_index": embedding.op5_multi_index,
         "op6_minhash": minhash.op6_minhash,
         "op7_wavelet_tokens": tokens.op7_wavelet_tokens,
         "op8_language_id": language.op8_language_id,
