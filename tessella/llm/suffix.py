@@ -26,7 +26,8 @@ from .parsing import parse
 from .util import Rolling, materialize, mix64, signed, slices, table
 
 LENGTH = 400
-GROUP = 2000
+#: Distinct phrases of one trigger that meet in a task: some 16 MB.
+GROUP = 20_000
 #: Triggers up to so many are broadcast (8 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 300_000
 
