@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding, language, media, minhash, packing, suffix, tokens, warc
+from ..shipping import shipped
+from . import bpe, chunking, embedding, language, media, minhash, packing, suffix, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    found = {
         "op1_suffix_dedup": suffix.op1_suffix_dedup,
+        "op2_content_chunks": chunking.op2_content_chunks,
         "op3_warc": warc.op3_warc,
         "op4_byte_bpe": bpe.op4_byte_bpe,
         "op5_multi_index": embedding.op5_multi_index,
@@ -22,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_avi_mjpeg": media.op9_avi_mjpeg,
         "op10_length_buckets": packing.op10_length_buckets,
     }
+    return {name: shipped(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
