@@ -10,6 +10,12 @@ from ..shipping import shipped
 from . import bpe, chunking, embedding, language, media, minhash, packing, suffix, tokens, warc
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
         "op1_suffix_dedup": suffix.op1_suffix_dedup,
@@ -24,7 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_avi_mjpeg": media.op9_avi_mjpeg,
         "op10_length_buckets": packing.op10_length_buckets,
     }
-    return {name: shipped(query) for name, query in found.items()}
+    return {name: shipped(query) for name, query in found.items()} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .parsing import parse
 from .util import Rolling, materialize, mix64, signed, slices, table
@@ -237,3 +238,40 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents as UTF-8 (null: empty)."""
     docs = keyed(table(spark, sf_dir, "documents"))
     return removed(docs, materialize(repeated_spans(docs), "spans"), keep=False).drop("rid", "kept")
+
+
+def cleaned(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """docs with its own columns, each text without the characters that lie in spans wholly; n_chars, if there, follows. Null texts stay null, and rows that lose all their text go."""
+    own = spans.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("r"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("rid"))
+    both = rows.alias("d").join(own.alias("o"), _same_row("d", "o"), "left").select("d.r", F.encode(F.col("d.r.text").cast("string"), "UTF-8").alias("body"), F.col("spans").cast("array<struct<start:int,end:int>>"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[str | None] = []
+            lists = batch.column(2)
+            offsets = lists.offsets.to_numpy()
+            start, end = (lists.values.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+            for i in range(batch.num_rows):
+                body = batch.column(1)[i].as_py()
+                a, b = start[offsets[i] : offsets[i + 1]], end[offsets[i] : offsets[i + 1]]
+                if body is None or not len(a):
+                    out.append(None if body is None else body.decode())
+                    continue
+                x = np.frombuffer(body, np.uint8)
+                change = np.bincount(a, minlength=len(x) + 1) - np.bincount(b, minlength=len(x) + 1)
+                stays = np.cumsum(change)[: len(x)] == 0
+                head = np.flatnonzero((x & 0xC0) != 0x80)  # first bytes of characters: one byte that stays keeps all
+                stays = np.repeat(np.logical_or.reduceat(stays, head), np.diff(np.append(head, len(x))))
+                out.append(x[stays].tobytes().decode())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["r", "kept"])
+
+    done = both.mapInArrow(run, T.StructType([T.StructField("r", both.schema["r"].dataType), T.StructField("kept", T.StringType())]))
+    done = done.where("kept IS NULL OR kept <> '' OR r.text = ''")
+    changed = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return done.select(*((F.when(F.col("r.text").isNull(), F.col(f"r.`{c}`")).otherwise(changed[c]) if c in changed else F.col(f"r.`{c}`")).alias(c) for c in docs.columns))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without the strings that repeat (all their occurrences, as op1 does)."""
+    return cleaned(docs, materialize(repeated_spans(keyed(docs)), "spans"))
