@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import materialize, table, texts
+from .util import materialize, slices, table, texts
 
 MAGIC = b"TWM1"
 BLOCK = 1 << 18
