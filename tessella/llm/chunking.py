@@ -22,8 +22,6 @@ from .util import Rolling, materialize, mix64, signed, slices, table
 #: Bytes of a chunk: least, on average beyond the least, most. Bytes that the hash depends on.
 LEAST, MEAN, MOST, REACH = 12, 28, 1024, 32
 RUN = 80
-#: Repeated digests up to so many are broadcast (8 bytes each); more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
 
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 _D1, _D2 = Rolling(0xA0761D6478BD642F), Rolling(0x8EBC6AF09C88C6E3)
@@ -88,7 +86,6 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     """The chunks that occur more than once: doc_id, rid, start, end, first (whether it is the occurrence that stays), source (the doc_id of that)."""
     every = chunks(docs)
     twice = materialize(every.groupBy("d1").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("d1"), "repeated-digests")
-    twice = F.broadcast(twice) if twice.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else twice
     again = materialize(every.join(twice, "d1", "left_semi"), "repeated-chunks")
     stays = again.groupBy("d1", "d2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "start")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1").select("d1", "d2", "f")
     both = again.join(stays, ["d1", "d2"])
