@@ -19,6 +19,10 @@ _shipped: set[str] = set()
 def ship(spark: SparkSession) -> None:
     """Adds the package to the Python path of the session's executors, once a session."""
     sc = spark.sparkContext
+    # rows of text are large: Arrow batches by bytes, unless the session says otherwise
+    for key, default, ours in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", None, str(4 << 20))):
+        if spark.conf.get(key, default) in (default, None, str(64 << 20), str(2**31 - 1), str(2**63 - 1)):
+            spark.conf.set(key, ours)
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
