@@ -1,19 +1,570 @@
-"""The registered queries of the mesh engine and their SQL."""
+"""The registered queries of the mesh engine, each with DuckDB SQL where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import columns as C
+from ..operators import entropy, points, predict, quality, quantize, ranges, scene, topology
+from ..shipping import shipped
+from ..tables import table
+from . import views
+from .views import CORNERS_SQL, EDGES_SQL, FACES_SQL, OPPOSITE_SQL, POINTS_SQL
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = shipped(f)
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def with_(*parts: str) -> str:
+    return "WITH " + ",".join(p.strip() for p in parts)
+
+
+_DEDUP_SQL = """
+first AS (SELECT material, x, y, z, min(point_idx) AS first_idx FROM points GROUP BY ALL),
+remap AS (SELECT p.material, p.point_idx, d.first_idx AS new_idx FROM points p JOIN first d USING (material, x, y, z))"""
+
+
+def _remap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """point_idx and new_idx: the first point that is equal in position and material."""
+    p = views.points(spark, sf_dir)
+    first = points.value_dictionary(p, ["material"], ["x", "y", "z"], "point_idx")
+    return p.join(first, ["material", "x", "y", "z"]).select("material", "point_idx", F.col("first_idx").alias("new_idx"))
+
+
+@query(with_(FACES_SQL, POINTS_SQL, _DEDUP_SQL, """
+moved AS (SELECT f.mesh_id, f.face_idx, a.new_idx AS p0, b.new_idx AS p1, c.new_idx AS p2 FROM faces f JOIN remap a ON a.point_idx = p0 JOIN remap b ON b.point_idx = p1 JOIN remap c ON c.point_idx = p2),
+kept AS (SELECT * FROM moved WHERE p0 <> p1 AND p1 <> p2 AND p2 <> p0),
+e AS (SELECT mesh_id, least(s, t) AS a, greatest(s, t) AS b, count(*) AS uses FROM (SELECT mesh_id, p0 AS s, p1 AS t FROM kept UNION ALL SELECT mesh_id, p1, p2 FROM kept UNION ALL SELECT mesh_id, p2, p0 FROM kept) GROUP BY ALL),
+used AS (SELECT mesh_id, p0 AS p FROM kept UNION SELECT mesh_id, p1 FROM kept UNION SELECT mesh_id, p2 FROM kept),
+places AS (SELECT mesh_id, count(*) AS points, count(DISTINCT (x, y, z)) AS positions FROM used JOIN points ON p = point_idx GROUP BY ALL)
+SELECT mesh_id, triangles, points, positions, boundary_edges FROM (SELECT mesh_id, count(*) AS triangles FROM kept GROUP BY ALL) JOIN places USING (mesh_id)
+  JOIN (SELECT mesh_id, count(*) FILTER (uses = 1) AS boundary_edges FROM e GROUP BY ALL) USING (mesh_id)"""))
+def mesh_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triangles, points, positions and boundary edges of each mesh without duplicate points and degenerate triangles."""
+    kept = points.drop_degenerate(points.remap_faces(views.faces(spark, sf_dir), _remap(spark, sf_dir), []))
+    places = views.points(spark, sf_dir).select("point_idx", F.struct("x", "y", "z").alias("place"))
+    used = points.used_points(kept).join(places, "point_idx").groupBy("mesh_id").agg(F.count(F.lit(1)).alias("points"), F.count_distinct("place").alias("positions"))
+    borders = topology.edge_report(kept).select("mesh_id", "boundary_edges")
+    return kept.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("triangles")).join(used, "mesh_id").join(borders, "mesh_id")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return shipped(mesh_summary)(spark, sf_dir)
+
+
+@query("""WITH d AS (SELECT user_id, event_type, min(event_id) AS first_idx FROM events GROUP BY ALL)
+SELECT user_id, event_type, first_idx, row_number() OVER (PARTITION BY user_id ORDER BY first_idx) - 1 AS val_idx FROM d""")
+def value_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points.value_dictionary(table(spark, sf_dir, "events"), ["user_id"], ["event_type"], "event_id")
+
+
+@query("""WITH d AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY min(event_id)) - 1 AS val_idx FROM events GROUP BY user_id, event_type)
+SELECT user_id, event_id, val_idx FROM events JOIN d USING (user_id, event_type)""")
+def dictionary_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return points.point_values(e, points.value_dictionary(e, ["user_id"], ["event_type"], "event_id"), ["user_id"], ["event_type"], "event_id")
+
+
+@query(with_(POINTS_SQL, """d AS (SELECT material, x, y, z, row_number() OVER (PARTITION BY material ORDER BY min(point_idx)) - 1 AS new_idx FROM points GROUP BY material, x, y, z)
+SELECT material, point_idx, new_idx FROM points JOIN d USING (material, x, y, z)"""))
+def point_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points.point_dedup(views.points(spark, sf_dir), ["material"], ["x", "y", "z"])
+
+
+@query(with_(FACES_SQL, POINTS_SQL, _DEDUP_SQL, "x AS (SELECT 1)") + """ SELECT f.mesh_id, f.face_idx, a.new_idx AS p0, b.new_idx AS p1, c.new_idx AS p2 FROM faces f
+JOIN remap a ON a.point_idx = p0 JOIN remap b ON b.point_idx = p1 JOIN remap c ON c.point_idx = p2""")
+def face_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points.remap_faces(views.faces(spark, sf_dir), _remap(spark, sf_dir), [])
+
+
+@query(with_(FACES_SQL) + " SELECT * FROM faces WHERE p0 <> p1 AND p1 <> p2 AND p2 <> p0")
+def degenerate_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points.drop_degenerate(views.faces(spark, sf_dir))
+
+
+@query(with_(FACES_SQL) + ", used AS (SELECT p0 AS p FROM faces UNION SELECT p1 FROM faces UNION SELECT p2 FROM faces) SELECT vec_id AS point_idx, label AS material FROM embeddings WHERE vec_id NOT IN (SELECT p FROM used)")
+def unused_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points.unused_points(views.points(spark, sf_dir), views.faces(spark, sf_dir), []).select("point_idx", "material")
+
+
+@query(with_(FACES_SQL) + ", used AS (SELECT mesh_id, p0 AS point_idx FROM faces UNION SELECT mesh_id, p1 FROM faces UNION SELECT mesh_id, p2 FROM faces) SELECT mesh_id, point_idx, row_number() OVER (PARTITION BY mesh_id ORDER BY point_idx) - 1 AS new_idx FROM used")
+def point_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points.compaction(views.faces(spark, sf_dir))
+
+
+@query(with_(POINTS_SQL) + " SELECT material, row_number() OVER (PARTITION BY material ORDER BY point_idx) - 1 AS point_idx, x FROM points WHERE x >= 0")
+def point_deletion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = views.points(spark, sf_dir)
+    return points.delete_points(p, p.where("x < 0"), ["material"]).select("material", "point_idx", "x")
+
+
+@query(with_(POINTS_SQL) + " SELECT (SELECT count(*) FROM points) - 1 - point_idx AS point_idx, u, v FROM points")
+def point_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = views.points(spark, sf_dir)
+    turned = p.select("point_idx", (F.lit(p.count() - 1) - F.col("point_idx")).alias("to"))
+    return points.permute(p, turned, []).select("point_idx", "u", "v")
+
+
+@query(with_(POINTS_SQL) + " SELECT CASE point_idx WHEN 3 THEN 7 WHEN 7 THEN 3 ELSE point_idx END AS point_idx, u FROM points")
+def point_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points.swap(views.points(spark, sf_dir), 3, 7).select("point_idx", "u")
+
+
+@query(with_(FACES_SQL, POINTS_SQL, """
+c AS (SELECT mesh_id, face_idx, k, p FROM (SELECT mesh_id, face_idx, 0 AS k, p0 AS p FROM faces UNION ALL SELECT mesh_id, face_idx, 1, p1 FROM faces UNION ALL SELECT mesh_id, face_idx, 2, p2 FROM faces)),
+hit AS (SELECT DISTINCT mesh_id, face_idx FROM c JOIN points ON p = point_idx WHERE material = 2),
+kept AS (SELECT c.* FROM c JOIN hit USING (mesh_id, face_idx)),
+names AS (SELECT mesh_id, p, row_number() OVER (PARTITION BY mesh_id ORDER BY min(3 * face_idx + k)) - 1 AS new_idx FROM kept GROUP BY mesh_id, p)
+SELECT mesh_id, face_idx, max(new_idx) FILTER (k = 0) AS p0, max(new_idx) FILTER (k = 1) AS p1, max(new_idx) FILTER (k = 2) AS p2 FROM kept JOIN names USING (mesh_id, p) GROUP BY mesh_id, face_idx"""))
+def material_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points.faces_of_material(views.faces(spark, sf_dir), views.points(spark, sf_dir).select("point_idx", "material"), 2)
+
+
+@query(with_(FACES_SQL, CORNERS_SQL) + " SELECT mesh_id, corner, corner - corner % 3 + (corner + 1) % 3 AS next, corner - corner % 3 + (corner + 2) % 3 AS previous, corner // 3 AS face_idx, tip, src, snk FROM corners")
+def corner_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("corner")
+    return topology.corners(views.faces(spark, sf_dir)).select("mesh_id", "corner", C.next_corner(c).alias("next"), C.previous_corner(c).alias("previous"), C.face_of(c).alias("face_idx"), "tip", "src", "snk")
+
+
+@query(with_(FACES_SQL, CORNERS_SQL, OPPOSITE_SQL) + " SELECT mesh_id, corner, tip, opp FROM adjacent")
+def opposite_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topology.opposite(views.faces(spark, sf_dir)).select("mesh_id", "corner", "tip", "opp")
+
+
+@query(with_(FACES_SQL, CORNERS_SQL, OPPOSITE_SQL) + """ SELECT a.mesh_id, a.corner, CASE WHEN l.opp IS NULL THEN NULL ELSE l.opp - l.opp % 3 + (l.opp + 1) % 3 END AS swing
+FROM adjacent a JOIN adjacent l ON a.mesh_id = l.mesh_id AND l.corner = a.corner - a.corner % 3 + (a.corner + 1) % 3""")
+def swing_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corner of the same vertex in the face over the edge opposite to the next corner."""
+    adjacent = topology.opposite(views.faces(spark, sf_dir))
+    over = adjacent.select("mesh_id", F.col("corner").alias("next"), C.next_corner(F.col("opp")).alias("swing"))
+    return adjacent.select("mesh_id", "corner", C.next_corner(F.col("corner")).alias("next")).join(over, ["mesh_id", "next"]).select("mesh_id", "corner", "swing")
+
+
+@query(with_(FACES_SQL, CORNERS_SQL, EDGES_SQL) + " SELECT mesh_id, count(*) AS edges, count(*) FILTER (uses = 1) AS boundary_edges, count(*) FILTER (uses > 2) AS nonmanifold_edges FROM edges GROUP BY mesh_id")
+def edge_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topology.edge_report(views.faces(spark, sf_dir))
+
+
+@query(with_(FACES_SQL, CORNERS_SQL, EDGES_SQL) + """, n AS (SELECT mesh_id, vertex, count(*) AS neighbours FROM (SELECT mesh_id, a AS vertex FROM edges WHERE a <> b UNION ALL SELECT mesh_id, b FROM edges WHERE a <> b) GROUP BY ALL)
+SELECT mesh_id, tip AS vertex, count(*) AS corners, coalesce(any_value(neighbours), 0) AS neighbours FROM corners LEFT JOIN n USING (mesh_id) WHERE n.vertex = tip OR n.vertex IS NULL GROUP BY mesh_id, tip""")
+def vertex_valence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topology.valence(views.faces(spark, sf_dir))
+
+
+_SEAM_SQL = """
+val AS (SELECT mesh_id, corner, material AS val FROM corners JOIN points ON tip = point_idx),
+seam AS (SELECT a.mesh_id, a.corner, a.face_idx, a.tip, a.src, a.snk, a.opp, a.opp IS NULL OR v1.val IS DISTINCT FROM w1.val OR v2.val IS DISTINCT FROM w2.val AS is_seam FROM adjacent a
+  LEFT JOIN val v1 ON v1.mesh_id = a.mesh_id AND v1.corner = a.corner - a.corner % 3 + (a.corner + 1) % 3 LEFT JOIN val v2 ON v2.mesh_id = a.mesh_id AND v2.corner = a.corner - a.corner % 3 + (a.corner + 2) % 3
+  LEFT JOIN val w1 ON w1.mesh_id = a.mesh_id AND w1.corner = a.opp - a.opp % 3 + (a.opp + 2) % 3 LEFT JOIN val w2 ON w2.mesh_id = a.mesh_id AND w2.corner = a.opp - a.opp % 3 + (a.opp + 1) % 3)"""
+
+
+def _corner_values(spark: SparkSession, sf_dir: str, faces: DataFrame) -> DataFrame:
+    """A value for each corner that its face takes part in, so that edges inside a mesh are seams now and then."""
+    material = views.points(spark, sf_dir).select(F.col("point_idx").alias("tip"), "material")
+    return topology.corners(faces).join(material, "tip").select("mesh_id", "corner", ((F.col("material") + F.col("face_idx") % 2) % 2).alias("val"))
+
+
+@query(with_(FACES_SQL, POINTS_SQL, CORNERS_SQL, OPPOSITE_SQL, _SEAM_SQL.replace("material AS val", "(material + face_idx % 2) % 2 AS val")) + " SELECT mesh_id, corner, opp, is_seam FROM seam")
+def seam_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = views.faces(spark, sf_dir)
+    return topology.seams(topology.opposite(f), _corner_values(spark, sf_dir, f)).select("mesh_id", "corner", "opp", "is_seam")
+
+
+@query(with_(FACES_SQL, CORNERS_SQL, OPPOSITE_SQL).replace("WITH ", "WITH RECURSIVE ", 1) + """,
+l AS (SELECT DISTINCT mesh_id, face_idx AS a, opp // 3 AS b FROM adjacent WHERE opp IS NOT NULL),
+walk(mesh_id, face_idx, reach) AS (SELECT mesh_id, face_idx, face_idx FROM faces UNION SELECT w.mesh_id, w.face_idx, l.b FROM walk w JOIN l ON w.mesh_id = l.mesh_id AND w.reach = l.a)
+SELECT mesh_id, face_idx, min(reach) AS component FROM walk GROUP BY ALL""")
+def face_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topology.face_components(topology.opposite(views.faces(spark, sf_dir)))
+
+
+_FAN_SQL = """
+fl AS (SELECT mesh_id, corner - corner % 3 + (corner + 1) % 3 AS a, opp - opp % 3 + (opp + 2) % 3 AS b FROM adjacent WHERE opp IS NOT NULL
+  UNION SELECT mesh_id, corner - corner % 3 + (corner + 2) % 3, opp - opp % 3 + (opp + 1) % 3 FROM adjacent WHERE opp IS NOT NULL),
+fw(mesh_id, corner, reach) AS (SELECT mesh_id, corner, corner FROM corners UNION SELECT w.mesh_id, w.corner, l.b FROM fw w JOIN fl l ON w.mesh_id = l.mesh_id AND w.reach = l.a),
+fan AS (SELECT mesh_id, corner, min(reach) AS fan FROM fw GROUP BY ALL)"""
+
+
+@query(with_(FACES_SQL, CORNERS_SQL, OPPOSITE_SQL, _FAN_SQL).replace("WITH ", "WITH RECURSIVE ", 1) + " SELECT * FROM fan")
+def vertex_fans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topology.fans(topology.opposite(views.faces(spark, sf_dir)))
+
+
+@query(with_(FACES_SQL, CORNERS_SQL, OPPOSITE_SQL, _FAN_SQL).replace("WITH ", "WITH RECURSIVE ", 1) + """, g AS (SELECT mesh_id, fan, min(tip) AS tip FROM fan JOIN corners USING (mesh_id, corner) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY mesh_id, tip ORDER BY fan) AS rn, max(tip) OVER (PARTITION BY mesh_id) + 1 AS n FROM g)
+SELECT mesh_id, fan, CASE rn WHEN 1 THEN tip ELSE n + sum(CASE WHEN rn > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY mesh_id ORDER BY fan) - 1 END::BIGINT AS vertex FROM r""")
+def split_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    adjacent = topology.opposite(views.faces(spark, sf_dir))
+    return topology.split_vertices(adjacent, topology.fans(adjacent))
+
+
+@query(with_(FACES_SQL, POINTS_SQL, CORNERS_SQL, OPPOSITE_SQL, _SEAM_SQL.replace("material AS val", "(material + face_idx % 2) % 2 AS val")).replace("WITH ", "WITH RECURSIVE ", 1) + """,
+fl AS (SELECT mesh_id, corner - corner % 3 + (corner + 1) % 3 AS a, opp - opp % 3 + (opp + 2) % 3 AS b FROM seam WHERE NOT is_seam
+  UNION SELECT mesh_id, corner - corner % 3 + (corner + 2) % 3, opp - opp % 3 + (opp + 1) % 3 FROM seam WHERE NOT is_seam),
+fw(mesh_id, corner, reach) AS (SELECT mesh_id, corner, corner FROM corners UNION SELECT w.mesh_id, w.corner, l.b FROM fw w JOIN fl l ON w.mesh_id = l.mesh_id AND w.reach = l.a)
+SELECT mesh_id, corner, min(reach) AS fan FROM fw GROUP BY ALL""")
+def attribute_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fans cut at seams: the vertices of an attribute."""
+    f = views.faces(spark, sf_dir)
+    return topology.fans(topology.seams(topology.opposite(f), _corner_values(spark, sf_dir, f)), cut=True)
+
+
+@query()
+def boundary_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundary edges of each loop; a vertex that two loops touch joins them."""
+    loops = topology.boundary_loops(topology.opposite(views.faces(spark, sf_dir)))
+    return loops.groupBy("mesh_id", "loop").agg(F.count(F.lit(1)).alias("boundary_edges"))
+
+
+# Quantization.
+
+_E = "SELECT vec_id, label, embedding[1] AS a, embedding[2] AS b, embedding[3] AS c FROM embeddings"
+
+
+def _vectors(spark: SparkSession, sf_dir: str, names: str = "abc", start: int = 0) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", *(F.col("embedding")[start + i].alias(n) for i, n in enumerate(names)))
+
+
+@query(f"WITH e AS ({_E}), s AS (SELECT label, least(min(a), 0::FLOAT) AS min_a, least(min(b), 0::FLOAT) AS min_b, least(min(c), 0::FLOAT) AS min_c, greatest(max(a), 0::FLOAT) AS max_a, greatest(max(b), 0::FLOAT) AS max_b, greatest(max(c), 0::FLOAT) AS max_c FROM e GROUP BY label) SELECT *, greatest(max_a - min_a, max_b - min_b, max_c - min_c) AS range FROM s")
+def bounds_zero_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantize.bounds(_vectors(spark, sf_dir), ["label"], ["a", "b", "c"], seed_zero=True)
+
+
+@query(f"WITH e AS ({_E}), s AS (SELECT label, min(a) AS min_a, min(b) AS min_b, min(c) AS min_c, max(a) AS max_a, max(b) AS max_b, max(c) AS max_c FROM e GROUP BY label) SELECT *, greatest(max_a - min_a, max_b - min_b, max_c - min_c) AS range FROM s")
+def bounds_accessor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantize.bounds(_vectors(spark, sf_dir), ["label"], ["a", "b", "c"])
+
+
+def _quantize_sql(names: str, steps: int) -> str:
+    low = ", ".join(f"least(min({n}), 0::FLOAT) AS lo_{n}, greatest(max({n}), 0::FLOAT) AS hi_{n}" for n in names)
+    extent = "greatest(" + ", ".join(f"hi_{n} - lo_{n}" for n in names) + ")"
+    out = ", ".join(f"trunc((({n} - lo_{n}) / r)::FLOAT * {steps}::FLOAT + 0.5::FLOAT)::INTEGER AS q_{n}" for n in names)
+    return f"SELECT vec_id, label, {out} FROM e JOIN (SELECT *, {extent} AS r FROM (SELECT label, {low} FROM e GROUP BY label)) USING (label)"
+
+
+@query(f"WITH e AS ({_E}) " + _quantize_sql("abc", 2047))
+def quantize_11bit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantize.quantize(_vectors(spark, sf_dir), ["label"], ["a", "b", "c"], 11).select("vec_id", "label", "q_a", "q_b", "q_c")
+
+
+@query("WITH e AS (SELECT vec_id, label, embedding[7] AS u, embedding[8] AS v FROM embeddings) " + _quantize_sql("uv", 1023))
+def quantize_10bit_uv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantize.quantize(_vectors(spark, sf_dir, "uv", 6), ["label"], ["u", "v"], 10).select("vec_id", "label", "q_u", "q_v")
+
+
+_OCT_SQL = """
+o AS (SELECT vec_id, label, x, y / (abs(x) + abs(y) + abs(z)) AS u, z / (abs(x) + abs(y) + abs(z)) AS v FROM (SELECT vec_id, label, embedding[4] AS x, embedding[5] AS y, embedding[6] AS z FROM embeddings)),
+f AS (SELECT vec_id, label, CASE WHEN x < 0 THEN CASE WHEN u < 0 THEN abs(v) - 1::FLOAT ELSE 1::FLOAT - abs(v) END ELSE u END AS u, CASE WHEN x < 0 THEN CASE WHEN v < 0 THEN abs(u) - 1::FLOAT ELSE 1::FLOAT - abs(u) END ELSE v END AS v FROM o),
+g AS (SELECT vec_id, label, trunc((u + 1::FLOAT) * 127::FLOAT)::INTEGER AS u, trunc((v + 1::FLOAT) * 127::FLOAT)::INTEGER AS v FROM f),
+oct AS (SELECT vec_id, label, CASE WHEN (u = 0 AND v = 0) OR (u = 255 AND v = 0) OR (u = 0 AND v = 255) THEN 255 WHEN (u = 0 AND v > 127) OR (u = 255 AND v < 127) THEN u WHEN v = 255 AND u < 127 THEN 254 - u WHEN v = 0 AND u > 127 THEN 254 - u ELSE u END AS qu,
+  CASE WHEN (u = 0 AND v = 0) OR (u = 255 AND v = 0) OR (u = 0 AND v = 255) THEN 255 WHEN (u = 0 AND v > 127) OR (u = 255 AND v < 127) THEN 254 - v ELSE v END AS qv FROM g)"""
+
+
+def _octahedral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _vectors(spark, sf_dir, "xyz", 3)
+    u, v = quantize.quantize_normals(F.col("x"), F.col("y"), F.col("z"))
+    return e.select("vec_id", "label", u.alias("qu"), v.alias("qv"))
+
+
+@query(with_(_OCT_SQL) + " SELECT * FROM oct")
+def octahedral_8bit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _octahedral(spark, sf_dir)
+
+
+# Prediction.
+
+_Q_SQL = f"e AS ({_E}), q AS ({_quantize_sql('abc', 2047)})"
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = quantize.quantize(_vectors(spark, sf_dir), ["label"], ["a", "b", "c"], 11)
+    return predict.delta(q.select("label", F.col("vec_id").alias("rank"), "q_a", "q_b", "q_c"), ["label"], ["q_a", "q_b", "q_c"])
+
+
+@query(f"""WITH {_Q_SQL}, d AS (SELECT label, vec_id AS rank, q_a - lag(q_a, 1, 0) OVER w AS a, q_b - lag(q_b, 1, 0) OVER w AS b FROM q WINDOW w AS (PARTITION BY label ORDER BY vec_id))
+SELECT label, rank, CASE WHEN a >= 0 THEN 2 * a ELSE -2 * a - 1 END AS res_a, CASE WHEN b >= 0 THEN 2 * b ELSE -2 * b - 1 END AS res_b FROM d""")
+def delta_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _ranked(spark, sf_dir)
+    return p.select("label", "rank", *(predict.difference(F.col(f"q_{c}"), F.col(f"pred_q_{c}")).alias(f"res_{c}") for c in "ab"))
+
+
+_WRAP_SQL = f"""WITH {_Q_SQL}, b AS (SELECT label, min(least(q_a, q_b, q_c)) AS lo, max(greatest(q_a, q_b, q_c)) AS hi FROM q GROUP BY label),
+d AS (SELECT label, vec_id AS rank, lo, hi, hi - lo + 1 AS span, q_a - least(greatest(lag(q_a, 1, 0) OVER w, lo), hi) AS a FROM q JOIN b USING (label) WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
+r AS (SELECT label, rank, CASE WHEN a > span // 2 - CASE WHEN span % 2 = 0 THEN 1 ELSE 0 END THEN a - span WHEN a < -(span // 2) THEN a + span ELSE a END AS a FROM d),
+res AS (SELECT label, rank, (CASE WHEN a >= 0 THEN 2 * a ELSE -2 * a - 1 END)::BIGINT AS symbol FROM r)"""
+
+
+def _residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = predict.wrapped_residuals(_ranked(spark, sf_dir), ["label"], ["q_a", "q_b", "q_c"])
+    return out.select("label", "rank", F.col("res_q_a").alias("symbol"))
+
+
+@query(_WRAP_SQL + " SELECT * FROM res")
+def wrapped_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _residuals(spark, sf_dir)
+
+
+@query(f"WITH {_Q_SQL} SELECT label, vec_id AS rank, q_a AS original, q_a AS restored FROM q")
+def wrapped_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Residuals and predictions give the values back."""
+    p = _ranked(spark, sf_dir)
+    r = predict.wrapped_residuals(p, ["label"], ["q_a", "q_b", "q_c"]).join(p.groupBy("label").agg(F.min(F.least("q_a", "q_b", "q_c")).alias("lo"), F.max(F.greatest("q_a", "q_b", "q_c")).alias("hi")), "label")
+    back = predict.unwrapped(F.col("res_q_a"), F.col("pred_q_a"), F.col("lo"), F.col("hi"))
+    return r.select("label", "rank", F.col("q_a").alias("original"), back.cast("int").alias("restored"))
+
+
+@query("SELECT event_id, CASE WHEN v >= 0 THEN 2 * v ELSE -2 * v - 1 END AS z FROM (SELECT event_id, (floor(value * 10) - 500)::BIGINT AS v FROM events)")
+def zigzag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", C.zigzag((F.floor(F.col("value") * 10) - 500).cast("long")).alias("z"))
+
+
+@query(with_(_OCT_SQL, """
+p AS (SELECT label, vec_id AS rank, qu - 127 AS ou, qv - 127 AS ov, lag(qu, 1, 0) OVER w - 127 AS pu, lag(qv, 1, 0) OVER w - 127 AS pv FROM oct WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
+i AS (SELECT label, rank, CASE WHEN x THEN -sign(ou * ov) * ov + sign(ou) * 127 ELSE ou END AS ou, CASE WHEN x THEN -sign(ou * ov) * ou + sign(ov) * 127 ELSE ov END AS ov,
+  CASE WHEN x THEN -sign(pu * pv) * pv + sign(pu) * 127 ELSE pu END AS pu, CASE WHEN x THEN -sign(pu * pv) * pu + sign(pv) * 127 ELSE pv END AS pv FROM (SELECT *, abs(pu) + abs(pv) > 127 AS x FROM p)),
+t AS (SELECT *, CASE WHEN (pu = 0 AND pv = 0) OR (pu < 0 AND pv <= 0) THEN 0 WHEN -pv < 0 AND pu <= 0 THEN 1 WHEN -pu < 0 AND -pv <= 0 THEN 2 ELSE 3 END AS k FROM i),
+d AS (SELECT label, rank, CASE k WHEN 0 THEN ou - pu WHEN 1 THEN -ov + pv WHEN 2 THEN -ou + pu ELSE ov - pv END AS a, CASE k WHEN 0 THEN ov - pv WHEN 1 THEN ou - pu WHEN 2 THEN -ov + pv ELSE -ou + pu END AS b FROM t)
+SELECT label, rank, (CASE WHEN a < 0 THEN a + 255 ELSE a END)::INTEGER AS a, (CASE WHEN b < 0 THEN b + 255 ELSE b END)::INTEGER AS b FROM d"""))
+def oct_orthogonal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = predict.delta(_octahedral(spark, sf_dir).withColumnRenamed("vec_id", "rank"), ["label"], ["qu", "qv"])
+    a, b = predict.oct_orthogonal((F.col("qu"), F.col("qv")), (F.col("pred_qu"), F.col("pred_qv")))
+    return p.select("label", "rank", a.cast("int").alias("a"), b.cast("int").alias("b"))
+
+
+_GRID = 40
+_GRID_SQL = f"""
+cell AS (SELECT r.i, c.j FROM range({_GRID}) r(i), range({_GRID}) c(j)),
+faces AS (SELECT 0::BIGINT AS mesh_id, 2 * ({_GRID} * i + j) AS face_idx, {_GRID + 1} * i + j AS p0, {_GRID + 1} * i + j + 1 AS p1, {_GRID + 1} * (i + 1) + j AS p2 FROM cell
+  UNION ALL SELECT 0, 2 * ({_GRID} * i + j) + 1, {_GRID + 1} * i + j + 1, {_GRID + 1} * (i + 1) + j + 1, {_GRID + 1} * (i + 1) + j FROM cell),
+vals AS (SELECT {_GRID + 1} * a.i + b.j AS vertex, (a.i * a.i + 3 * b.j) % 97 AS x, (a.i * b.j) % 101 AS y FROM range({_GRID + 1}) a(i), range({_GRID + 1}) b(j))"""
+
+
+def grid(spark: SparkSession, n: int = _GRID) -> tuple[DataFrame, DataFrame]:
+    """A regular grid as one mesh: faces, and values x, y of each vertex."""
+    i, j, w = F.floor(F.col("id") / n).cast("long"), F.col("id") % n, n + 1
+    cell = spark.range(n * n).select(F.col("id"), i.alias("i"), j.alias("j"))
+    i, j = F.col("i"), F.col("j")
+    two = F.array(F.struct((w * i + j).alias("p0"), (w * i + j + 1).alias("p1"), (w * (i + 1) + j).alias("p2")), F.struct((w * i + j + 1).alias("p0"), (w * (i + 1) + j + 1).alias("p1"), (w * (i + 1) + j).alias("p2")))
+    faces = cell.select(F.lit(0).cast("long").alias("mesh_id"), "id", F.posexplode(two).alias("k", "f")).select("mesh_id", (2 * F.col("id") + F.col("k")).alias("face_idx"), "f.*")
+    a, b = F.floor(F.col("id") / w).cast("long"), F.col("id") % w
+    values = spark.range(w * w).select(F.lit(0).cast("long").alias("mesh_id"), F.col("id").alias("vertex"), ((a * a + 3 * b) % 97).alias("x"), ((a * b) % 101).alias("y"))
+    return faces, values
+
+
+def first_use(corners: DataFrame) -> DataFrame:
+    """mesh_id, rank, corner, vertex: vertices in order of their first corner."""
+    first = corners.groupBy("mesh_id", F.col("tip").alias("vertex")).agg(F.min("corner").alias("corner"))
+    return first.withColumn("rank", (F.row_number().over(Window.partitionBy("mesh_id").orderBy("corner")) - 1).cast("long"))
+
+
+@query(with_(_GRID_SQL, CORNERS_SQL, OPPOSITE_SQL, """
+ord AS (SELECT mesh_id, vertex, corner, row_number() OVER (ORDER BY corner) - 1 AS rank FROM (SELECT mesh_id, tip AS vertex, min(corner) AS corner FROM corners GROUP BY ALL)),
+val AS (SELECT ord.rank, vertex, x, y FROM ord JOIN vals USING (vertex))
+SELECT o.mesh_id, o.rank, o.corner, o.vertex, v.x, v.y, CASE WHEN n.rank < o.rank AND p.rank < o.rank AND f.rank < o.rank THEN n.x + p.x - f.x ELSE lag(v.x, 1, 0) OVER w END AS pred_x, CASE WHEN n.rank < o.rank AND p.rank < o.rank AND f.rank < o.rank THEN n.y + p.y - f.y ELSE lag(v.y, 1, 0) OVER w END AS pred_y
+FROM ord o JOIN val v ON v.vertex = o.vertex JOIN adjacent a ON a.corner = o.corner LEFT JOIN adjacent b ON b.corner = a.opp LEFT JOIN val n ON n.vertex = a.src LEFT JOIN val p ON p.vertex = a.snk LEFT JOIN val f ON f.vertex = b.tip WINDOW w AS (ORDER BY o.rank)"""))
+def parallelogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faces, values = grid(spark)
+    adjacent = topology.opposite(faces)
+    return predict.parallelogram(first_use(adjacent), adjacent, values, ["x", "y"])
+
+
+@query(with_(FACES_SQL, f"""e AS (SELECT vec_id, embedding[1] AS a, embedding[2] AS b, embedding[3] AS c FROM embeddings), s AS (SELECT vec_id, trunc(a * 1000)::BIGINT AS x, trunc(b * 1000)::BIGINT AS y, trunc(c * 1000)::BIGINT AS z FROM e),
+t AS (SELECT f.*, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz, c.x AS cx, c.y AS cy, c.z AS cz FROM faces f JOIN s a ON a.vec_id = p0 JOIN s b ON b.vec_id = p1 JOIN s c ON c.vec_id = p2),
+n AS (SELECT mesh_id, p0, p1, p2, (by_ - ay) * (cz - az) - (bz - az) * (cy - ay) AS nx, (bz - az) * (cx - ax) - (bx - ax) * (cz - az) AS ny, (bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax) AS nz FROM t)
+SELECT mesh_id, v AS vertex, sum(nx)::BIGINT AS nx, sum(ny)::BIGINT AS ny, sum(nz)::BIGINT AS nz FROM (SELECT mesh_id, p0 AS v, nx, ny, nz FROM n UNION ALL SELECT mesh_id, p1, nx, ny, nz FROM n UNION ALL SELECT mesh_id, p2, nx, ny, nz FROM n) GROUP BY mesh_id, v"""))
+def vertex_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _vectors(spark, sf_dir, "xyz").select(F.col("vec_id").alias("point_idx"), *((F.col(c) * F.lit(1000).cast("float")).cast("long").alias(c) for c in "xyz"))
+    return predict.vertex_normals(views.faces(spark, sf_dir), e)
+
+
+# Entropy.
+
+
+@query(_WRAP_SQL + " SELECT label, symbol, count(*) AS freq FROM res GROUP BY ALL")
+def symbol_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entropy.histogram(_residuals(spark, sf_dir), ["label"])
+
+
+@query(_WRAP_SQL + ", h AS (SELECT label, symbol, count(*) AS freq FROM res GROUP BY ALL) SELECT label, symbol, freq, (sum(freq) OVER (PARTITION BY label ORDER BY symbol) - freq)::BIGINT AS cum FROM h")
+def cumulative_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entropy.cumulative(entropy.histogram(_residuals(spark, sf_dir), ["label"]), ["label"])
+
+
+@query("""WITH h AS (SELECT user_id, event_type AS symbol, count(*) AS freq FROM events GROUP BY ALL),
+p AS (SELECT *, greatest(floor(freq / sum(freq) OVER (PARTITION BY user_id) * 4096 + 0.5), 1)::BIGINT AS p FROM h),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY p DESC, symbol DESC) AS r, (sum(p) OVER (PARTITION BY user_id) - 4096)::BIGINT AS err, count(*) OVER (PARTITION BY user_id) AS k FROM p)
+SELECT user_id, symbol, freq, CASE WHEN err < 0 THEN p - CASE WHEN r = 1 THEN err ELSE 0 END ELSE p - err // k - CASE WHEN r <= err % k THEN 1 ELSE 0 END END AS prob FROM r""")
+def freq_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumnRenamed("event_type", "symbol")
+    return entropy.normalised(entropy.histogram(e, ["user_id"]), ["user_id"], 12)
+
+
+@query("""WITH h AS (SELECT user_id, event_type, count(*) AS freq FROM events GROUP BY ALL), n AS (SELECT *, sum(freq) OVER (PARTITION BY user_id) AS n FROM h)
+SELECT user_id, max(n)::BIGINT AS symbols, round(sum(-freq * log2(freq / n)), 6) + 0.0 AS bits FROM n GROUP BY user_id""")
+def symbol_entropy_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = entropy.histogram(table(spark, sf_dir, "events"), ["user_id"], "event_type")
+    return entropy.entropy_bits(h, ["user_id"]).select("user_id", "symbols", (F.round("bits", 6) + 0.0).alias("bits"))
+
+
+@query("SELECT user_id, least(greatest(floor(count(*) FILTER (event_type <> 'error') / count(*) * 256 + 0.5), 1), 255)::INTEGER AS prob_zero FROM events GROUP BY user_id")
+def zero_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entropy.zero_probability(table(spark, sf_dir, "events").withColumn("f", F.col("event_type") == "error"), ["user_id"], "f")
+
+
+@query(_WRAP_SQL + " SELECT label, rank, symbol, row_number() OVER (PARTITION BY label ORDER BY rank) - 1 AS place FROM res")
+def rans_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Residuals coded and decoded again, each beside the rank that it had."""
+    s = _residuals(spark, sf_dir)
+    back = entropy.decoded_streams(entropy.encoded_streams(s, ["label"]), ["label"]).withColumnRenamed("rank", "place")
+    at = s.select("label", "rank").withColumn("place", (F.row_number().over(Window.partitionBy("label").orderBy("rank")) - 1).cast("long"))
+    return at.join(back, ["label", "place"]).select("label", "rank", "symbol", "place")
+
+
+@query("SELECT o_orderkey, CASE WHEN v < 128 THEN 1 WHEN v < 16384 THEN 2 WHEN v < 2097152 THEN 3 WHEN v < 268435456 THEN 4 ELSE 5 END AS bytes, CASE WHEN v = 0 THEN 0 ELSE length(bin(v)) END::INTEGER AS bits FROM (SELECT o_orderkey, floor(o_totalprice)::BIGINT AS v FROM orders)")
+def integer_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.floor("o_totalprice").cast("long")
+    return table(spark, sf_dir, "orders").select("o_orderkey", C.varint_length(v).alias("bytes"), C.bit_length(v).cast("int").alias("bits"))
+
+
+# Ranges.
+
+_RANGES_SQL = "r AS (SELECT o_custkey AS k, o_orderkey % 2 AS part, o_orderkey % 1000 AS start, o_orderkey % 1000 + 1 + o_orderkey % 37 AS \"end\" FROM orders)"
+_UNION_SQL = """(SELECT {k}, min(start) AS start, max("end") AS "end" FROM (SELECT *, sum(new) OVER (PARTITION BY {k} ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS no FROM
+(SELECT *, CASE WHEN start > max("end") OVER (PARTITION BY {k} ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM {t})) GROUP BY {k}, no)"""
+
+
+def _order_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), (k % 2).alias("part"), (k % 1000).alias("start"), (k % 1000 + 1 + k % 37).alias("end"))
+
+
+@query(f"WITH {_RANGES_SQL} SELECT * FROM " + _UNION_SQL.format(k="k", t="r"))
+def range_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranges.union(_order_ranges(spark, sf_dir), ["k"])
+
+
+@query(f"WITH {_RANGES_SQL}, u AS {_UNION_SQL.format(k='k, part', t='r')}, x AS (SELECT a.k, greatest(a.start, b.start) AS start, least(a.\"end\", b.\"end\") AS \"end\" FROM u a JOIN u b ON a.k = b.k AND a.part = 0 AND b.part = 1 AND a.start < b.\"end\" AND b.start < a.\"end\") SELECT * FROM " + _UNION_SQL.format(k="k", t="x"))
+def range_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranges.intersection(_order_ranges(spark, sf_dir), ["k"], "part", 2)
+
+
+@query("WITH d AS (SELECT DISTINCT o_custkey AS k, o_orderkey // 50 AS n FROM orders), g AS (SELECT k, n, n - row_number() OVER (PARTITION BY k ORDER BY n) AS i FROM d) SELECT k, min(n) AS start, max(n) + 1 AS \"end\" FROM g GROUP BY k, i")
+def consecutive_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranges.runs(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.floor(F.col("o_orderkey") / 50).cast("long").alias("n")), ["k"], "n")
+
+
+# Scenes, attributes, offsets.
+
+
+@query("WITH RECURSIVE e AS (SELECT n_regionkey + 100 AS parent, n_nationkey + 1000 AS child FROM nation UNION ALL SELECT c_nationkey + 1000, c_custkey + 10000 FROM customer UNION ALL SELECT 1, r_regionkey + 100 FROM region), w AS (SELECT parent AS ancestor, child AS node, 1 AS depth FROM e UNION ALL SELECT w.ancestor, e.child, w.depth + 1 FROM w JOIN e ON w.node = e.parent) SELECT 0 AS scene_id, ancestor::BIGINT AS ancestor, node::BIGINT AS node, depth FROM w")
+def scene_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scene.closure(_scene_edges(spark, sf_dir))
+
+
+def _scene_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root, regions, nations and customers as the nodes of a scene."""
+    e = lambda name, parent, child: table(spark, sf_dir, name).select(parent.cast("long").alias("parent"), child.cast("long").alias("child"))
+    rows = [e("nation", F.col("n_regionkey") + 100, F.col("n_nationkey") + 1000), e("customer", F.col("c_nationkey") + 1000, F.col("c_custkey") + 10000), e("region", F.lit(1), F.col("r_regionkey") + 100)]
+    return reduce(DataFrame.unionByName, rows).select(F.lit(0).alias("scene_id"), "parent", "child")
+
+
+@query("""SELECT c_custkey + 10000 AS node, (n_regionkey + n_nationkey + c_custkey % 7 + 3)::DOUBLE AS tx FROM customer JOIN nation ON c_nationkey = n_nationkey
+UNION ALL SELECT n_nationkey + 1000, (n_regionkey + n_nationkey + 2)::DOUBLE FROM nation UNION ALL SELECT r_regionkey + 100, (r_regionkey + 1)::DOUBLE FROM region UNION ALL SELECT 1, 0::DOUBLE""")
+def world_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Translations of the nodes of a scene, added up from the root."""
+    e = _scene_edges(spark, sf_dir)
+    own = F.when(F.col("node") >= 10000, (F.col("node") - 10000) % 7).when(F.col("node") >= 1000, F.col("node") - 1000).otherwise(F.col("node") - 100) + 1
+    nodes = e.select("scene_id", F.col("child").alias("node"), "parent").unionByName(spark.createDataFrame([(0, 1, None)], "scene_id int, node long, parent long"))
+    t = [F.when(F.col("parent").isNull(), 0.0).otherwise(own.cast("double")), F.lit(0.0), F.lit(0.0)]
+    nodes = nodes.withColumn("m", C.trs_matrix(t, [F.lit(0.0)] * 3 + [F.lit(1.0)], [F.lit(1.0)] * 3))
+    return scene.world_matrices(nodes).select("node", F.col("world")[3].alias("tx"))
+
+
+@query("SELECT l_suppkey AS node, mesh_idx, material_idx, ordinal, row_number() OVER (PARTITION BY l_suppkey ORDER BY ordinal) - 1 AS number FROM (SELECT l_suppkey, l_partkey % 20 AS mesh_idx, l_linenumber AS material_idx, min(l_orderkey) * 100 + l_linenumber * 10 + (l_partkey % 20) * 1000000000 AS ordinal FROM lineitem GROUP BY l_suppkey, l_partkey % 20, l_linenumber)")
+def distinct_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line, mesh = F.col("l_linenumber"), F.col("l_partkey") % 20
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("node"), mesh.alias("mesh_idx"), line.alias("material_idx"), (F.col("l_orderkey") * 100 + line * 10 + mesh * 1000000000).alias("ordinal"))
+    return scene.distinct_instances(rows, ["node"], "ordinal")
+
+
+@query("SELECT o_custkey, o_orderkey, (coalesce(sum((length(o_orderpriority) + 3) // 4 * 4) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS \"offset\" FROM orders")
+def running_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.length("o_orderpriority").alias("n"))
+    return scene.running_offsets(o, ["o_custkey"], "o_orderkey", "n").drop("n")
+
+
+@query("SELECT o_custkey, o_orderkey, CASE WHEN o_orderstatus = 'F' THEN count(*) FILTER (o_orderstatus = 'F') OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS number FROM orders")
+def textured_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderstatus") == "F").alias("f"))
+    return scene.counted_before(o, ["o_custkey"], "o_orderkey", "f").drop("f")
+
+
+@query("SELECT user_id, event_id, dense_rank() OVER (PARTITION BY user_id ORDER BY event_type) - 1 AS id FROM events")
+def sampler_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scene.dense_ids(table(spark, sf_dir, "events"), ["user_id"], "event_type").select("user_id", "event_id", "id")
+
+
+@query("SELECT event_type, count(DISTINCT props) AS features, count(*) AS n, list_sort(list(DISTINCT user_id % 5))::VARCHAR AS channels FROM events GROUP BY event_type")
+def attribute_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, distinct feature ids and the sorted set of used channels of each attribute."""
+    e = table(spark, sf_dir, "events")
+    used = F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_set(F.col("user_id") % 5)), ", "), F.lit("]"))
+    return e.groupBy("event_type").agg(F.count_distinct("props").alias("features"), F.count(F.lit(1)).alias("n"), used.alias("channels"))
+
+
+@query("SELECT o_orderpriority, count(DISTINCT o_orderstatus) > 1 AS mixed FROM orders GROUP BY ALL")
+def type_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether an attribute of one name has several types over all primitives."""
+    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg((F.count_distinct("o_orderstatus") > 1).alias("mixed"))
+
+
+@query("SELECT l_suppkey, round(sum(l_extendedprice) / sum(l_quantity), 6) AS ratio, round((sum(l_extendedprice) - sum(l_quantity)) / sum(l_extendedprice) * 100, 6) AS saved FROM (SELECT l_suppkey, floor(l_extendedprice) AS l_extendedprice, l_quantity FROM lineitem) GROUP BY l_suppkey")
+def compression_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sum(F.floor("l_extendedprice").cast("double")).alias("b"), F.sum("l_quantity").alias("a"))
+    ratio, saved = quality.compression(F.col("b"), F.col("a"))
+    return s.select("l_suppkey", F.round(ratio, 6).alias("ratio"), F.round(saved, 6).alias("saved"))
+
+
+@query("""SELECT page_id, CASE WHEN e IN ('gltf', 'glb') THEN 'gltf' WHEN e IN ('usd', 'usda', 'usdc', 'usdz') THEN 'usd' WHEN e = 'ply' THEN 'ply' WHEN e = 'obj' THEN 'obj' ELSE 'unknown' END AS format, e AS ext
+FROM (SELECT page_id, lower(regexp_extract(n, '\\.([^./\\\\]+)$', 1)) AS e FROM (SELECT page_id, url || CASE page_id % 5 WHEN 0 THEN '.gltf' WHEN 1 THEN '.GLB' WHEN 2 THEN '.obj' WHEN 3 THEN '.usdz' ELSE '' END AS n FROM pages))""")
+def file_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = F.element_at(F.array(*map(F.lit, (".gltf", ".GLB", ".obj", ".usdz", ""))), (F.col("page_id") % 5 + 1).cast("int"))
+    n = F.concat("url", ends)
+    return table(spark, sf_dir, "pages").select("page_id", C.scene_format(n).alias("format"), C.extension(n).alias("ext"))
+
+
+@query("SELECT o_orderkey, sqrt_ AS root FROM (SELECT o_orderkey, floor(sqrt(floor(o_totalprice)))::BIGINT AS sqrt_ FROM orders)")
+def integer_sqrt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", C.int_sqrt(F.floor("o_totalprice").cast("long")).alias("root"))
+
+
+@query("SELECT page_id, base64(encode(url)) AS b64, length(encode(url)) AS n, ((octet_length(encode(url)) + 3) // 4 * 4)::BIGINT AS padded FROM pages".replace("length(encode(url)) AS n", "octet_length(encode(url)) AS n"))
+def base64_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = F.encode("url", "UTF-8")
+    return table(spark, sf_dir, "pages").select("page_id", F.base64(b).alias("b64"), F.octet_length(b).cast("long").alias("n"), C.padded(F.octet_length(b)).alias("padded"))
+
 
+def queries() -> dict[str, Query]:
+    from . import meshes
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return _QUERIES | meshes.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
