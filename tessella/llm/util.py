@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Python works on slices of about so many bytes of text, whatever the size of an Arrow batch.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _made: list[tuple[SparkSession, str]] = []
 
