@@ -34,14 +34,16 @@ def cumulative(hist: DataFrame, keys: list[str], symbol: str = "symbol", freq: s
 def normalised(hist: DataFrame, keys: list[str], bits: int, symbol: str = "symbol") -> DataFrame:
     """Adds prob: frequencies scaled to 2**bits in all, at least 1.
 
-    Rounding errors go to the largest: all that lacks to the largest one, and of what is too much one each to the largest
-    ones in turn (again from the first where that is not enough).
+    What lacks goes to the largest. What is too much is taken from the largest ones, one each; if there are not enough
+    over 1, as much as they have, from the largest on.
     """
     own = Window.partitionBy(*keys)
     total = 1 << bits
     first = hist.withColumn("p", F.greatest(F.floor(F.col("freq") / F.sum("freq").over(own) * total + 0.5), F.lit(1)).cast("long"))
-    ranked = first.withColumn("r", F.row_number().over(own.orderBy(F.desc("p"), F.desc(symbol)))).withColumn("err", F.sum("p").over(own) - total).withColumn("k", F.count(F.lit(1)).over(own))
-    less = F.floor(F.col("err") / F.col("k")) + F.when(F.col("r") <= F.col("err") % F.col("k"), 1).otherwise(0)
+    down = own.orderBy(F.desc("p"), F.desc(symbol))
+    ranked = first.withColumn("r", F.row_number().over(down)).withColumn("err", F.sum("p").over(own) - total).withColumn("m", F.count_if(F.col("p") > 1).over(own))
+    ranked = ranked.withColumn("taken", F.coalesce(F.sum(F.col("p") - 1).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    less = F.when(F.col("err") <= F.col("m"), (F.col("r") <= F.col("err")).cast("int")).otherwise(F.least(F.col("p") - 1, F.greatest(F.col("err") - F.col("taken"), F.lit(0))))
     p = F.when(F.col("err") < 0, F.col("p") - F.when(F.col("r") == 1, F.col("err")).otherwise(0)).otherwise(F.col("p") - less)
     return ranked.select(*hist.columns, p.cast("long").alias("prob"))
 
@@ -151,11 +153,13 @@ def frequencies(counts: list[int], bits: int) -> list[int]:
     err = sum(probs) - total
     if err < 0:
         probs[order[0]] -= err
-    while err > 0:
+    elif err <= sum(p > 1 for p in probs):
+        for i in order[:err]:
+            probs[i] -= 1
+    else:
         for i in order:
-            if err and probs[i] > 1:
-                probs[i] -= 1
-                err -= 1
+            less = min(probs[i] - 1, err)
+            probs[i], err = probs[i] - less, err - less
     return probs
 
 

@@ -26,11 +26,11 @@ def nearest_face(points: DataFrame, tris: DataFrame, cell: float, rings: int = 1
     t = tris
     for c in "xyz":
         corner = [F.col(f"{v}{c}") for v in "abc"]
-        t = t.withColumn(f"c{c}", F.explode(cells(F.least(*corner), F.greatest(*corner))))
+        t = t.withColumn(f"g{c}", F.explode(cells(F.least(*corner), F.greatest(*corner))))
     p = points
     for c in "xyz":
-        p = p.withColumn(f"c{c}", F.explode(cells(F.col(c) - rings * cell, F.col(c) + rings * cell)))
-    near = p.join(t, ["mesh_id", "cx", "cy", "cz"])
+        p = p.withColumn(f"g{c}", F.explode(cells(F.col(c) - rings * cell, F.col(c) + rings * cell)))
+    near = p.join(t, ["mesh_id", "gx", "gy", "gz"])
     d = point_triangle_distance([F.col(c) for c in "xyz"], *([F.col(f"{v}{c}") for c in "xyz"] for v in "abc"))
     best = near.select("mesh_id", "point_idx", d.alias("d")).groupBy("mesh_id", "point_idx").agg(F.min("d").alias("dist")).where(F.col("dist") <= rings * cell)
     return points.select("mesh_id", "point_idx").join(best, ["mesh_id", "point_idx"], "left")

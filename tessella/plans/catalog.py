@@ -408,8 +408,8 @@ def cumulative_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH h AS (SELECT user_id, event_type AS symbol, count(*) AS freq FROM events GROUP BY ALL),
 p AS (SELECT *, greatest(floor(freq / sum(freq) OVER (PARTITION BY user_id) * 4096 + 0.5), 1)::BIGINT AS p FROM h),
-r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY p DESC, symbol DESC) AS r, (sum(p) OVER (PARTITION BY user_id) - 4096)::BIGINT AS err, count(*) OVER (PARTITION BY user_id) AS k FROM p)
-SELECT user_id, symbol, freq, CASE WHEN err < 0 THEN p - CASE WHEN r = 1 THEN err ELSE 0 END ELSE p - err // k - CASE WHEN r <= err % k THEN 1 ELSE 0 END END AS prob FROM r""")
+r AS (SELECT *, row_number() OVER w AS r, (sum(p) OVER (PARTITION BY user_id) - 4096)::BIGINT AS err, count(*) FILTER (p > 1) OVER (PARTITION BY user_id) AS m, coalesce(sum(p - 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS taken FROM p WINDOW w AS (PARTITION BY user_id ORDER BY p DESC, symbol DESC))
+SELECT user_id, symbol, freq, CASE WHEN err < 0 THEN p - CASE WHEN r = 1 THEN err ELSE 0 END WHEN err <= m THEN p - CASE WHEN r <= err THEN 1 ELSE 0 END ELSE p - least(p - 1, greatest(err - taken, 0)) END AS prob FROM r""")
 def freq_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumnRenamed("event_type", "symbol")
     return entropy.normalised(entropy.histogram(e, ["user_id"]), ["user_id"], 12)

@@ -1,2 +1,55 @@
-def queries():
-    return {}
+"""Queries of the ordered walks and the bitstream. They have no SQL; tests hold them against golden vectors and brute force."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import quality, topology, walks
+from ..shipping import shipped
+from ..sources import drc
+from . import views
+
+
+def clers_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each connectivity symbol occurs in each mesh."""
+    return walks.mesh_walks(views.faces(spark, sf_dir)).groupBy("mesh_id", "symbol").agg(F.count(F.lit(1)).alias("n"))
+
+
+def coding_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walks.coding_orders(views.faces(spark, sf_dir))
+
+
+def compressed_meshes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each mesh when it is compressed, and of its points and triangles as they are."""
+    f = views.faces(spark, sf_dir)
+    p = views.points(spark, sf_dir).select("point_idx", "x", "y", "z", "u", "v")
+    # each mesh with the points that it uses
+    used = f.select("mesh_id", F.explode(F.array("p0", "p1", "p2")).alias("point_idx")).distinct().join(p, "point_idx")
+    out = drc.encode_meshes(f, used)
+    plain = f.groupBy("mesh_id").agg((F.count(F.lit(1)) * 12).alias("face_bytes"))
+    return out.join(plain, "mesh_id").select("mesh_id", F.octet_length("drc").alias("drc_bytes"), "face_bytes", F.hex(F.substring("drc", 1, 5)).alias("magic"))
+
+
+def nearest_face_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance of each point to the nearest face of a grid surface within a cell."""
+    from .catalog import grid
+
+    faces, values = grid(spark, 20)
+    i, j = F.floor(F.col("vertex") / 21), F.col("vertex") % 21
+    place = values.select("mesh_id", F.col("vertex").alias("point_idx"), (i / 20).alias("x"), (j / 20).alias("y"), ((F.col("x") % 7) / 70).alias("z"))
+    e = F.col("embedding")
+    points = views.table(spark, sf_dir, "embeddings").select(F.lit(0).cast("long").alias("mesh_id"), F.col("vec_id").alias("point_idx"), *(F.abs(e[k]).cast("double").alias(c) for k, c in enumerate("xyz")))
+    return quality.nearest_face(points, quality.triangles(faces, place), 0.25).select("point_idx", F.round("dist", 9).alias("dist"))
+
+
+def boundary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundary edges and loops of each mesh."""
+    loops = topology.boundary_loops(topology.opposite(views.faces(spark, sf_dir)))
+    return loops.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("boundary_edges"), F.count_distinct("loop").alias("loops"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: shipped(f) for f in (clers_walk, coding_order, compressed_meshes, nearest_face_distance, boundary_report)}
