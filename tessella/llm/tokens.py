@@ -49,13 +49,12 @@ class Wavelet:
         width = -(-n // SUPER) * (SUPER // 8)
         planes, zeros = np.zeros((depth, width), np.uint8), np.zeros(depth, np.uint32)
         for k in range(depth):
-            bit = (x >> (depth - 1 - k)) & 1
-            one = bit.astype(bool)
+            one = (x & x.dtype.type(1 << (depth - 1 - k))) != 0
             packed = np.packbits(one)
             planes[k, : len(packed)] = packed
-            low = x[~one]
-            zeros[k] = len(low)
-            x = np.concatenate([low, x[one]])
+            high = np.flatnonzero(one)  # places are far faster than masks here
+            zeros[k] = n - len(high)
+            x = np.concatenate([x.take(np.flatnonzero(~one)), x.take(high)])
         return cls(n, planes, cls._ranks(planes), zeros)
 
     @staticmethod
@@ -140,8 +139,8 @@ class Wavelet:
             one = np.unpackbits(self.planes[k], count=self.n).view(bool)
             z = int(self.zeros[k])
             y = np.empty(self.n, kind)
-            y[~one] = x[:z]
-            y[one] = x[z:] | kind(1 << (depth - 1 - k))
+            y[np.flatnonzero(~one)] = x[:z]
+            y[np.flatnonzero(one)] = x[z:] | kind(1 << (depth - 1 - k))
             x = y
         return x
 
@@ -180,7 +179,7 @@ class Shard:
 
 
 #: Encoded words that a worker keeps.
-KEEP = 700_000
+KEEP = 1_000_000
 
 
 class Words:
@@ -219,12 +218,13 @@ class Words:
         """Words are joined by spaces for the library; token lengths tell which ids are whose."""
         for i in range(0, len(words), 2000):
             part = words[i : i + 2000]
-            ids = np.array(self.library.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.kind)
-            ends = np.cumsum([len(w.encode()) + 1 for w in part])
-            to = np.searchsorted(np.cumsum(self.length[ids]), ends) + 1
-            data, at = ids.tobytes(), 0
-            for w, b in zip(part, (to * self.kind.itemsize).tolist(), strict=True):
-                self.words[w], at = data[at:b], b
+            text = " " + " ".join(part)
+            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+            raw = np.frombuffer(text.encode(), np.uint8)
+            ends = np.append(np.flatnonzero(raw == 32)[1:], len(raw))  # words have no spaces
+            to = ((np.searchsorted(np.cumsum(self.length[ids]), ends) + 1) * self.kind.itemsize).tolist()
+            data = ids.tobytes()
+            self.words.update(zip(part, [data[a:b] for a, b in zip([0, *to[:-1]], to, strict=True)], strict=True))
 
     def encode(self, strings: list[str], offsets: np.ndarray, data: np.ndarray) -> list[bytes]:
         """The ids of each text as bytes of self.kind; offsets and data are the texts' UTF-8."""
@@ -244,19 +244,16 @@ class Words:
         sent = np.flatnonzero(odd).tolist()
         for i in sent:
             split[i] = [""]
-        new = set().union(*split).difference(self.words)
-        if new:
-            self._learn([w for w in new if w])
-            self.words[""] = b""
-        fresh = list({p[0] for p in split}.difference(self.heads))
-        if fresh:
-            self.heads.update(zip(fresh, self.whole(fresh), strict=True))
-        get, heads = self.words.__getitem__, self.heads
-        out = []
+        first = [p[0] for p in split]
         for p in split:
-            head = heads[p[0]]
             p[0] = ""
-            out.append(head + b"".join(map(get, p)))
+        fresh = list(set(first).difference(self.heads))
+        self.heads.update(zip(fresh, self.whole(fresh), strict=True))
+        here = set().union(*split) | {""}
+        self.words[""] = b""
+        self._learn(list(here.difference(self.words)))
+        get = {w: self.words[w] for w in here}.__getitem__  # a small table for many lookups
+        out = [self.heads[w] + b"".join(map(get, p)) for w, p in zip(first, split, strict=True)]
         for i, ids in zip(sent, self.whole([strings[i] for i in sent]), strict=True):
             out[i] = ids
         return out
@@ -288,7 +285,7 @@ def write_shards(docs: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) ->
         coder = Words.load(path)
         end = np.array([END], coder.kind).tobytes()
         ids, lengths, names = [], [], []
-        for part, offsets, data in slices(batches, "text"):
+        for part, offsets, data in slices(batches, "text", 4 << 20):
             for x in coder.encode([t or "" for t in part.column(1).to_pylist()], offsets, data):
                 lengths.append(len(x) // coder.kind.itemsize + 1)
                 ids += (x, end)
