@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,3 +55,25 @@ def compression(before: Column, after: Column) -> tuple[Column, Column]:
     """Ratio and percentage saved; null where nothing was stored."""
     ratio = F.try_divide(before.cast("double"), after.cast("double"))
     return ratio, F.try_divide((before - after).cast("double"), before.cast("double")) * 100
+
+
+def spectra(faces: DataFrame, digits: int = 6) -> DataFrame:
+    """mesh_id, spectrum: eigenvalues of the Laplacian of edges, ascending. Equal for meshes that differ by names of points only.
+
+    A mesh is a group of an Arrow function: this is for small meshes, as the matrix has edges squared entries.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        t = np.stack([group.column(c).to_numpy() for c in ("p0", "p1", "p2")], 1)
+        pairs = np.sort(np.concatenate([t[:, [0, 1]], t[:, [1, 2]], t[:, [2, 0]]]), 1)
+        edges, at = np.unique(pairs, axis=0, return_inverse=True)
+        points = np.unique(edges)
+        down, up = np.zeros((len(points), len(edges))), np.zeros((len(edges), len(t)))
+        for k in range(2):
+            down[np.searchsorted(points, edges[:, k]), np.arange(len(edges))] = 2 * k - 1
+        for k, (a, b) in enumerate(((0, 1), (1, 2), (2, 0))):
+            up[at.reshape(-1)[k * len(t) : (k + 1) * len(t)], np.arange(len(t))] = np.where(t[:, a] < t[:, b], 1, -1)
+        values = np.linalg.eigvalsh(down.T @ down + up @ up.T).round(digits) + 0.0
+        return pa.table({"mesh_id": group.column("mesh_id")[:1], "spectrum": pa.array([values.tolist()], pa.list_(pa.float64()))})
+
+    return faces.select("mesh_id", "p0", "p1", "p2").groupBy("mesh_id").applyInArrow(run, "mesh_id long, spectrum array<double>")

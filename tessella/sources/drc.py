@@ -6,6 +6,8 @@ Each mesh is a group of an Arrow function: quantization needs the whole mesh's b
 from __future__ import annotations
 
 import struct
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -267,6 +269,7 @@ def header(data: bytes) -> dict:
     n, at = read_varint(data, at)
     out["splits_coded"], at = read_varint(data, at)
     splits, at = read_varint(data, at)
+    out["splits"] = splits
     for _ in range(2 * splits):
         _, at = read_varint(data, at)
     at += -(-splits // 8)
@@ -289,6 +292,29 @@ def header(data: bytes) -> dict:
     return out
 
 
+def inspected(streams: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, vertices, faces, attributes, splits, symbols (a count each) of compressed meshes (column drc)."""
+    fields = [f for f in streams.schema if f.name in keys]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", vertices long, faces long, attributes long, splits long, symbols map<string,long>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = [header(x) for x in batch.column(len(fields)).to_pylist()]
+            counts = [list(Counter(h["symbols"]).items()) for h in heads]
+            cols = [pa.array([h["vertices"] for h in heads], pa.int64()), pa.array([h["faces"] for h in heads], pa.int64()), pa.array([len(h["attributes"]) for h in heads], pa.int64()), pa.array([h["splits"] for h in heads], pa.int64()), pa.array(counts, pa.map_(pa.string(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], *cols], [*(f.name for f in fields), "vertices", "faces", "attributes", "splits", "symbols"])
+
+    return streams.select(*(f.name for f in fields), "drc").mapInArrow(run, schema)
+
+
+def sequential_indices(triangles: list[tuple[int, int, int]], points: int) -> bytes:
+    """Plain connectivity: each index in 8, 16, a varint's or 32 bits, by the number of points."""
+    flat = [i for t in triangles for i in t]
+    if points < 1 << 21 and points >= 1 << 16:
+        return b"".join(map(varint, flat))
+    return np.array(flat, "<u1" if points < 1 << 8 else "<u2" if points < 1 << 16 else "<u4").tobytes()
+
+
 def encode_meshes(faces: DataFrame, points: DataFrame) -> DataFrame:
     """faces: mesh_id, face_idx, p0, p1, p2; points: mesh_id, point_idx, x, y, z and, if there, nx, ny, nz, u, v. mesh_id, drc."""
     have = [c for c in ("nx", "ny", "nz", "u", "v") if c in points.columns]

@@ -165,11 +165,32 @@ def transcode(data: bytes, files: Callable[[str], bytes] | None = None, bits: di
                 done[same] = {"attributes": {n: i for n, (i, _) in ids.items()}, "indices": len(accessors) - 1, "extension": {"bufferView": view(stream), "attributes": {n: i for n, (_, i) in ids.items()}}}
             d = done[same]
             mesh["primitives"][k] = {**p, "attributes": d["attributes"], "indices": d["indices"], "mode": 4, "extensions": {**p.get("extensions", {}), DRACO: d["extension"]}}
+    def moved(index: int) -> int:
+        """A buffer view copied as it is."""
+        v = doc["bufferViews"][index]
+        start = v.get("byteOffset", 0)
+        return view(buffers[v["buffer"]][start : start + v["byteLength"]])
+
+    def kept(index: int) -> int:
+        """An accessor with its rows, laid close together."""
+        a = {k: x for k, x in doc["accessors"][index].items() if k != "byteOffset"}
+        accessors.append(a | {"bufferView": view(accessor(doc, buffers, index).tobytes())})
+        return len(accessors) - 1
+
+    for skin in new.get("skins", []):
+        if "inverseBindMatrices" in skin:
+            skin["inverseBindMatrices"] = kept(skin["inverseBindMatrices"])
+    for sampler in (x for a in new.get("animations", []) for x in a["samplers"]):
+        sampler |= {k: kept(sampler[k]) for k in ("input", "output")}
+    for node in new.get("nodes", []):
+        if instances := node.get("extensions", {}).get("EXT_mesh_gpu_instancing"):
+            instances["attributes"] = {k: kept(i) for k, i in instances["attributes"].items()}
+    for table in new.get("extensions", {}).get("EXT_structural_metadata", {}).get("propertyTables", []):
+        for prop in table.get("properties", {}).values():
+            prop |= {k: moved(prop[k]) for k in ("values", "arrayOffsets", "stringOffsets") if k in prop}
     for image in new.get("images", []):
         if "bufferView" in image:
-            v = doc["bufferViews"][image["bufferView"]]
-            start = v.get("byteOffset", 0)
-            image["bufferView"] = view(buffers[v["buffer"]][start : start + v["byteLength"]])
+            image["bufferView"] = moved(image["bufferView"])
         elif "uri" in image:
             uri = image.pop("uri")
             part = resolve(uri, files)
@@ -193,7 +214,7 @@ TABLES = "file string, kind string, idx long, name string, parent long, mesh lon
 
 
 def tables(docs: DataFrame) -> DataFrame:
-    """A row for each node, mesh, primitive, accessor, view, material, texture, image and sampler (body: its JSON), and for what can't be read (error)."""
+    """A row for each node, primitive, attribute (idx: its accessor), compressed part (idx: its view), accessor, view, material, texture, image and sampler (body: its JSON), and for what can't be read (error)."""
     names = [x.split()[0] for x in TABLES.split(", ")]
     kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.string(), pa.string()]
 
@@ -210,6 +231,10 @@ def tables(docs: DataFrame) -> DataFrame:
             yield {"kind": "node", "idx": i, "name": n.get("name"), "parent": parents.get(i), "mesh": n.get("mesh"), "matrix": node_matrix(n), "body": json.dumps(n)}
         for i, m in enumerate(doc.get("meshes", [])):
             for p in m["primitives"]:
+                for attribute, number in sorted(p["attributes"].items()):
+                    yield {"kind": "attribute", "idx": number, "name": attribute, "mesh": i, "body": json.dumps(doc["accessors"][number]) if number < len(doc.get("accessors", [])) else None}
+                if DRACO in p.get("extensions", {}):
+                    yield {"kind": "compressed", "idx": p["extensions"][DRACO]["bufferView"], "mesh": i}
                 yield {"kind": "primitive", "idx": i, "name": m.get("name"), "mesh": i, "material": p.get("material"), "mode": p.get("mode", 4), "body": json.dumps(p)}
         for kind, key in (("accessor", "accessors"), ("view", "bufferViews"), ("material", "materials"), ("texture", "textures"), ("image", "images"), ("sampler", "samplers")):
             for i, x in enumerate(doc.get(key, [])):
@@ -226,6 +251,30 @@ def tables(docs: DataFrame) -> DataFrame:
     return docs.select("path", "content").mapInArrow(run, TABLES)
 
 
+def compressed_parts(docs: DataFrame) -> DataFrame:
+    """path, part, drc: the compressed primitives of documents with buffers of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                doc, buffers = parse(body.as_py(), lambda uri: b"")
+                own = sorted({p["extensions"][DRACO]["bufferView"] for m in doc.get("meshes", []) for p in m["primitives"] if DRACO in p.get("extensions", {})})
+                parts = []
+                for i in own:
+                    v = doc["bufferViews"][i]
+                    parts.append(buffers[v["buffer"]][v.get("byteOffset", 0) : v.get("byteOffset", 0) + v["byteLength"]])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.string()), pa.array(own, pa.int64()), pa.array(parts, pa.binary())], ["path", "part", "drc"])
+
+    return docs.select("path", "content").mapInArrow(run, "path string, part long, drc binary")
+
+
+def type_conflicts(tables_: DataFrame) -> DataFrame:
+    """Attributes of one name whose accessors differ in component type, shape or normalisation; feature ids may differ."""
+    kind = F.struct(F.get_json_object("body", "$.componentType"), F.get_json_object("body", "$.type"), F.coalesce(F.get_json_object("body", "$.normalized"), F.lit("false")))
+    own = tables_.where("kind = 'attribute' AND NOT startswith(name, '_FEATURE_ID_')")
+    return own.groupBy("file", "name").agg(F.count_distinct(kind).alias("kinds")).where("kinds > 1")
+
+
 def transcoded(docs: DataFrame, bits: dict[str, int] | None = None) -> DataFrame:
     """path, glb, before, after, status: documents whose buffers are their own; others say why in status."""
 

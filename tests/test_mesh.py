@@ -338,7 +338,7 @@ def test_gltf(spark, tmp_path):
     (tmp_path / "c.gltf").write_text(json.dumps({"asset": {"version": "2.0"}, "extensionsRequired": ["XX_none"]}))
     docs = gltf.documents(spark, str(tmp_path))
     t = gltf.tables(docs)
-    assert Counter(k for k, in rows(t.where("file LIKE '%a.glb'").select("kind"))) == {"node": 2, "primitive": 2, "accessor": 3, "view": 3, "material": 1, "image": 1}
+    assert Counter(k for k, in rows(t.where("file LIKE '%a.glb'").select("kind"))) == {"node": 2, "primitive": 2, "attribute": 4, "accessor": 3, "view": 3, "material": 1, "image": 1}
     assert rows(t.where("kind = 'dependency'").select("name")) == [("a.bin",)]
     assert rows(t.where("kind = 'error'").select("error")) == [("extension XX_none",)]
     assert rows(t.where("kind = 'node' AND parent = 0 AND file LIKE '%a.glb'").select("matrix"))[0][0][3::4] == [1.0, 2.0, 3.0, 1.0]
@@ -365,6 +365,45 @@ def test_accessor_bounds():
         gltf.accessor(doc, [body], 0)
 
 
+def test_document_parts(spark, tmp_path):
+    doc, body = document()
+    doc["skins"] = [{"inverseBindMatrices": 0, "joints": [0]}]
+    doc["animations"] = [{"samplers": [{"input": 2, "output": 0}], "channels": []}]
+    doc["extensions"] = {"EXT_structural_metadata": {"propertyTables": [{"properties": {"h": {"values": 2}}}]}}
+    doc["accessors"].append({"bufferView": 0, "componentType": 5126, "count": 4, "type": "VEC2"})
+    doc["meshes"][0]["primitives"][1]["attributes"] = {"POSITION": 3}
+    (tmp_path / "a.glb").write_bytes(gltf.glb(doc, body))
+    t = gltf.tables(gltf.documents(spark, str(tmp_path)))
+    assert rows(gltf.type_conflicts(t).select("name", "kinds")) == [("POSITION", 2)]
+    doc["meshes"][0]["primitives"].pop()
+    (tmp_path / "a.glb").write_bytes(gltf.glb(doc, body))
+    out = bytes(gltf.transcoded(gltf.documents(spark, str(tmp_path))).first()["glb"])
+    new, buffers = gltf.parse(out)
+    ids = new["extensions"]["EXT_structural_metadata"]["propertyTables"][0]["properties"]["h"]["values"]
+    v = new["bufferViews"][ids]
+    assert np.frombuffer(buffers[0], "<u4", 4, v["byteOffset"]).tolist() == [0, 1, 1, 2]
+    assert (gltf.accessor(new, buffers, new["skins"][0]["inverseBindMatrices"]) == gltf.accessor(doc, [body], 0)).all()
+    assert gltf.accessor(new, buffers, new["animations"][0]["samplers"][0]["input"])[:, 0].tolist() == [0, 1, 1, 2]
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "b.glb").write_bytes(out)
+    parts = gltf.compressed_parts(gltf.documents(spark, str(tmp_path / "out")))
+    got = drc.inspected(parts, ["path"]).first()
+    assert (got["faces"], got["vertices"], got["attributes"], got["splits"], sum(got["symbols"].values())) == (2, 4, 2, 0, 2)
+
+
+def test_spectra(spark):
+    rng = random.Random(4)
+    names = rng.sample(range(16), 16)
+    f = faces_of(spark, {0: torus(4), 1: [tuple(names[v] for v in t) for t in torus(4)], 2: grid(4), 3: [(0, 1, 2), (2, 1, 3)], 4: [(3, 2, 0), (0, 2, 1)]})
+    s = dict(rows(quality.spectra(f)))
+    assert s[0] == s[1] != s[2] and s[3] == s[4]
+
+
+def test_sequential():
+    assert drc.sequential_indices([(0, 1, 2)], 3) == bytes([0, 1, 2])
+    assert len(drc.sequential_indices([(0, 1, 2)], 300)) == 6 and len(drc.sequential_indices([(0, 1, 200)], 70_000)) == 4 and len(drc.sequential_indices([(0, 1, 2)], 1 << 22)) == 12
+
+
 def test_stream(spark, tmp_path):
     doc, body = document()
     (tmp_path / "in").mkdir()
