@@ -110,7 +110,7 @@ def open_pairs(entries: DataFrame, component: DataFrame) -> DataFrame:
     own = materialize(entries.join(component.withColumnRenamed("id", "rep"), "rep", "left").select("v", "rep", "n", "at", F.coalesce("component_id", "rep").alias("c")), "listed")
     count = own.groupBy("v", "c").agg(F.count(F.lit(1)).alias("members"))
     major = count.groupBy("v").agg(F.max(F.struct("members", "c")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("v", F.col("most.c").alias("major"))
-    rest = materialize(own.join(major, "v"), "open-lists")
+    rest = materialize(own.join(major, "v"), "open-lists", narrow=True)
     some = rest.where("c <> major").select("v", F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("at").alias("b_at"), F.col("c").alias("b_c"))
     cross = rest.join(some, "v").where("c <> b_c AND (c = major OR rep < b)").where(_near("n", "at", "b_n", "b_at"))
     return cross.select(F.col("rep").alias("hub"), "b").distinct()
@@ -160,12 +160,12 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     Each run of rows is one hub's set, then its partners' sets; a hub of many partners has several runs, so no task
     gets all of them, and a task holds two sets at a time.
     """
-    p = materialize(pairs, "estimated")
-    large = materialize(p.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("chunks")).where("chunks > 1"), "large-hubs")
+    p = materialize(pairs, "estimated", narrow=True)
+    large = materialize(p.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("chunks")).where("chunks > 1"), "large-hubs", narrow=True)
     dealt = p.join(small(large), "hub", "left").select("hub", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("chunks")), F.lit(0).cast("long")).alias("chunk"))
-    dealt = materialize(dealt, "dealt")
+    dealt = materialize(dealt, "dealt", narrow=True)
     others = small(dealt).join(sets.withColumnRenamed("rep", "b"), "b").select("hub", "chunk", F.col("b").alias("id"), F.lit(1).alias("role"), "set")
-    runs = small(materialize(dealt.select("hub", "chunk").distinct(), "runs"))
+    runs = small(materialize(dealt.select("hub", "chunk").distinct(), "runs", narrow=True))
     hubs = runs.join(sets.withColumnRenamed("rep", "hub"), "hub").select("hub", "chunk", F.col("hub").alias("id"), F.lit(0).alias("role"), "set")
     rows = hubs.unionByName(others).repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "role")
 
@@ -190,7 +190,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                         break
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return materialize(rows.select("hub", "chunk", "id", "role", "set").mapInArrow(run, "a long, b long"), "links")
+    return materialize(rows.select("hub", "chunk", "id", "role", "set").mapInArrow(run, "a long, b long"), "links", narrow=True)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -206,17 +206,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = classes.where("rep IS NOT NULL")
     entries = materialize(lists(named), "lists")
     met = entries.groupBy("v").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("v")
-    sets = materialize(full_sets(docs, materialize(entries.join(met, "v", "left_semi").select("rep").distinct(), "listed-ids")), "sets")
+    sets = materialize(full_sets(docs, materialize(entries.join(met, "v", "left_semi").select("rep").distinct(), "listed-ids", narrow=True)), "sets")
     entries = materialize(exact_lists(sets), "exact-lists")
-    first = materialize(leader_pairs(entries), "leaders")
+    first = materialize(leader_pairs(entries), "leaders", narrow=True)
     links = verified(estimated(first, named), sets)
     so_far = components(links, "near")
-    second = materialize(open_pairs(entries, so_far), "open")
+    second = materialize(open_pairs(entries, so_far), "open", narrow=True)
     tested = first.select(F.least("hub", "b").alias("l"), F.greatest("hub", "b").alias("g"))
     second = second.join(tested, (F.least("hub", "b") == F.col("l")) & (F.greatest("hub", "b") == F.col("g")), "left_anti")
-    more = verified(estimated(materialize(second, "untested"), named), sets)
+    more = verified(estimated(materialize(second, "untested", narrow=True), named), sets)
     found = components(so_far.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(more), "near")
-    found = small(materialize(found, "components"))
+    found = small(materialize(found, "components", narrow=True))
     by_class = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", F.col("n").alias("n_"), F.coalesce("component_id", "rep").alias("c"))
     return rows.join(by_class, (rows.s1 == by_class.s1) & (rows.s2 == by_class.s2) & (rows.n == by_class.n_), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"), F.expr("coalesce(c, doc_id) <=> doc_id").alias("kept")
@@ -230,5 +230,5 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: that of least doc_id, with all columns of docs. Rows that share its doc_id stay."""
-    found = materialize(near_duplicates(texts(docs)).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct(), "near-duplicates")
+    found = materialize(near_duplicates(texts(docs)).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct(), "near-duplicates", narrow=True)
     return docs.join(small(found), F.col("doc_id") == F.col("gone_id"), "left_anti")

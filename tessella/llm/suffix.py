@@ -188,13 +188,13 @@ def keyed(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """docs: doc_id, rid, text. doc_id, rid, start, end: spans that cover the bytes of every repeated string of length bytes; they may overlap."""
     found = materialize(phrases(docs, length), "phrases")
-    dictionary = materialize(found.groupBy("one", "two").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("one", "two"), "repeated-phrases")
+    dictionary = materialize(found.groupBy("one", "two").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("one", "two"), "repeated-phrases", narrow=True)
     whole = found.join(dictionary, ["one", "two"], "left_semi").select("doc_id", "rid", (F.col("at") - F.col("left")).alias("start"), (F.col("at") - F.col("left") + F.col("n") + (length - 1)).alias("end"))
     # triggers in two different phrases
-    shared = materialize(found.groupBy("key").agg(F.min(F.struct("one", "two")).alias("a"), F.max(F.struct("one", "two")).alias("b")).where("a <> b").select("key"), "triggers")
+    shared = materialize(found.groupBy("key").agg(F.min(F.struct("one", "two")).alias("a"), F.max(F.struct("one", "two")).alias("b")).where("a <> b").select("key"), "triggers", narrow=True)
     once = found.join(_small(shared), "key", "left_semi").groupBy("one", "two").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "rid", "at", "left", "n", "key")).alias("f"))
     members = materialize(once.select("f.*", (F.col("c") == 1).alias("alone")), "dictionary")
-    sizes = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.max("alone").alias("any_alone")).where("any_alone").select("key", (F.col("g") > group).alias("large")), "groups")
+    sizes = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.max("alone").alias("any_alone")).where("any_alone").select("key", (F.col("g") > group).alias("large")), "groups", narrow=True)
     met = members.join(_small(sizes.where("NOT large").select("key")), "key", "left_semi")
     spans = whole.unionByName(_met(materialize(excerpts(docs, met, length), "excerpts"), length))
     large = sizes.where("large").select("key")
