@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import materialize, slices, table, texts
+from .util import Rolling, materialize, mix64, slices, table, texts
 
 MAGIC = b"TWM1"
 BLOCK = 1 << 18
@@ -180,14 +180,17 @@ class Shard:
 
 #: Encoded words that a worker keeps.
 KEEP = 1_000_000
+_W1, _W2 = Rolling(0x9E3779B97F4A7C15), Rolling(0xC2B2AE3D27D4EB4F)
+_FREE = np.uint64(0)
 
 
 class Words:
-    """Whole texts encoded by the tokenizers library, word by word.
+    """Whole texts encoded by the tokenizers library, each distinct word once.
 
     The library splits a text before each space between two other than white characters, whatever surrounds it, and
-    encodes the parts by themselves. So a text is cut at these spaces, and each distinct word with its space goes to
-    the library once; texts with other white space beside a space go there whole.
+    encodes the parts by themselves. So a text is cut before these spaces, and each distinct part goes to the library
+    once; texts with other white space beside a space go there whole. Parts are told apart by 128-bit hashes, in an
+    open-addressed table that is searched for all parts of a slice at a time.
     """
 
     _loaded: dict[str, Words] = {}
@@ -202,8 +205,7 @@ class Words:
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         # in the byte-level alphabet a character is a byte
         self.length = np.array([len(self.library.id_to_token(i) or "") for i in range(size)], np.int64)
-        self.words: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
+        self._clear()
 
     @classmethod
     def load(cls, path: str) -> Words:
@@ -211,51 +213,102 @@ class Words:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def whole(self, strings: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.kind).tobytes() for x in self.library.encode_batch_fast(strings, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        """Words are joined by spaces for the library; token lengths tell which ids are whose."""
-        for i in range(0, len(words), 2000):
-            part = words[i : i + 2000]
-            text = " " + " ".join(part)
-            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
-            raw = np.frombuffer(text.encode(), np.uint8)
-            ends = np.append(np.flatnonzero(raw == 32)[1:], len(raw))  # words have no spaces
-            to = ((np.searchsorted(np.cumsum(self.length[ids]), ends) + 1) * self.kind.itemsize).tolist()
-            data = ids.tobytes()
-            self.words.update(zip(part, [data[a:b] for a, b in zip([0, *to[:-1]], to, strict=True)], strict=True))
-
-    def encode(self, strings: list[str], offsets: np.ndarray, data: np.ndarray) -> list[bytes]:
-        """The ids of each text as bytes of self.kind; offsets and data are the texts' UTF-8."""
-        if len(self.words) > KEEP:
-            self.words.clear()
-        if len(self.heads) > KEEP:
-            self.heads.clear()
+    def _clear(self, room: int = 0) -> None:
+        slots = 1 << (2 * max(KEEP, room) - 1).bit_length()
+        self.mask = slots - 1
+        self.keys, self.checks = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
+        self.start, self.count = np.zeros(slots, np.int64), np.zeros(slots, np.int32)
+        self.ids, self.used, self.held = np.zeros(1 << 20, self.kind), 0, 0
+
+    def whole(self, strings: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, self.kind) for x in self.library.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def _find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """The slot of each part, or -1."""
+        at = (h1 & np.uint64(self.mask)).astype(np.int64)
+        found = self.keys.take(at)
+        out = np.where((found == h1) & (self.checks.take(at) == h2), at, -1)
+        todo = np.flatnonzero((out < 0) & (found != _FREE))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & self.mask
+            found = self.keys.take(at[todo])
+            hit = (found == h1[todo]) & (self.checks.take(at[todo]) == h2[todo])
+            out[todo[hit]] = at[todo[hit]]
+            todo = todo[~hit & (found != _FREE)]
+        return out
+
+    def _put(self, h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        """Distinct new parts with their ids one after another."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), self.kind)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        start = self.used + np.cumsum(count) - count
+        self.used, self.held = self.used + len(ids), self.held + len(h1)
+        at, left = (h1 & np.uint64(self.mask)).astype(np.int64), np.arange(len(h1))
+        while len(left):
+            free = left[self.keys.take(at[left]) == _FREE]
+            _, first = np.unique(at[free], return_index=True)  # of those that want one slot, one gets it
+            put = free[first]
+            self.keys[at[put]], self.checks[at[put]], self.start[at[put]], self.count[at[put]] = h1[put], h2[put], start[put], count[put]
+            left = np.setdiff1d(left, put, assume_unique=True)
+            at[left] = (at[left] + 1) & self.mask
+
+    def _learn(self, data: bytes, start: np.ndarray, end: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> None:
+        _, first = np.unique(h1, return_index=True)
+        start, end, h1, h2 = start[first], end[first], h1[first], h2[first]
+        led = np.frombuffer(data, np.uint8)[start] == 32
+        for i in range(0, int(led.sum()), 4000):  # parts that a space leads are one text for the library; lengths tell whose ids are whose
+            part = np.flatnonzero(led)[i : i + 4000]
+            text = b"".join([data[a:b] for a, b in zip(start[part].tolist(), end[part].tolist(), strict=True)])
+            ids = self.whole([text.decode()])[0]
+            to = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum(end[part] - start[part])) + 1
+            self._put(h1[part], h2[part], ids, np.diff(to, prepend=0).astype(np.int32))
+        heads = np.flatnonzero(~led)
+        if len(heads):
+            own = self.whole([data[a:b].decode() for a, b in zip(start[heads].tolist(), end[heads].tolist(), strict=True)])
+            self._put(h1[heads], h2[heads], np.concatenate(own), np.array([len(x) for x in own], np.int32))
+
+    def encode(self, strings: list[str], offsets: np.ndarray, data: np.ndarray) -> list[np.ndarray]:
+        """The ids of each text; offsets and data are the texts' UTF-8."""
+        space = data == 32
+        mark = space.copy()
+        mark[offsets[:-1][np.diff(offsets) > 0]] = True
+        start = np.flatnonzero(mark)
+        if not len(start):
+            return [np.zeros(0, self.kind)] * len(strings)
+        if self.held > KEEP or self.held + len(start) > self.mask // 4 * 3:
+            self._clear(len(start))
+        end = np.append(start[1:], len(data))
+        text = np.searchsorted(offsets, start, "right") - 1
+        led = space.take(start)
+        at = start.compress(led)
+        pad = np.concatenate([np.full(3, 32, np.uint8), data, np.full(1, 32, np.uint8)])  # place i of data is i + 3
+        near = pad.take(at + 2)
+        bad = _WHITE.take(pad.take(at + 4)) | _WHITE_LAST.take(near) | ((pad.take(at + 1) == 0xC2) & (near < 0xA1)) | _WHITE_LEAD.take(pad.take(at))
+        of = text.compress(led)
+        bad |= (at == offsets.take(of)) | (at + 1 == offsets.take(of + 1))
         odd = np.zeros(len(strings), bool)
-        space = np.flatnonzero(data == 32)
-        if len(space):
-            pad = np.concatenate([np.full(3, 32, np.uint8), data, np.full(1, 32, np.uint8)])  # place i of data is i + 3
-            text = np.searchsorted(offsets, space, "right") - 1
-            bad = _WHITE[pad[space + 4]] | _WHITE_LAST[pad[space + 2]] | ((pad[space + 1] == 0xC2) & (pad[space + 2] < 0xA1)) | _WHITE_LEAD[pad[space]]
-            bad |= (space == offsets[text]) | (space + 1 == offsets[text + 1])
-            odd[text[bad]] = True
-        split = [s.split(" ") for s in strings]
+        odd[of.compress(bad)] = True
+        if odd.any():
+            use = ~odd.take(text)
+            start, end, text = start.compress(use), end.compress(use), text.compress(use)
+        size = (end - start).astype(np.uint64)
+        h1, h2 = (mix64(w.spans(w.prefix(data), start, end) + size) for w in (_W1, _W2))
+        h1 |= np.uint64(1)  # 0 marks a free slot
+        slot = self._find(h1, h2)
+        miss = np.flatnonzero(slot < 0)
+        if len(miss):
+            self._learn(data.tobytes(), start[miss], end[miss], h1[miss], h2[miss])
+            slot[miss] = self._find(h1[miss], h2[miss])
+        count = self.count.take(slot).astype(np.int64)
+        total = np.cumsum(count)
+        place = np.repeat(self.start.take(slot) - (total - count), count) + np.arange(total[-1] if len(total) else 0)
+        ids = self.ids.take(place)
+        to = np.concatenate([[0], total]).take(np.searchsorted(text, np.arange(len(strings) + 1)))
+        out = [ids[a:b] for a, b in zip(to[:-1].tolist(), to[1:].tolist(), strict=True)]
         sent = np.flatnonzero(odd).tolist()
-        for i in sent:
-            split[i] = [""]
-        first = [p[0] for p in split]
-        for p in split:
-            p[0] = ""
-        fresh = list(set(first).difference(self.heads))
-        self.heads.update(zip(fresh, self.whole(fresh), strict=True))
-        here = set().union(*split) | {""}
-        self.words[""] = b""
-        self._learn(list(here.difference(self.words)))
-        get = {w: self.words[w] for w in here}.__getitem__  # a small table for many lookups
-        out = [self.heads[w] + b"".join(map(get, p)) for w, p in zip(first, split, strict=True)]
-        for i, ids in zip(sent, self.whole([strings[i] for i in sent]), strict=True):
-            out[i] = ids
+        for i, own in zip(sent, self.whole([strings[i] for i in sent]), strict=True):
+            out[i] = own
         return out
 
 
@@ -283,15 +336,15 @@ def write_shards(docs: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) ->
         from pyspark import TaskContext
 
         coder = Words.load(path)
-        end = np.array([END], coder.kind).tobytes()
+        end = np.array([END], coder.kind)
         ids, lengths, names = [], [], []
         for part, offsets, data in slices(batches, "text", 4 << 20):
             for x in coder.encode([t or "" for t in part.column(1).to_pylist()], offsets, data):
-                lengths.append(len(x) // coder.kind.itemsize + 1)
+                lengths.append(len(x) + 1)
                 ids += (x, end)
             names.append(np.array([-(2**63) if d is None else d for d in part.column(0).to_pylist()], np.int64))
         if lengths:
-            file = write_file(np.concatenate(names), np.array(lengths), np.frombuffer(b"".join(ids), coder.kind))
+            file = write_file(np.concatenate(names), np.array(lengths), np.concatenate(ids))
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([len(lengths)], pa.int64()), pa.array([int(np.sum(lengths))], pa.int64()), pa.array([file], pa.binary())], ["shard", "n_docs", "n_tokens", "file"])
 
     return materialize(dealt.mapInArrow(run, "shard long, n_docs long, n_tokens long, file binary"), "token-shards")

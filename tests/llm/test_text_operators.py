@@ -197,6 +197,19 @@ def test_op7(spark, folder, corpus_rows):
     same(rows(queries.queries()["op7_wavelet_tokens"](spark, folder)), wanted)
 
 
+def test_op7_words_as_whole_texts(corpus_rows):
+    """Parts that are encoded by themselves give what whole texts give, also when the table of parts starts anew."""
+    coder = tokens.Words(public_tokenizers.path("byte_bpe_50k.json"))
+    odd = ["", " ", " a", "a ", "a  b", "x\n y", "x \ny", "<|endoftext|> a <|endoftext|>", "don't  it's  'll x", "é é  b", "a\u3000 b a \u3000b", "日本 語 x\t y", "1 22 333,a b.c \x1c d", " é\x85 b", "a\x1c b", "à la à\xa0 la \xa0"]
+    for room in (0, 1, 0):
+        strings = odd + [t or "" for _, t in corpus_rows]
+        raw = [s.encode() for s in strings]
+        got = coder.encode(strings, np.concatenate([[0], np.cumsum([len(b) for b in raw])]), np.frombuffer(b"".join(raw), np.uint8))
+        assert [x.tolist() for x in got] == [x.tolist() for x in coder.whole(strings)]
+        if room:
+            coder._clear()
+
+
 def test_wavelet_queries():
     rng = np.random.default_rng(0)
     for n, top in ((1, 1), (1000, 7), (tokens.SUPER * 3, 50_000), (5000, 3)):
