@@ -20,7 +20,7 @@ from . import drc
 
 #: Fixed values of the formats.
 GLB_MAGIC, GLB_VERSION, JSON_CHUNK, BIN_CHUNK = 0x46546C67, 2, 0x4E4F534A, 0x004E4942
-DRACO = "KHR_draco_mesh_compression"
+COMPRESSION = "KHR_draco_mesh_compression"
 KNOWN = {"KHR_materials_unlit", "KHR_texture_transform", "KHR_materials_variants", "KHR_lights_punctual", "EXT_mesh_features", "EXT_structural_metadata", "EXT_texture_webp", "EXT_mesh_gpu_instancing", "KHR_mesh_quantization", "KHR_materials_specular", "KHR_materials_ior"}
 DTYPES = {5120: "<i1", 5121: "<u1", 5122: "<i2", 5123: "<u2", 5125: "<u4", 5126: "<f4"}
 
@@ -96,7 +96,7 @@ def accessor(doc: dict, buffers: list[bytes], index: int) -> np.ndarray:
 
 def primitive(doc: dict, buffers: list[bytes], p: dict) -> tuple[list[tuple], list[drc.Attribute], list[str]]:
     """Triangles, attributes and their names in the document. Without indices, points follow one another."""
-    if DRACO in p.get("extensions", {}):
+    if COMPRESSION in p.get("extensions", {}):
         raise ValueError("a primitive that is compressed already")
     names = p["attributes"]
     position = accessor(doc, buffers, names["POSITION"]).astype(np.float32)
@@ -164,7 +164,7 @@ def transcode(data: bytes, files: Callable[[str], bytes] | None = None, bits: di
                 accessors.append({"componentType": 5125, "count": 3 * len(triangles), "type": "SCALAR"})
                 done[same] = {"attributes": {n: i for n, (i, _) in ids.items()}, "indices": len(accessors) - 1, "extension": {"bufferView": view(stream), "attributes": {n: i for n, (_, i) in ids.items()}}}
             d = done[same]
-            mesh["primitives"][k] = {**p, "attributes": d["attributes"], "indices": d["indices"], "mode": 4, "extensions": {**p.get("extensions", {}), DRACO: d["extension"]}}
+            mesh["primitives"][k] = {**p, "attributes": d["attributes"], "indices": d["indices"], "mode": 4, "extensions": {**p.get("extensions", {}), COMPRESSION: d["extension"]}}
     def moved(index: int) -> int:
         """A buffer view copied as it is."""
         v = doc["bufferViews"][index]
@@ -199,7 +199,7 @@ def transcode(data: bytes, files: Callable[[str], bytes] | None = None, bits: di
     new["accessors"], new["bufferViews"] = accessors, views
     new["buffers"] = [{"byteLength": len(body) + -len(body) % 4}]
     for key in ("extensionsUsed", "extensionsRequired"):
-        new[key] = sorted({*new.get(key, []), DRACO} if done else set(new.get(key, [])))
+        new[key] = sorted({*new.get(key, []), COMPRESSION} if done else set(new.get(key, [])))
         if not new[key]:
             del new[key]
     return glb({k: v for k, v in new.items() if v != []}, bytes(body))
@@ -233,8 +233,8 @@ def tables(docs: DataFrame) -> DataFrame:
             for p in m["primitives"]:
                 for attribute, number in sorted(p["attributes"].items()):
                     yield {"kind": "attribute", "idx": number, "name": attribute, "mesh": i, "body": json.dumps(doc["accessors"][number]) if number < len(doc.get("accessors", [])) else None}
-                if DRACO in p.get("extensions", {}):
-                    yield {"kind": "compressed", "idx": p["extensions"][DRACO]["bufferView"], "mesh": i}
+                if COMPRESSION in p.get("extensions", {}):
+                    yield {"kind": "compressed", "idx": p["extensions"][COMPRESSION]["bufferView"], "mesh": i}
                 yield {"kind": "primitive", "idx": i, "name": m.get("name"), "mesh": i, "material": p.get("material"), "mode": p.get("mode", 4), "body": json.dumps(p)}
         for kind, key in (("accessor", "accessors"), ("view", "bufferViews"), ("material", "materials"), ("texture", "textures"), ("image", "images"), ("sampler", "samplers")):
             for i, x in enumerate(doc.get(key, [])):
@@ -258,7 +258,7 @@ def compressed_parts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 doc, buffers = parse(body.as_py(), lambda uri: b"")
-                own = sorted({p["extensions"][DRACO]["bufferView"] for m in doc.get("meshes", []) for p in m["primitives"] if DRACO in p.get("extensions", {})})
+                own = sorted({p["extensions"][COMPRESSION]["bufferView"] for m in doc.get("meshes", []) for p in m["primitives"] if COMPRESSION in p.get("extensions", {})})
                 parts = []
                 for i in own:
                     v = doc["bufferViews"][i]

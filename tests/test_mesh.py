@@ -346,8 +346,8 @@ def test_gltf(spark, tmp_path):
     assert done["/a.glb"]["status"] == "done" and "a.bin" in done["b.gltf"]["status"] and "XX_none" in done["c.gltf"]["status"]
     new, buffers = gltf.parse(bytes(done["/a.glb"]["glb"]))
     p = new["meshes"][0]["primitives"]
-    assert p[0]["extensions"] == p[1]["extensions"] and new["extensionsRequired"] == [gltf.DRACO] and new["nodes"][0]["name"] == 'a "quoted" name'
-    v = new["bufferViews"][p[0]["extensions"][gltf.DRACO]["bufferView"]]
+    assert p[0]["extensions"] == p[1]["extensions"] and new["extensionsRequired"] == [gltf.COMPRESSION] and new["nodes"][0]["name"] == 'a "quoted" name'
+    v = new["bufferViews"][p[0]["extensions"][gltf.COMPRESSION]["bufferView"]]
     h = drc.header(buffers[0][v["byteOffset"] : v["byteOffset"] + v["byteLength"]])
     assert (h["faces"], h["vertices"], [a["kind"] for a in h["attributes"]]) == (2, 4, ["POSITION", "CUSTOM"])
     image = new["bufferViews"][new["images"][0]["bufferView"]]
