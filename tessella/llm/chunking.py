@@ -20,7 +20,7 @@ from .suffix import keyed
 from .util import Rolling, materialize, mix64, signed, slices, table
 
 #: Bytes of a chunk: least, on average beyond the least, most. Bytes that the hash depends on.
-LEAST, MEAN, MOST, REACH = 12, 28, 1024, 32
+LEAST, MEAN, MOST, REACH = 8, 20, 1024, 16
 RUN = 80
 
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
