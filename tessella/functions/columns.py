@@ -230,3 +230,9 @@ def point_triangle_distance(p: Vector, a: Vector, b: Vector, c: Vector) -> Colum
     inside = (nn > 0) & (w >= 0) & (v >= 0) & (v + w <= 1)
     height = dot(ap, n)
     return F.sqrt(F.when(inside, height * height / safe).otherwise(F.least(segment(a, b), segment(b, c), segment(c, a))))
+
+
+def texture_transform_is_default(offset: Column, rotation: Column, scale: Column, tex_coord: Column) -> Column:
+    """Whether a texture transform (arrays of two; null: not given) changes nothing."""
+    two = lambda c, v: F.coalesce(c == F.array(F.lit(v), F.lit(v)), F.lit(True))
+    return two(offset, 0.0) & F.coalesce(rotation == 0.0, F.lit(True)) & two(scale, 1.0) & tex_coord.isNull()

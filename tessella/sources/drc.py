@@ -203,7 +203,7 @@ def _connectivity(s: Surface, w: Walk, cuts: list[Cut]) -> bytes:
     return b"".join(out)
 
 
-def encode(triangles: list[tuple[int, int, int]], attributes: list[Attribute], bits: dict[str, int] | None = None) -> bytes:
+def encode(triangles: list[tuple[int, int, int]], attributes: list[Attribute], bits: dict[str, int] | None = None, metadata: bool = False) -> bytes:
     """triangles of points; attributes by point, one of them POSITION. Degenerate triangles are left out; quantization bits may be given by type."""
     attributes = sorted(attributes, key=lambda a: a.kind != "POSITION")
     if not attributes or attributes[0].kind != "POSITION":
@@ -216,7 +216,7 @@ def encode(triangles: list[tuple[int, int, int]], attributes: list[Attribute], b
     point = [p for t in triangles for p in t]
     values = [_ids(a.values) for a in attributes]
     cuts = [Cut(s, [v[p] for p in point]) for v in values[1:]]
-    out = [MAGIC, bytes([*VERSION, TRIANGLES, EDGEBREAKER, 0, 0]), _connectivity(s, w, cuts), bytes([len(attributes)])]
+    out = [MAGIC, bytes([*VERSION, TRIANGLES, EDGEBREAKER]) + (b"\0\x80" + bytes(4) if metadata else b"\0\0"), _connectivity(s, w, cuts), bytes([len(attributes)])]
     for k, a in enumerate(attributes):
         out.append(bytes([(k - 1) & 255, a.domain, 0]))
     for k, a in enumerate(attributes):
@@ -262,7 +262,8 @@ def header(data: bytes) -> dict:
     if data[:5] != MAGIC:
         raise ValueError("no compressed mesh")
     out: dict = {"version": tuple(data[5:7]), "geometry": data[7], "method": data[8]}
-    at = 12
+    out["metadata"] = bool(data[10] & 128)  # an empty list, if there
+    at = 16 if out["metadata"] else 12  # past the kind of traversal
     out["vertices"], at = read_varint(data, at)
     out["faces"], at = read_varint(data, at)
     n_data, at = data[at], at + 1

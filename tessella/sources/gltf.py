@@ -294,3 +294,49 @@ def transcoded(docs: DataFrame, bits: dict[str, int] | None = None) -> DataFrame
 def report(done: DataFrame) -> DataFrame:
     """What became of each document, with its ratio."""
     return done.select("path", "status", "before", "after", F.try_divide(F.col("before").cast("double"), F.col("after").cast("double")).alias("ratio"))
+
+
+_MAP = "struct<index:int,texCoord:int,scale:double,strength:double,extensions:map<string,string>>"
+_MATERIAL = f"struct<name:string,doubleSided:boolean,alphaMode:string,alphaCutoff:double,emissiveFactor:array<double>,normalTexture:{_MAP},occlusionTexture:{_MAP},emissiveTexture:{_MAP},pbrMetallicRoughness:struct<baseColorFactor:array<double>,metallicFactor:double,roughnessFactor:double,baseColorTexture:{_MAP},metallicRoughnessTexture:{_MAP}>,extensions:map<string,string>>"
+
+
+def materials(tables_: DataFrame) -> DataFrame:
+    """Materials of documents with the format's defaults, the textures that they use, and whether they are unlit or have other extensions."""
+    m = F.from_json("body", _MATERIAL)
+    pbr = m["pbrMetallicRoughness"]
+    names = F.coalesce(F.map_keys(m["extensions"]), F.array().cast("array<string>"))
+    default = lambda c, v: F.coalesce(c, F.lit(v)) if not isinstance(v, list) else F.coalesce(c, F.array(*map(F.lit, v)))
+    return tables_.where("kind = 'material'").select(
+        "file", F.col("idx").alias("material"), F.coalesce("name", F.lit("")).alias("name"),
+        default(pbr["baseColorFactor"], [1.0] * 4).alias("base_color"), default(pbr["metallicFactor"], 1.0).alias("metallic"), default(pbr["roughnessFactor"], 1.0).alias("roughness"),
+        default(m["emissiveFactor"], [0.0] * 3).alias("emissive"), default(m["doubleSided"], False).alias("double_sided"), default(m["alphaMode"], "OPAQUE").alias("alpha_mode"), default(m["alphaCutoff"], 0.5).alias("alpha_cutoff"),
+        pbr["baseColorTexture"]["index"].alias("color_texture"), pbr["metallicRoughnessTexture"]["index"].alias("metallic_texture"), m["normalTexture"]["index"].alias("normal_texture"), m["occlusionTexture"]["index"].alias("occlusion_texture"),
+        F.array_contains(names, "KHR_materials_unlit").alias("unlit"), F.sort_array(names).alias("extensions"),
+    )
+
+
+def texture_uses(materials_: DataFrame) -> DataFrame:
+    """file, texture, channels: textures once each; one that only occludes needs one channel, one that is also metallic and rough three, colours four."""
+    use = F.array(*(F.struct(F.col(c).alias("texture"), F.lit(n).alias("n")) for c, n in (("color_texture", 4), ("metallic_texture", 3), ("normal_texture", 3), ("occlusion_texture", 1))))
+    return materials_.select("file", F.inline(use)).where("texture IS NOT NULL").groupBy("file", "texture").agg(F.max("n").alias("channels"))
+
+
+def mesh_features(tables_: DataFrame) -> DataFrame:
+    """file, mesh, ordinal, label, feature_count, null_id, attribute, property_table, texture, channels of primitives' feature id sets."""
+    sets = F.from_json(F.get_json_object("body", "$.extensions.EXT_mesh_features.featureIds"), "array<struct<label:string,featureCount:int,nullFeatureId:int,attribute:string,propertyTable:int,texture:struct<index:int,texCoord:int,channels:array<int>>>>")
+    own = tables_.where("kind = 'primitive'").select("file", "mesh", F.posexplode(sets).alias("ordinal", "f"))
+    f = F.col("f")
+    return own.select("file", "mesh", "ordinal", f["label"].alias("label"), f["featureCount"].alias("feature_count"), f["nullFeatureId"].alias("null_id"), F.regexp_extract(f["attribute"], r"(\d+)$", 1).cast("int").alias("attribute"), f["propertyTable"].alias("property_table"), f["texture"]["index"].alias("texture"), F.coalesce(f["texture"]["channels"], F.when(f["texture"].isNotNull(), F.array(F.lit(0)))).alias("channels"))
+
+
+def instances(tables_: DataFrame) -> DataFrame:
+    """file, node, mesh, material: what each node shows, each pair once."""
+    nodes = tables_.where("kind = 'node' AND mesh IS NOT NULL").select("file", F.col("idx").alias("node"), "mesh")
+    parts = tables_.where("kind = 'primitive'").select("file", "mesh", "material")
+    return nodes.join(parts, ["file", "mesh"]).select("file", "node", "mesh", "material").distinct()
+
+
+def extension_names(tables_: DataFrame) -> DataFrame:
+    """file, extensions: names that nodes, primitives and materials use, sorted."""
+    keys = F.json_object_keys(F.get_json_object("body", "$.extensions"))
+    return tables_.select("file", F.explode(keys).alias("name")).groupBy("file").agg(F.sort_array(F.collect_set("name")).alias("extensions"))

@@ -391,6 +391,27 @@ def test_document_parts(spark, tmp_path):
     assert (got["faces"], got["vertices"], got["attributes"], got["splits"], sum(got["symbols"].values())) == (2, 4, 2, 0, 2)
 
 
+def test_document_tables(spark, tmp_path):
+    doc, body = document()
+    doc["materials"] = [{"name": "m", "doubleSided": True, "pbrMetallicRoughness": {"metallicFactor": 0.5, "baseColorTexture": {"index": 1}}, "occlusionTexture": {"index": 0}, "extensions": {"KHR_materials_unlit": {}}}, {}]
+    doc["meshes"][0]["primitives"][0]["extensions"] = {"EXT_mesh_features": {"featureIds": [{"featureCount": 3, "attribute": 0}, {"featureCount": 2, "label": "x", "texture": {"index": 4}}]}}
+    (tmp_path / "a.glb").write_bytes(gltf.glb(doc, body))
+    t = gltf.tables(gltf.documents(spark, str(tmp_path)))
+    a, b = gltf.materials(t).orderBy("material").collect()
+    assert (a["name"], a["metallic"], a["roughness"], a["color_texture"], a["double_sided"], a["unlit"], a["extensions"]) == ("m", 0.5, 1.0, 1, True, True, ["KHR_materials_unlit"])
+    assert (b["base_color"], b["alpha_mode"], b["alpha_cutoff"], b["unlit"], b["extensions"]) == ([1.0] * 4, "OPAQUE", 0.5, False, [])
+    assert sorted(rows(gltf.texture_uses(gltf.materials(t)).select("texture", "channels"))) == [(0, 1), (1, 4)]
+    f = gltf.mesh_features(t).orderBy("ordinal").collect()
+    assert [(x["feature_count"], x["label"], x["attribute"], x["texture"], x["channels"]) for x in f] == [(3, None, 0, None, None), (2, "x", None, 4, [0])]
+    assert rows(gltf.instances(t).select("node", "mesh", "material")) == [(1, 0, 0)]
+    assert rows(gltf.extension_names(t).select("extensions")) == [(["EXT_mesh_features", "KHR_materials_unlit"],)]
+    one = lambda *x: C.texture_transform_is_default(*x)
+    z, none = F.array(F.lit(0.0), F.lit(0.0)), F.lit(None)
+    assert spark.range(1).select(one(z, F.lit(0.0), none.cast("array<double>"), none), one(z, F.lit(0.1), none.cast("array<double>"), none)).first()[:] == (True, False)
+    h = drc.header(drc.encode(grid(2), [drc.Attribute("POSITION", np.random.default_rng(0).normal(size=(9, 3)).astype(np.float32))], metadata=True))
+    assert h["metadata"] and (h["faces"], h["vertices"]) == (8, 9)
+
+
 def test_spectra(spark):
     rng = random.Random(4)
     names = rng.sample(range(16), 16)
