@@ -45,11 +45,11 @@ def _clean() -> None:
 def materialize(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: the lineage ends there and a lost executor loses nothing.
 
-    narrow: rows of a few ids, which are written by a quarter of the shuffle partitions (40 at least), as fewer files.
+    narrow: rows of a few ids, which are written by an eighth of the shuffle partitions (6 at least), as fewer files.
     """
     spark = df.sparkSession
     if narrow:
-        df = df.coalesce(max(40, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
+        df = df.coalesce(max(6, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_dir(spark)}/tessella/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     if not _made:
         atexit.register(_clean)
