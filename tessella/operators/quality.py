@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.columns import point_triangle_distance
+from ..tables import written
+
+#: Rounds of the search for far faces, at most.
+LEVELS = 20
 
 
 def triangles(faces: DataFrame, positions: DataFrame) -> DataFrame:
@@ -17,31 +26,76 @@ def triangles(faces: DataFrame, positions: DataFrame) -> DataFrame:
 
 
 def nearest_face(points: DataFrame, tris: DataFrame, cell: float, rings: int = 1) -> DataFrame:
-    """mesh_id, point_idx, dist: distance to the nearest face of the mesh that comes within `rings` cells of a grid.
+    """mesh_id, point_idx, dist: distance to the nearest face of the mesh, however far; null without such a face or with a place that is not finite.
 
     Points meet faces by an equi-join on grid cells: a face lies in all cells of its bounding box, a point looks in its cell
-    and those around. Distances up to rings * cell are exact; null means that none is as near.
+    and those around. Distances up to rings * cell are proven by that; points without one go down the tree of `far_face`.
     """
     def cells(low: Column, high: Column) -> Column:
         return F.sequence(F.floor(low / cell).cast("long"), F.floor(high / cell).cast("long"))
 
-    t = tris
+    t = tris = tris.where(_finite(f"{v}{c}" for v in "abc" for c in "xyz"))
     for c in "xyz":
         corner = [F.col(f"{v}{c}") for v in "abc"]
         t = t.withColumn(f"g{c}", F.explode(cells(F.least(*corner), F.greatest(*corner))))
-    p = points
+    sound = p = points.select("mesh_id", "point_idx", *(F.col(c).cast("double") for c in "xyz")).where(_finite("xyz"))
     for c in "xyz":
         p = p.withColumn(f"g{c}", F.explode(cells(F.col(c) - rings * cell, F.col(c) + rings * cell)))
-    near = p.join(t, ["mesh_id", "gx", "gy", "gz"])
-    d = point_triangle_distance([F.col(c) for c in "xyz"], *([F.col(f"{v}{c}") for c in "xyz"] for v in "abc"))
-    best = near.select("mesh_id", "point_idx", d.alias("d")).groupBy("mesh_id", "point_idx").agg(F.min("d").alias("dist")).where(F.col("dist") <= rings * cell)
+    near = _least(p.join(t, ["mesh_id", "gx", "gy", "gz"])).where(F.col("dist") <= rings * cell)
+    near = written(near, "near-faces")
+    left = written(sound.join(near, ["mesh_id", "point_idx"], "left_anti"), "far-points")
+    best = near.unionByName(far_face(left, tris, cell)) if left.limit(1).count() else near
     return points.select("mesh_id", "point_idx").join(best, ["mesh_id", "point_idx"], "left")
 
 
+def _finite(columns: Iterable[str]) -> Column:
+    return reduce(lambda a, b: a & b, (F.coalesce(F.abs(F.col(c).cast("double")) < float("inf"), F.lit(False)) for c in columns))
+
+
+def _least(pairs: DataFrame) -> DataFrame:
+    """The least distance of each point over its pairs with faces."""
+    d = point_triangle_distance([F.col(c) for c in "xyz"], *([F.col(f"{v}{c}") for c in "xyz"] for v in "abc"))
+    return pairs.select("mesh_id", "point_idx", d.alias("d")).groupBy("mesh_id", "point_idx").agg(F.min("d").alias("dist"))
+
+
+def far_face(points: DataFrame, tris: DataFrame, cell: float) -> DataFrame:
+    """mesh_id, point_idx, dist: the exact nearest face at any distance, down a tree of boxes; places must be finite.
+
+    Each face lies in the cell of its middle, and a box bounds the faces of a cell; eight cells have a parent, up to one of a
+    mesh. A point keeps the boxes whose nearest place is not beyond the farthest place of any box of that level, as a face
+    lies in each. Cells are as large as a mesh's extent over 2 ** LEVELS at least, so that there are that many rounds at most.
+    """
+    for c in "xyz":
+        corner = [F.col(f"{v}{c}") for v in "abc"]
+        tris = tris.withColumn(f"l{c}", F.least(*corner)).withColumn(f"h{c}", F.greatest(*corner))
+    around = tris.groupBy("mesh_id").agg(*(F.min(f"l{c}").alias(f"o{c}") for c in "xyz"), F.greatest(*(F.max(f"h{c}") - F.min(f"l{c}") for c in "xyz")).alias("extent"))
+    around = written(around.select("*", F.greatest(F.lit(float(cell)), F.col("extent") / (1 << LEVELS)).alias("side")), "mesh-boxes")
+    levels = int(around.agg(F.max(F.floor(F.col("extent") / F.col("side")))).first()[0] or 0).bit_length()
+    place = [F.floor(((F.col(f"l{c}") + F.col(f"h{c}")) / 2 - F.col(f"o{c}")) / F.col("side")).cast("long").alias(f"g{c}") for c in "xyz"]
+    faces = written(tris.join(around, "mesh_id").select("mesh_id", *place, *(f"{v}{c}" for v in "abclh" for c in "xyz")), "face-cells")
+    bounds = [f(f"{v}{c}").alias(f"{v}{c}") for v, f in (("l", F.min), ("h", F.max)) for c in "xyz"]
+    boxes = [written(faces.groupBy("mesh_id", "gx", "gy", "gz").agg(*bounds), "boxes")]
+    for _ in range(levels):
+        up = boxes[-1].select("mesh_id", *(F.shiftright(f"g{c}", 1).alias(f"g{c}") for c in "xyz"), *(f"{v}{c}" for v in "lh" for c in "xyz"))
+        boxes.append(written(up.groupBy("mesh_id", "gx", "gy", "gz").agg(*bounds), "boxes"))
+    x = [F.col(c) for c in "xyz"]
+    low, high = ([F.col(f"{v}{c}") for c in "xyz"] for v in "lh")
+    least = reduce(add, (F.pow(F.greatest(a - p, p - b, F.lit(0.0)), F.lit(2.0)) for p, a, b in zip(x, low, high, strict=True)))
+    most = reduce(add, (F.pow(F.greatest(F.abs(p - a), F.abs(p - b)), F.lit(2.0)) for p, a, b in zip(x, low, high, strict=True)))
+    front = points.select("mesh_id", "point_idx", "x", "y", "z", *(F.lit(0).cast("long").alias(f"u{c}") for c in "xyz"))
+    for level in reversed(boxes):
+        down = level.select("*", *(F.shiftright(f"g{c}", 1).alias(f"u{c}") for c in "xyz"))
+        met = front.join(down, ["mesh_id", "ux", "uy", "uz"]).withColumn("least", least)
+        met = met.withColumn("bound", F.min(most).over(Window.partitionBy("mesh_id", "point_idx"))).where(F.col("least") <= F.col("bound") * (1 + 1e-9))
+        front = written(met.select("mesh_id", "point_idx", "x", "y", "z", *(F.col(f"g{c}").alias(f"u{c}") for c in "xyz")), "boxes-of-points")
+    return _least(front.select("mesh_id", "point_idx", "x", "y", "z", *(F.col(f"u{c}").alias(f"g{c}") for c in "xyz")).join(faces, ["mesh_id", "gx", "gy", "gz"]))
+
+
 def squared_distance(points: DataFrame, tris: DataFrame, cell: float, rings: int = 1) -> DataFrame:
-    """mesh_id, total (sum of squares of the distances found), missed (points without a face near enough)."""
+    """mesh_id, total (sum of squares of the distances; null if one is missed), missed (points without any face, or not finite)."""
     near = nearest_face(points, tris, cell, rings)
-    return near.groupBy("mesh_id").agg(F.coalesce(F.sum(F.col("dist") * F.col("dist")), F.lit(0.0)).alias("total"), F.count_if(F.col("dist").isNull()).alias("missed"))
+    missed = F.count_if(F.col("dist").isNull())
+    return near.groupBy("mesh_id").agg(F.when(missed == 0, F.sum(F.col("dist") * F.col("dist"))).alias("total"), missed.alias("missed"))
 
 
 def l2_distance(a: tuple[DataFrame, DataFrame], b: tuple[DataFrame, DataFrame], cell: float, rings: int = 1) -> DataFrame:

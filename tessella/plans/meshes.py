@@ -34,7 +34,7 @@ def compressed_meshes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest_face_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance of each point to the nearest face of a grid surface within a cell."""
+    """Distance of each point to the nearest face of a grid surface."""
     from .catalog import grid
 
     faces, values = grid(spark, 20)

@@ -235,6 +235,27 @@ def test_mesh_distance(spark):
     assert missed == 0 and abs(l2 - np.sqrt(50 * 0.01)) < 1e-9
 
 
+def test_mesh_distance_far(spark):
+    """Distances beyond the cells around a point: none is left out."""
+    f = faces_of(spark, {0: grid(4)})
+    p = spark.createDataFrame([(0, i * 5 + j, i / 4, j / 4, 0.0) for i in range(5) for j in range(5)], "mesh_id long, point_idx long, x double, y double, z double")
+    for away in (3.0, 1e7):
+        (_, l2, missed), = rows(quality.l2_distance((f, p), (f, p.withColumn("z", F.lit(away))), 0.25))
+        assert missed == 0 and abs(l2 / np.sqrt(50 * away**2) - 1) < 1e-9
+    # scattered triangles of many sizes in two meshes, and points near and far; a mesh without faces; a place that is none
+    rng = random.Random(3)
+    tris = [(m, k, *(o[c] + rng.uniform(-s, s) for _ in "abc" for c in range(3))) for m in range(2) for k in range(120) for o, s in [([rng.uniform(-9, 9) for _ in "xyz"], rng.choice([0.01, 0.3, 2]))]]
+    asked = [(m, k, *(rng.uniform(-w, w) for _ in "xyz")) for m in range(3) for k in range(60) for w in [rng.choice([3, 15, 500])]]
+    asked.append((0, 999, float("nan"), 0.0, 0.0))
+    t = spark.createDataFrame(tris, "mesh_id long, face_idx long, " + ", ".join(f"{v}{c} double" for v in "abc" for c in "xyz"))
+    q = spark.createDataFrame(asked, "mesh_id long, point_idx long, x double, y double, z double")
+    got = {r[:2]: r[2] for r in rows(quality.nearest_face(q, t, 0.25))}
+    d = C.point_triangle_distance([F.col(c) for c in "xyz"], *([F.col(f"{v}{c}") for c in "xyz"] for v in "abc"))
+    want = {r[:2]: r[2] for r in rows(q.where("point_idx < 999").join(t, "mesh_id").groupBy("mesh_id", "point_idx").agg(F.min(d)))}
+    assert len(got) == len(asked) and len(want) == 120 and max(want.values()) > 100
+    assert all(v is None if k not in want else abs(v - want[k]) < 1e-9 for k, v in got.items())
+
+
 def test_transforms(spark):
     q = np.array([0.1, 0.2, 0.3, 0.9])
     q /= np.linalg.norm(q)
