@@ -133,7 +133,7 @@ def write(pages: DataFrame, revisit_bytes: int = 0, file_bytes: int = FILE_BYTES
     return materialize(rows.mapInArrow(run, schema), "warc")
 
 
-def index(archives: DataFrame) -> DataFrame:
+def index(archives: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     """The second level: block, first (its first key), last, n and data (compressed lines), sorted by key over all blocks."""
     lines = archives.select("file", F.inline("captures")).select("key", "page_id", "file", "offset", "length")
     # by key and place, so that a key of many captures is split too
@@ -148,9 +148,9 @@ def index(archives: DataFrame) -> DataFrame:
 
         for batch in batches:
             have += zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)
-            while len(have) >= BLOCK_LINES:
-                yield block(have[:BLOCK_LINES])
-                have, k = have[BLOCK_LINES:], k + 1
+            while len(have) >= block_lines:
+                yield block(have[:block_lines])
+                have, k = have[block_lines:], k + 1
         if have:
             yield block(have)
 
@@ -195,34 +195,44 @@ def read(found: DataFrame, archives: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
-def lookup(urls: DataFrame, blocks: DataFrame) -> DataFrame:
-    """urls: url. Each with its captures: url, key, page_id, file, offset, length; URLs without captures have no row."""
-    asked = urls.select(F.col("url").cast("string").alias("url")).distinct()
-    n = blocks.select("block").limit(DIRECTORY_ROWS + 1).count()
+def keyed(urls: DataFrame) -> DataFrame:
+    """urls: url. Each once, with its key."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([surt(u) for u in batch.column(0).to_pylist()], pa.string())], ["url", "key"])
 
-    keyed = asked.mapInArrow(keys, "url string, key string")
+    return urls.select(F.col("url").cast("string").alias("url")).distinct().mapInArrow(keys, "url string, key string")
+
+
+def search(keys: DataFrame, blocks: DataFrame) -> DataFrame:
+    """keys: key. The captures of these keys, each once: key, page_id, file, offset, length."""
+    asked = keys.select("key").distinct()
+    n = blocks.select("block").limit(DIRECTORY_ROWS + 1).count()
     if n > DIRECTORY_ROWS:
-        return keyed.join(captures(blocks), "key")
+        return captures(blocks).join(asked, "key", "left_semi")
     directory = sorted((r["first"], r["last"], r["block"]) for r in blocks.select("first", "last", "block").toLocalIterator())
     first, last, number = ([d[i] for d in directory] for i in range(3))
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for url, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key in batch.column(0).to_pylist():
                 i = bisect.bisect_left(last, key)  # the first block that ends at the key or after it
                 while i < len(first) and first[i] <= key:
-                    out.append((url, key, number[i]))
+                    out.append((key, number[i]))
                     i += 1
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.int64())], ["url", "key", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64())], ["key", "block"])
 
-    hits = materialize(keyed.mapInArrow(search, "url string, key string, block long"), "lookup")
+    hits = materialize(asked.mapInArrow(find, "key string, block long"), "lookup")
     needed = blocks.join(hits.select("block").distinct(), "block", "left_semi")
-    return hits.select("url", "key").distinct().join(captures(needed), "key")
+    return captures(needed).join(hits.select("key").distinct(), "key", "left_semi")
+
+
+def lookup(urls: DataFrame, blocks: DataFrame) -> DataFrame:
+    """urls: url. Each with its captures: url, key, page_id, file, offset, length; URLs without captures have no row."""
+    asked = materialize(keyed(urls), "asked")
+    return asked.join(search(asked, blocks), "key").select("url", "key", "page_id", "file", "offset", "length")
 
 
 def export(archives: DataFrame, folder: str) -> list[str]:
@@ -236,6 +246,8 @@ def export(archives: DataFrame, folder: str) -> list[str]:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of pages, written to archives and read back through the capture index."""
-    archives = write(table(spark, sf_dir, "pages"))
-    return read(captures(index(archives)), archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    """Every row of pages, written to archives and read back: its URL is looked up in the capture index, and each capture is read once."""
+    pages = table(spark, sf_dir, "pages")
+    archives = write(pages)
+    found = search(keyed(pages), index(archives))
+    return read(found, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")

@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -48,6 +49,18 @@ def test_lookup_and_files(spark, pages, tmp_path):
     assert records == len(rows)
 
 
+def test_op3_searches_the_directory(spark, pages, monkeypatch):
+    """op3 finds its captures by the sparse directory; here over blocks of two lines, and each capture once."""
+    folder, rows = pages
+    asked, index, search = [], warc.index, warc.search
+    monkeypatch.setattr(warc, "index", lambda archives: index(archives, 2))
+    monkeypatch.setattr(warc, "search", lambda keys, blocks: (asked.append(blocks.count()), search(keys, blocks))[1])
+    found = queries.queries()["op3_warc"](spark, folder).collect()
+    assert asked and asked[0] >= len(rows) / 2
+    # the key of "no url" and of a null are found as well; URLs of one key don't multiply its captures
+    assert Counter((r["page_id"], r["url"]) for r in found) == Counter((i, u) for i, u, _ in rows)
+
+
 def test_surt():
     assert warc.surt("http://www.A.b.com/x?y#z") == "com,b,a)/x?y"
     assert warc.surt("https://u:p@a.com:443") == "com,a)/"
