@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import random
+import re
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -323,3 +325,48 @@ def test_pipeline(spark, folder):
     found = rows(corpus_pipeline.run(spark, folder))
     ids = {r["doc_id"] for r in found}
     assert set(range(3, 60)) <= ids and not ids & {300, 301, 302, 110, 111, 112}
+
+
+def test_page_languages(spark, tmp_path):
+    """Text, markup and the suffix-domain-host hierarchy on a small pages table, against the fusion written out."""
+    d = str(tmp_path)
+    words = {"de": "der hund und die katze sind nicht im haus", "en": "the dog and the cat are not in this house", "fr": "le chien et le chat ne sont pas dans la maison"}
+    rng = random.Random(8)
+    spark.createDataFrame([(k, " ".join(rng.sample(w.split(), 8)), x, "s", 40) for k, (x, w) in enumerate(list(words.items()) * 20)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    hosts = {"www.a.de": "de", "news.a.de": "de", "b.de": "en", "x.c.fr": "fr", "d.com": "en", "e.d.com": "de"}
+    pages = [(i, f"http://{h}/{i}", f"<html lang='{rng.choice([x, 'fr', 'xx'])}'><style>the the</style><p>{' '.join(rng.sample(words[x].split(), 5))}</p></html>") for i, (h, x) in enumerate(list(hosts.items()) * 6)]
+    # a word of all languages: only markup and address decide; no declaration, no text, no URL, nothing at all
+    pages += [(100 + k, f"http://{h}/z", f"<html{say}><p>alp</p></html>") for k, (h, say) in enumerate((h, say) for h in hosts for say in ("", " lang=en", ' lang="FR-be"'))]
+    pages += [(200, "http://b.de/", ""), (201, None, "<p>the cat</p>"), (202, None, None), (None, "http://new.a.de/q", "<p>katze</p>")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3).write.parquet(f"{d}/pages.parquet")
+    got = {r["page_id"]: r for r in queries.queries()["page_languages"](spark, d).collect()}
+
+    _, model = language._documents(spark.read.parquet(f"{d}/documents.parquet"))
+    names = model.languages
+    plain = lambda html: re.sub(r"<[^>]*>", " ", re.sub(r"<style>.*?</style>", " ", html or ""))
+    seen = {}
+    for i, url, html in pages:
+        b = plain(html).encode()
+        code, ok = language.trigrams(np.array([0, len(b)]), np.frombuffer(b, np.uint8))
+        n = int(ok.sum())
+        ll = model.table[:, code[ok]].astype(float).mean(1) * min(n, language.TEMPER) if n else np.zeros(len(names))
+        host = url.split("/")[2] if url else ""  # no URL: an empty host
+        keys = [tuple(".".join(host.split(".")[-m:]) if m else host for m in (1, 2, 0)[: depth + 1]) for depth in range(3)] if url is not None else [(None,) * (depth + 1) for depth in range(3)]
+        said = re.search(r"lang=[\"']?([a-zA-Z]+)", html or "")
+        seen[i] = (n, ll, keys, said[1].lower() if said else None)
+    norm = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    posts = [(keys, norm(ll)) for n, ll, keys, _ in seen.values() if n]
+    base = (sum(p for _, p in posts) + 1) / (len(posts) + len(names))
+    assert len(got) == len(pages)
+    for i, (n, ll, keys, said) in seen.items():
+        prior = base
+        for depth in range(3):
+            own = [p for k, p in posts if k[depth] == keys[depth]]
+            prior = (sum(own) + language.KAPPA * prior) / (len(own) + language.KAPPA) if own else prior
+        markup = np.array([language.DECLARED if x == said else (1 - language.DECLARED) / (len(names) - 1) for x in names]) if said in names else np.ones(len(names))
+        post = norm(ll + np.log(prior) + np.log(markup))
+        r = got[i]
+        assert r["n_evidence"] == n and (r["lang"] is None) == (n == 0)
+        if n:
+            assert r["lang"] == names[int(post.argmax())] and abs(r["posterior"] - post.max()) < 1e-6
+    assert len({got[100 + k]["lang"] for k in range(18)}) > 1
