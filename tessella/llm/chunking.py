@@ -1,9 +1,13 @@
 """Substring deduplication by content-defined chunks.
 
 A gear rolling hash runs over each text's bytes; a chunk ends where the hash falls under a bound, so chunk ends depend on
-the REACH bytes before them only and insertions move chunks without changing them. Chunks are deduplicated by 128-bit
-digest: the occurrence in the least document (and place) stays. Chunks that repeat count only in runs of RUN bytes or more,
-so that a few words that two texts share by chance stay.
+the REACH bytes before them only and insertions move chunks without changing them. Chunks are deduplicated by their
+128-bit XXH3 digest: the occurrence in the least document (and place) stays. Chunks that repeat are removed only in runs of
+RUN bytes or more, so that a few words that two texts share by chance stay; with run=0 every repeated chunk goes, and the
+bytes of all of them are reported whatever the run.
+
+Frequent digests are joined by broadcast, the others by shuffle (`frequent_join`), so no task gets all copies of a common
+chunk.
 """
 
 from __future__ import annotations
@@ -17,14 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .suffix import keyed
-from .util import Rolling, materialize, mix64, signed, slices, table
+from .util import digests, discard, frequent_join, materialize, mix64, signed, slices, table
 
 #: Bytes of a chunk: least, on average beyond the least, most. Bytes that the hash depends on.
 LEAST, MEAN, MOST, REACH = 8, 20, 1024, 16
 RUN = 80
 
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
-_D1, _D2 = Rolling(0xA0761D6478BD642F), Rolling(0x8EBC6AF09C88C6E3)
 
 
 def gear(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -66,7 +69,7 @@ def cut(offsets: np.ndarray, data: np.ndarray, least: int = LEAST, mean: int = M
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, rid, text. doc_id, rid, start, end, d1, d2 (the digest)."""
+    """docs: doc_id, rid, text. doc_id, rid, start, end, d1, d2 (the digest). Null and empty texts have no chunks; rows with one id have chunks each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, offsets, data in slices(batches, "text"):
@@ -74,8 +77,7 @@ def chunks(docs: DataFrame) -> DataFrame:
             if not len(ends):
                 continue
             start = np.concatenate([[0], ends[:-1]])  # texts without bytes have no chunk, so each begins where the last ended
-            size = (ends - start).astype(np.uint64)
-            digest = [pa.array(signed(mix64(x.spans(x.prefix(data), start, ends) + size))) for x in (_D1, _D2)]
+            digest = [pa.array(signed(x)) for x in digests(data, start, ends)]
             take = pa.array(text)
             yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), *(pa.array((x - offsets[text]).astype(np.int32)) for x in (start, ends)), *digest], ["doc_id", "rid", "start", "end", "d1", "d2"])
 
@@ -83,17 +85,21 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """The chunks that occur more than once: doc_id, rid, start, end, first (whether it is the occurrence that stays), source (the doc_id of that)."""
-    every = chunks(docs)
-    twice = materialize(every.groupBy("d1").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("d1"), "repeated-digests")
-    again = materialize(every.join(twice, "d1", "left_semi"), "repeated-chunks")
-    stays = again.groupBy("d1", "d2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "start")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1").select("d1", "d2", "f")
-    both = again.join(stays, ["d1", "d2"])
-    return both.select("doc_id", "rid", "start", "end", F.expr("doc_id <=> f.doc_id AND rid = f.rid AND start = f.start").alias("first"), F.col("f.doc_id").alias("source"))
+    """The chunks that occur more than once: doc_id, rid, start, end, first (whether it is the occurrence that stays), source (the doc_id of that).
+
+    The result reads written tables only; rows without doc_id come last among the occurrences of a chunk.
+    """
+    every = materialize(chunks(docs), "chunks")
+    held = every.groupBy("d1", "d2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "start")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    stays = materialize(held.select("d1", "d2", "f", "c"), "repeated-digests")
+    both = frequent_join(every, stays, ["d1", "d2"], every.count())
+    found = materialize(both.select("doc_id", "rid", "start", "end", F.expr("doc_id <=> f.doc_id AND rid = f.rid AND start = f.start").alias("first"), F.col("f.doc_id").alias("source")), "repeated-chunks")
+    discard(every, stays)
+    return found
 
 
 def deduplicated(docs: DataFrame, repeated: DataFrame, run: int = RUN) -> DataFrame:
-    """docs: doc_id, rid, text. Adds n_bytes, n_repeated (bytes in runs of repeated chunks), n_removed (those of them that stay elsewhere), n_spans, sources (the documents where they stay), kept_sha256 and kept (binary).
+    """docs: doc_id, rid, text. Adds n_bytes, n_chunked (bytes of all repeated chunks), n_repeated (those in runs of `run` bytes), n_removed (those of them that stay elsewhere), n_spans, sources (the documents where they stay), kept_sha256 and kept (binary).
 
     Rows equal in doc_id and text fare alike: each keeps the first occurrences that it holds.
     """
@@ -109,32 +115,32 @@ def deduplicated(docs: DataFrame, repeated: DataFrame, run: int = RUN) -> DataFr
             start, end, first, source = (inner.field(i).to_numpy(zero_copy_only=False) for i in range(4))
             for i in range(batch.num_rows):
                 body = batch.column(2)[i].as_buffer()
-                view, n = memoryview(body), len(body)
+                view, n, every = memoryview(body), len(body), 0
                 a, b, f, s = (x[offsets[i] : offsets[i + 1]] for x in (start, end, first, source))
                 if len(a):
                     order = np.argsort(a, kind="stable")
                     a, b, f, s = a[order], b[order], f[order].astype(bool), s[order]
                     new = np.concatenate([[True], a[1:] != b[:-1]])
-                    no = np.cumsum(new) - 1
+                    no, every = np.cumsum(new) - 1, int((b - a).sum())
                     size = np.bincount(no, weights=b - a)[no] >= run
                     a, b, f, s = a[size], b[size], f[size], s[size]
                 if not len(a):
-                    rows.append((n, 0, 0, 0, [], hashlib.sha256(view).hexdigest(), body.to_pybytes()))
+                    rows.append((n, every, 0, 0, 0, [], hashlib.sha256(view).hexdigest(), body.to_pybytes()))
                     continue
                 repeated_ = int((b - a).sum())
                 a, b, s = a[~f], b[~f], s[~f]
                 spans = int(np.concatenate([[True], a[1:] != b[:-1]]).sum()) if len(a) else 0
                 left = b"".join([view[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), n], strict=True)])
                 at = sorted({int(x) for x in s if x is not None and x == x})
-                rows.append((n, repeated_, n - len(left), spans, at, hashlib.sha256(left).hexdigest(), left))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.binary())
-            names = ["doc_id", "rid", "n_bytes", "n_repeated", "n_removed", "n_spans", "sources", "kept_sha256", "kept"]
+                rows.append((n, every, repeated_, n - len(left), spans, at, hashlib.sha256(left).hexdigest(), left))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.binary())
+            names = ["doc_id", "rid", "n_bytes", "n_chunked", "n_repeated", "n_removed", "n_spans", "sources", "kept_sha256", "kept"]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names)
 
-    return both.mapInArrow(work, "doc_id long, rid long, n_bytes long, n_repeated long, n_removed long, n_spans long, sources array<long>, kept_sha256 string, kept binary")
+    return both.mapInArrow(work, "doc_id long, rid long, n_bytes long, n_chunked long, n_repeated long, n_removed long, n_spans long, sources array<long>, kept_sha256 string, kept binary")
 
 
 def op2_content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text of documents as UTF-8 (null: empty)."""
+    """Every text of documents as UTF-8 (null: empty). Runs of repeated chunks under RUN bytes stay; n_chunked counts them too."""
     docs = keyed(table(spark, sf_dir, "documents"))
     return deduplicated(docs, repeated_chunks(docs)).drop("rid", "kept")

@@ -26,23 +26,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .shingles import shingle_sets
-from .util import arrow_list, components, materialize, mix64, signed, slices, table, texts
+from .util import arrow_list, components, materialize, mix64, signed, slices, small, table, texts
 
 K, COMMON = 32, 12
 WORDS = 5
 PERCENT = 75
 LEADERS = 16
-#: Tables of at most so many rows of one or two ids are broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 200_000
 #: A leader's set goes with so many others at most to one task's run.
 CHUNK = 200
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df (written already), broadcast if it has few rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def sketches(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
     """doc_id, n (size of the set), s1 and s2 (the set's 128-bit sum) and sketch (its k least hashes)."""
 

@@ -6,13 +6,12 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .util import Rolling, mix64
+from .util import Rolling, digests, mix64
 
 #: Bytes of a trigger window.
 GRAM = 32
 
 _GRAM = Rolling(0x9E3779B97F4A7C15)
-_ONE, _TWO = Rolling(0xC2B2AE3D27D4EB4F), Rolling(0xD6E8FEB86659FD93)
 
 
 @dataclass
@@ -24,7 +23,7 @@ class Phrases:
     lo: np.ndarray  #: first window of `length` bytes that has this trigger
     hi: np.ndarray  #: last such window
     key: np.ndarray  #: hash of the trigger
-    one: np.ndarray  #: 128-bit hash of the phrase, lo to hi + length, and the trigger's place in it
+    one: np.ndarray  #: 128-bit digest of the phrase, lo to hi + length, mixed with the trigger's place in it
     two: np.ndarray
 
 
@@ -71,7 +70,6 @@ def parse(offsets: np.ndarray, data: np.ndarray, length: int, gram: int = GRAM)
     new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (text[1:] != text[:-1])]))
     last = np.concatenate([new[1:], [total]]) - 1
     t, lo, hi = a[new], window[new], window[last]
-    salt = ((t - lo).astype(np.uint64) << np.uint64(20)) + (hi - lo).astype(np.uint64)
-    one = mix64(_ONE.spans(_ONE.prefix(data), lo, hi + length) + salt)
-    two = mix64(_TWO.spans(_TWO.prefix(data), lo, hi + length) ^ salt)
+    one, two = digests(data, lo, hi + length)
+    one = mix64(one + (t - lo).astype(np.uint64))
     return Phrases(text[new], t, lo, hi, grams[t], one, two)

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-from .util import Rolling, mix64
+from .util import hashes, mix64
 
-_WORD = Rolling(0x9E3779B97F4A7C15)
 _STEP = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -18,8 +17,7 @@ def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
     edge[offsets] = True
     start = np.flatnonzero(black & (edge[:-1] | ~np.concatenate([[False], black[:-1]])))
     end = np.flatnonzero(black & (edge[1:] | ~np.concatenate([black[1:], [False]]))) + 1
-    h = mix64(_WORD.spans(_WORD.prefix(low), start, end) + (end - start).astype(np.uint64))
-    return h, np.searchsorted(start, offsets)
+    return hashes(low, start, end), np.searchsorted(start, offsets)
 
 
 def shingle_sets(offsets: np.ndarray, data: np.ndarray, n: int = 5) -> list[np.ndarray]:

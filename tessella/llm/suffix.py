@@ -1,39 +1,44 @@
-"""Removal of repeated byte strings, found in corpus order by prefix-free parsing.
+"""Removal of repeated byte strings, found by prefix-free parsing.
 
 Texts are parsed into phrases by rolling-hash triggers (see parsing): every window of LENGTH bytes lies in the phrase of
-its trigger, and equal windows have equal triggers at equal places. The dictionary is the distinct phrases. All windows of
-a phrase that occurs twice are repeated. What is left are phrases that occur once but whose trigger also stands in other
-phrases: those meet by trigger, one occurrence a distinct phrase. There two orders are built and combined: the suffix order
-of the parse, of what follows the trigger, and that of the dictionary, of what precedes it, read backwards. Their common
-prefixes say how far each two phrases agree on either side; a window that starts o bytes before the trigger is repeated if
-some other phrase agrees on o bytes before it and LENGTH - o from it.
-
-Copies cost one row a phrase. Triggers with more than GROUP distinct phrases don't meet in a task: their windows are
-counted as rows, by 128-bit hashes, with partial aggregation.
+its trigger, and equal windows have equal triggers at equal places. Phrases whose trigger occurs once are done with. The
+dictionary is the distinct phrases of the others. All windows of a phrase that occurs twice are repeated. What is left are
+phrases that occur once but whose trigger also stands in other phrases: those meet by trigger, one occurrence a distinct
+phrase. There two orders are built and combined: the suffix order of the parse, of what follows the trigger, and that of the
+dictionary, of what precedes it, read backwards. Their common prefixes say how far each two phrases agree on either side; a
+window that starts o bytes before the trigger is repeated if some other phrase agrees on o bytes before it and LENGTH - o
+from it.
+
+Copies cost one row a phrase. A trigger with more than GROUP distinct phrases is split: two phrases that agree on f bytes from
+the trigger on have in common the bytes from LENGTH - l - s before it to l after it, where l is f rounded down to a multiple of s.
+So each phrase goes to a group for each l, by a hash of those bytes, and a group's phrases share LENGTH - s bytes. Groups that are
+still too large are split again by an eighth of s; in the end, where s is FINEST at most, windows are rows, s + 1 a phrase.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .parsing import parse
-from .util import Rolling, materialize, mix64, signed, slices, table
+from .parsing import GRAM, parse
+from .util import digests, discard, frequent_join, materialize, signed, slices, table
 
-LENGTH = 400
-#: Distinct phrases of one trigger that meet in a task: some 16 MB.
-GROUP = 20_000
-#: Triggers up to so many are broadcast (8 bytes each); more are joined by shuffle.
-BROADCAST_ROWS = 300_000
+#: Bytes of a string of the contract, and of what counts as a passage elsewhere: a passage of over 50 words is longer.
+LENGTH, PASSAGE = 400, 200
+#: Distinct phrases that meet in a group of a task: some 1 MB.
+GROUP = 1_000
+#: Each split divides a group's range of places by this, down to FINEST places.
+FAN, FINEST = 8, 8
 
-_H1, _H2 = Rolling(0xA0761D6478BD642F), Rolling(0xE7037ED1A0B428DB)
-_PART = "array<struct<at:int,left:int,n:int,key:long,alone:boolean>>"
+_PART = "array<struct<at:int,left:int,n:int,key:long,alone:boolean,low:int>>"
 
 
 def phrases(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -49,21 +54,17 @@ def phrases(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return docs.select("doc_id", "rid", "text").mapInArrow(run, "doc_id long, rid long, at int, left int, n int, key long, one long, two long")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def _same_row(a: str, b: str):
     return F.expr(f"{a}.doc_id <=> {b}.doc_id AND {a}.rid = {b}.rid")
 
 
 def excerpts(docs: DataFrame, members: DataFrame, length: int) -> DataFrame:
-    """The bytes of phrases: key, doc_id, rid, lo (place in the text), left, alone, span."""
-    own = members.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("at", "left", "n", "key", "alone")).alias("parts"))
+    """The bytes of phrases: key, doc_id, rid, lo (place in the text), left, alone, span, low."""
+    own = members.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("at", "left", "n", "key", "alone", "low")).alias("parts"))
     both = docs.alias("d").join(own.alias("o"), _same_row("d", "o")).select("d.doc_id", "d.rid", F.encode("d.text", "UTF-8").alias("body"), F.col("parts").cast(_PART))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "doc_id", "rid", "lo", "left", "alone", "span"]
+        names = ["key", "doc_id", "rid", "lo", "left", "alone", "span", "low"]
         for batch, offsets, data in slices(batches, "body"):
             parts = batch.column(3)
             counts = np.diff(parts.offsets.to_numpy())
@@ -74,9 +75,35 @@ def excerpts(docs: DataFrame, members: DataFrame, length: int) -> DataFrame:
             start = (np.repeat(offsets[:-1], counts) + lo).tolist()
             whole = data.tobytes()
             spans = [whole[a : a + b] for a, b in zip(start, (n + length - 1).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([inner.field(3), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(lo.astype(np.int32)), inner.field(1), inner.field(4), pa.array(spans, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([inner.field(3), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(lo.astype(np.int32)), inner.field(1), inner.field(4), pa.array(spans, pa.binary()), inner.field(5)], names)
+
+    return both.mapInArrow(run, "key long, doc_id long, rid long, lo int, left int, alone boolean, span binary, low int")
 
-    return both.mapInArrow(run, "key long, doc_id long, rid long, lo int, left int, alone boolean, span binary")
+
+def finer(pieces: DataFrame, length: int, spread: int) -> DataFrame:
+    """Members of finer groups of pieces, whose common bytes from the trigger on are low to low + spread: key, doc_id, rid, at, left, n, alone, low."""
+    step = -(-spread // FAN)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, low = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("left", "low"))
+            spans = batch.column(batch.schema.get_field_index("span")).to_pylist()
+            rows, keys, lows = [], [], []
+            for i, (x, k, first) in enumerate(zip(spans, left.tolist(), low.tolist(), strict=True)):
+                for place in range(first, min(first + spread, length), step):
+                    before, ahead = max(length - place - step, 0), max(place, GRAM)
+                    if k >= before and len(x) - k >= ahead:
+                        rows.append(i)
+                        keys.append(xxhash.xxh3_64_intdigest(x[k - before : k + ahead], place))
+                        lows.append(place)
+            take = pa.array(rows, pa.int32())
+            lo = batch.column(batch.schema.get_field_index("lo")).to_numpy()
+            n = np.array([len(x) for x in spans], np.int32) - length + 1
+            cols = [pa.array(signed(np.array(keys, np.uint64))), *(batch.column(batch.schema.get_field_index(c)).take(take) for c in ("doc_id", "rid"))]
+            cols += [pa.array(x.astype(np.int32)).take(take) for x in (lo + left, left, n)]
+            yield pa.RecordBatch.from_arrays([*cols, batch.column(batch.schema.get_field_index("alone")).take(take), pa.array(lows, pa.int32())], ["key", "doc_id", "rid", "at", "left", "n", "alone", "low"])
+
+    return pieces.mapInArrow(run, "key long, doc_id long, rid long, at int, left int, n int, alone boolean, low int")
 
 
 def _agree(order: np.ndarray, strings: list[bytes]) -> np.ndarray:
@@ -132,7 +159,7 @@ def repeated_windows(spans: list[bytes], left: list[int], alone: list[bool], len
 
 def _met(pieces: DataFrame, length: int) -> DataFrame:
     """Repeated spans (doc_id, rid, start, end) of phrases that are alone, groups by trigger."""
-    rows = pieces.repartition("key").sortWithinPartitions("key")
+    rows = pieces.repartition("key").sortWithinPartitions("key", "doc_id", "rid", "lo")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def spans(group: list[tuple]) -> list[tuple]:
@@ -147,7 +174,8 @@ def _met(pieces: DataFrame, length: int) -> DataFrame:
                     if group and group[0][0] != row[0]:
                         out += spans(group)
                         group = []
-                    group.append(row)
+                    if not group or group[-1][:4] != row[:4]:  # rows of a table that are equal give a phrase once
+                        group.append(row)
             yield _spans(out)
         if group:
             yield _spans(spans(group))
@@ -160,23 +188,26 @@ def _spans(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "rid", "start", "end"])
 
 
-def _counted(pieces: DataFrame, length: int) -> DataFrame:
-    """The same for triggers of any number of phrases: windows are rows, counted by hash."""
+def _counted(pieces: DataFrame, length: int, spread: int) -> DataFrame:
+    """The same for groups that are large however fine: their windows are rows, counted by 128-bit digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, offsets, data in slices(batches, "span", 1 << 18):
-            n = np.diff(offsets) - length + 1
+        for part, offsets, data in slices(batches, "span"):
+            left, low, lo = (part.column(part.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("left", "low", "lo"))
+            first = np.maximum(left - (length - low), 0)
+            last = np.minimum(left - np.maximum(length - low - spread, 0), np.diff(offsets) - length)
+            n = np.maximum(last - first + 1, 0)
             rows = np.repeat(np.arange(part.num_rows), n)
-            i = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+            i = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n) + first[rows]
             at = offsets[rows] + i
-            h = [pa.array(signed(mix64(x.spans(x.prefix(data), at, at + length)))) for x in (_H1, _H2)]
-            start = part.column(part.schema.get_field_index("lo")).to_numpy()[rows] + i
-            take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([*h, *(part.column(part.schema.get_field_index(c)).take(take) for c in ("doc_id", "rid", "alone")), pa.array(start.astype(np.int32)), pa.array((start + length).astype(np.int32))], ["h1", "h2", "doc_id", "rid", "alone", "start", "end"])
+            start, take = lo[rows] + i, pa.array(rows)
+            yield pa.RecordBatch.from_arrays([*(pa.array(signed(x)) for x in digests(data, at, at + length)), *(part.column(part.schema.get_field_index(c)).take(take) for c in ("doc_id", "rid", "alone")), pa.array(start.astype(np.int32)), pa.array((start + length).astype(np.int32))], ["h1", "h2", "doc_id", "rid", "alone", "start", "end"])
 
-    windows = pieces.mapInArrow(run, "h1 long, h2 long, doc_id long, rid long, alone boolean, start int, end int")
-    again = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h1", "h2")
-    return windows.where("alone").join(again, ["h1", "h2"], "left_semi").select("doc_id", "rid", "start", "end")
+    windows = materialize(pieces.mapInArrow(run, "h1 long, h2 long, doc_id long, rid long, alone boolean, start int, end int"), "windows")
+    # a phrase has the windows of several groups: the same window of one phrase counts once
+    once = windows.select("h1", "h2", "doc_id", "rid", "start").distinct()
+    again = materialize(once.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "repeated-windows")
+    return frequent_join(windows.where("alone"), again, ["h1", "h2"], windows.count()).select("doc_id", "rid", "start", "end").distinct()
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -186,84 +217,134 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """docs: doc_id, rid, text. doc_id, rid, start, end: spans that cover the bytes of every repeated string of length bytes; they may overlap."""
+    """docs: doc_id, rid, text. doc_id, rid, start, end: a written table of spans that cover the bytes of every repeated string of length bytes; they may overlap."""
     found = materialize(phrases(docs, length), "phrases")
-    dictionary = materialize(found.groupBy("one", "two").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("one", "two"), "repeated-phrases", narrow=True)
-    whole = found.join(dictionary, ["one", "two"], "left_semi").select("doc_id", "rid", (F.col("at") - F.col("left")).alias("start"), (F.col("at") - F.col("left") + F.col("n") + (length - 1)).alias("end"))
-    # triggers in two different phrases
-    shared = materialize(found.groupBy("key").agg(F.min(F.struct("one", "two")).alias("a"), F.max(F.struct("one", "two")).alias("b")).where("a <> b").select("key"), "triggers", narrow=True)
-    once = found.join(_small(shared), "key", "left_semi").groupBy("one", "two").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "rid", "at", "left", "n", "key")).alias("f"))
-    members = materialize(once.select("f.*", (F.col("c") == 1).alias("alone")), "dictionary")
-    sizes = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.max("alone").alias("any_alone")).where("any_alone").select("key", (F.col("g") > group).alias("large")), "groups", narrow=True)
-    met = members.join(_small(sizes.where("NOT large").select("key")), "key", "left_semi")
-    spans = whole.unionByName(_met(materialize(excerpts(docs, met, length), "excerpts"), length))
-    large = sizes.where("large").select("key")
-    if large.limit(1).count():
-        counted = members.join(_small(large), "key", "left_semi")
-        spans = spans.unionByName(_counted(materialize(excerpts(docs, counted, length), "large-excerpts"), length))
-    return spans
-
-
-def removed(docs: DataFrame, spans: DataFrame, keep: bool = True) -> DataFrame:
-    """docs: doc_id, rid, text. Adds n_bytes, n_removed, n_spans, kept_sha256 and, with keep, kept (binary); spans are merged."""
-    own = spans.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    both = docs.alias("d").join(own.alias("o"), _same_row("d", "o"), "left").select("d.doc_id", "d.rid", F.encode("d.text", "UTF-8").alias("body"), F.col("spans").cast("array<struct<start:int,end:int>>"))
+    total = found.count()
+    shared = materialize(found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "triggers", narrow=True)
+    again = materialize(frequent_join(found, shared, ["key"], total), "shared-phrases")
+    dictionary = again.groupBy("one", "two").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "rid", "at", "left", "n", "key")).alias("f"))
+    dictionary = materialize(dictionary, "dictionary")
+    first = F.col("at") - F.col("left")
+    twice = frequent_join(again, dictionary.where("c > 1").select("one", "two", "c"), ["one", "two"], total)
+    spans = [materialize(twice.select("doc_id", "rid", first.alias("start"), (first + F.col("n") + (length - 1)).alias("end")), "whole-phrases")]
+    used, spread = [found, shared, again, dictionary], length
+    members = dictionary.select("f.*", (F.col("c") == 1).alias("alone"), F.lit(0).alias("low"))
+    while True:
+        sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("alone").alias("any_alone")).where("any_alone AND c > 1").select("key", "c")
+        sizes = materialize(sizes, "groups", narrow=True)
+        met = materialize(excerpts(docs, members.join(sizes.where(F.col("c") <= group), "key", "left_semi"), length), "excerpts")
+        spans.append(materialize(_met(met, length), "met-phrases"))
+        large = sizes.where(F.col("c") > group)
+        used += [sizes, met]
+        if not large.limit(1).count():
+            break
+        rest = materialize(excerpts(docs, frequent_join(members, large, ["key"], total), length), "large-groups")
+        used.append(rest)
+        if spread <= FINEST:
+            spans.append(materialize(_counted(rest, length, spread), "counted"))
+            break
+        members = materialize(finer(rest, length, spread), "finer-groups")
+        used.append(members)
+        spread = -(-spread // FAN)
+    result = materialize(reduce(DataFrame.unionByName, spans), "spans", narrow=False)
+    discard(*used, *spans)
+    return result
+
+
+def _collected(docs: DataFrame, spans: DataFrame, name: str) -> DataFrame:
+    own = spans.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    both = docs.alias("d").join(own.alias("o"), _same_row("d", "o"), "left")
+    return both.select("d.*", F.col("o.spans").cast("array<struct<start:int,end:int>>").alias(name))
+
+
+def _lists(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Starts and ends of each row's spans, ascending."""
+    offsets = column.offsets.to_numpy()
+    start, end = (column.values.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+    out = []
+    for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        order = np.argsort(start[x:y], kind="stable")
+        out.append((start[x:y][order], end[x:y][order]))
+    return out
+
+
+def _merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans that touch or overlap as one."""
+    if not len(a):
+        return a, b
+    b = np.maximum.accumulate(b)
+    new = np.concatenate([[True], a[1:] > b[:-1]])
+    return a[new], b[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(b) - 1]])]
+
+
+def _rest(body: memoryview, a: np.ndarray, b: np.ndarray) -> bytes:
+    """The bytes outside merged spans."""
+    return b"".join([body[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(body)], strict=True)])
+
+
+def _characters(body: bytes | memoryview, a: np.ndarray, b: np.ndarray) -> str:
+    """The text without the characters that lie in merged spans wholly."""
+    x = np.frombuffer(body, np.uint8)
+    if not len(a):
+        return x.tobytes().decode()
+    change = np.bincount(a, minlength=len(x) + 1) - np.bincount(b, minlength=len(x) + 1)
+    stays = np.cumsum(change)[: len(x)] == 0
+    head = np.flatnonzero((x & 0xC0) != 0x80)  # first bytes of characters: one byte that stays keeps all
+    stays = np.repeat(np.logical_or.reduceat(stays, head), np.diff(np.append(head, len(x))))
+    return x[stays].tobytes().decode()
+
+
+def removed(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """docs: doc_id, rid, text. Adds n_bytes, n_removed, n_spans, kept_sha256 and kept (binary); spans are merged."""
+    both = _collected(docs, spans, "spans").select("doc_id", "rid", F.encode("text", "UTF-8").alias("body"), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            lists = batch.column(3)
-            offsets = lists.offsets.to_numpy()
-            start, end = (lists.values.field(i).to_numpy(zero_copy_only=False) for i in range(2))
-            for i in range(batch.num_rows):
-                body = batch.column(2)[i].as_buffer()
-                n, view = len(body), memoryview(body)
-                a, b = start[offsets[i] : offsets[i + 1]], end[offsets[i] : offsets[i + 1]]
-                if not len(a):
-                    rows.append((n, 0, 0, hashlib.sha256(view).hexdigest(), body.to_pybytes() if keep else None))
-                    continue
-                order = np.argsort(a, kind="stable")
-                a, b = a[order].astype(np.int64), np.maximum.accumulate(b[order].astype(np.int64))
-                new = np.concatenate([[True], a[1:] > b[:-1]])
-                first, last = a[new], b[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(b) - 1]])]
-                left = b"".join([view[x:y] for x, y in zip([0, *last.tolist()], [*first.tolist(), n], strict=True)])
-                rows.append((n, n - len(left), len(first), hashlib.sha256(left).hexdigest(), left if keep else None))
+            for i, (a, b) in enumerate(_lists(batch.column(3))):
+                body = memoryview(batch.column(2)[i].as_buffer())
+                a, b = _merged(a, b)
+                left = _rest(body, a, b)
+                rows.append((len(body), len(body) - len(left), len(a), hashlib.sha256(left).hexdigest(), left))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["doc_id", "rid", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return both.mapInArrow(run, "doc_id long, rid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
+def without_passages(docs: DataFrame, spans: DataFrame, passages: DataFrame) -> DataFrame:
+    """`removed` without its bytes, beside passage_bytes (in shorter repeated strings, `passages`) and text (without the characters in these)."""
+    both = _collected(_collected(docs, spans, "spans"), passages, "passages").select("doc_id", F.encode("text", "UTF-8").alias("body"), "spans", "passages")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for i, (long, short) in enumerate(zip(_lists(batch.column(2)), _lists(batch.column(3)), strict=True)):
+                body = memoryview(batch.column(1)[i].as_buffer())
+                long, short = _merged(*long), _merged(*short)
+                left = _rest(body, *long)
+                rows.append((len(body), len(body) - len(left), len(long[0]), hashlib.sha256(left).hexdigest(), int((short[1] - short[0]).sum()), _characters(body, *short)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "passage_bytes", "text"])
+
+    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, passage_bytes long, text string")
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text of documents as UTF-8 (null: empty)."""
+    """Every text of documents as UTF-8 (null: empty), without strings of LENGTH bytes that repeat; text is what is left without those of PASSAGE bytes."""
     docs = keyed(table(spark, sf_dir, "documents"))
-    return removed(docs, materialize(repeated_spans(docs), "spans"), keep=False).drop("rid", "kept")
+    return without_passages(docs, repeated_spans(docs), repeated_spans(docs, PASSAGE))
 
 
 def cleaned(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs with its own columns, each text without the characters that lie in spans wholly; n_chars, if there, follows. Null texts stay null, and rows that lose all their text go."""
-    own = spans.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("r"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("rid"))
-    both = rows.alias("d").join(own.alias("o"), _same_row("d", "o"), "left").select("d.r", F.encode(F.col("d.r.text").cast("string"), "UTF-8").alias("body"), F.col("spans").cast("array<struct<start:int,end:int>>"))
+    both = _collected(rows, spans, "spans").select("r", F.encode(F.col("r.text").cast("string"), "UTF-8").alias("body"), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[str | None] = []
-            lists = batch.column(2)
-            offsets = lists.offsets.to_numpy()
-            start, end = (lists.values.field(i).to_numpy(zero_copy_only=False) for i in range(2))
-            for i in range(batch.num_rows):
-                body = batch.column(1)[i].as_py()
-                a, b = start[offsets[i] : offsets[i + 1]], end[offsets[i] : offsets[i + 1]]
-                if body is None or not len(a):
-                    out.append(None if body is None else body.decode())
-                    continue
-                x = np.frombuffer(body, np.uint8)
-                change = np.bincount(a, minlength=len(x) + 1) - np.bincount(b, minlength=len(x) + 1)
-                stays = np.cumsum(change)[: len(x)] == 0
-                head = np.flatnonzero((x & 0xC0) != 0x80)  # first bytes of characters: one byte that stays keeps all
-                stays = np.repeat(np.logical_or.reduceat(stays, head), np.diff(np.append(head, len(x))))
-                out.append(x[stays].tobytes().decode())
+            bodies = batch.column(1).to_pylist()
+            out = [None if body is None else _characters(body, *_merged(a, b)) for body, (a, b) in zip(bodies, _lists(batch.column(2)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["r", "kept"])
 
     done = both.mapInArrow(run, T.StructType([T.StructField("r", both.schema["r"].dataType), T.StructField("kept", T.StringType())]))
@@ -273,5 +354,5 @@ def cleaned(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the strings that repeat (all their occurrences, as op1 does)."""
-    return cleaned(docs, materialize(repeated_spans(keyed(docs)), "spans"))
+    """All documents without the passages that repeat: strings of PASSAGE bytes, all their occurrences, as op1's text."""
+    return cleaned(docs, repeated_spans(keyed(docs), PASSAGE))

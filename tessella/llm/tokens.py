@@ -22,8 +22,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .util import Rolling, materialize, mix64, slices, table, texts
+from .util import _PART, digests, eights, materialize, mix64, slices, small, table, texts
 
 MAGIC = b"TWM1"
 BLOCK = 1 << 18
@@ -180,8 +181,20 @@ class Shard:
 
 #: Encoded words that a worker keeps.
 KEEP = 1_000_000
-_W1, _W2 = Rolling(0x9E3779B97F4A7C15), Rolling(0xC2B2AE3D27D4EB4F)
-_FREE = np.uint64(0)
+#: Words of so many bytes at most are their own key.
+EXACT = 15
+
+
+def _keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers for each part (of a byte at least), never both 0: its bytes and their number up to EXACT bytes; of longer parts a 120-bit digest that no short part can have."""
+    size, at = end - start, eights(data)
+    one = at[start] & _PART[np.minimum(size, 8)]
+    two = (at[np.minimum(start + 8, len(data))] & _PART[np.clip(size - 8, 0, 7)]) | (size.astype(np.uint64) << np.uint64(56))
+    long = np.flatnonzero(size > EXACT)
+    if len(long):
+        one[long], low = digests(data, start[long], end[long])
+        two[long] = low | np.uint64(0xFF << 56)
+    return one, two
 
 
 class Words:
@@ -189,8 +202,9 @@ class Words:
 
     The library splits a text before each space between two other than white characters, whatever surrounds it, and
     encodes the parts by themselves. So a text is cut before these spaces, and each distinct part goes to the library
-    once; texts with other white space beside a space go there whole. Parts are told apart by 128-bit hashes, in an
-    open-addressed table that is searched for all parts of a slice at a time.
+    once; texts with other white space beside a space go there whole, and so do texts that hold an added token. Parts
+    are told apart by their bytes (long ones by a digest), in an open-addressed table that is searched for all parts of a
+    slice at a time.
     """
 
     _loaded: dict[str, Words] = {}
@@ -200,7 +214,7 @@ class Words:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         size = self.library.get_vocab_size()
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         # in the byte-level alphabet a character is a byte
@@ -216,57 +230,63 @@ class Words:
     def _clear(self, room: int = 0) -> None:
         slots = 1 << (2 * max(KEEP, room) - 1).bit_length()
         self.mask = slots - 1
-        self.keys, self.checks = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
+        self.one, self.two = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)  # two is 0 in free slots
         self.start, self.count = np.zeros(slots, np.int64), np.zeros(slots, np.int32)
         self.ids, self.used, self.held = np.zeros(1 << 20, self.kind), 0, 0
 
     def whole(self, strings: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, self.kind) for x in self.library.encode_batch_fast(strings, add_special_tokens=False)]
 
-    def _find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    def _slot(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        return (mix64((one * np.uint64(0x9E3779B97F4A7C15)) ^ two) & np.uint64(self.mask)).astype(np.int64)
+
+    def _find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """The slot of each part, or -1."""
-        at = (h1 & np.uint64(self.mask)).astype(np.int64)
-        found = self.keys.take(at)
-        out = np.where((found == h1) & (self.checks.take(at) == h2), at, -1)
-        todo = np.flatnonzero((out < 0) & (found != _FREE))
+        at = self._slot(one, two)
+        found = self.two.take(at)
+        out = np.where((found == two) & (self.one.take(at) == one), at, -1)
+        todo = np.flatnonzero((out < 0) & (found != 0))
         while len(todo):
             at[todo] = (at[todo] + 1) & self.mask
-            found = self.keys.take(at[todo])
-            hit = (found == h1[todo]) & (self.checks.take(at[todo]) == h2[todo])
+            found = self.two.take(at[todo])
+            hit = (found == two[todo]) & (self.one.take(at[todo]) == one[todo])
             out[todo[hit]] = at[todo[hit]]
-            todo = todo[~hit & (found != _FREE)]
+            todo = todo[~hit & (found != 0)]
         return out
 
-    def _put(self, h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+    def _put(self, one: np.ndarray, two: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
         """Distinct new parts with their ids one after another."""
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), self.kind)])
         self.ids[self.used : self.used + len(ids)] = ids
         start = self.used + np.cumsum(count) - count
-        self.used, self.held = self.used + len(ids), self.held + len(h1)
-        at, left = (h1 & np.uint64(self.mask)).astype(np.int64), np.arange(len(h1))
+        self.used, self.held = self.used + len(ids), self.held + len(one)
+        at, left = self._slot(one, two), np.arange(len(one))
         while len(left):
-            free = left[self.keys.take(at[left]) == _FREE]
+            free = left[self.two.take(at[left]) == 0]
             _, first = np.unique(at[free], return_index=True)  # of those that want one slot, one gets it
             put = free[first]
-            self.keys[at[put]], self.checks[at[put]], self.start[at[put]], self.count[at[put]] = h1[put], h2[put], start[put], count[put]
+            self.one[at[put]], self.two[at[put]], self.start[at[put]], self.count[at[put]] = one[put], two[put], start[put], count[put]
             left = np.setdiff1d(left, put, assume_unique=True)
             at[left] = (at[left] + 1) & self.mask
 
-    def _learn(self, data: bytes, start: np.ndarray, end: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> None:
-        _, first = np.unique(h1, return_index=True)
-        start, end, h1, h2 = start[first], end[first], h1[first], h2[first]
+    def _learn(self, data: bytes, start: np.ndarray, end: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        order = np.lexsort((one, two))
+        new = np.ones(len(order), bool)
+        new[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
+        first = order[new]
+        start, end, one, two = start[first], end[first], one[first], two[first]
         led = np.frombuffer(data, np.uint8)[start] == 32
         for i in range(0, int(led.sum()), 4000):  # parts that a space leads are one text for the library; lengths tell whose ids are whose
             part = np.flatnonzero(led)[i : i + 4000]
             text = b"".join([data[a:b] for a, b in zip(start[part].tolist(), end[part].tolist(), strict=True)])
             ids = self.whole([text.decode()])[0]
             to = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum(end[part] - start[part])) + 1
-            self._put(h1[part], h2[part], ids, np.diff(to, prepend=0).astype(np.int32))
+            self._put(one[part], two[part], ids, np.diff(to, prepend=0).astype(np.int32))
         heads = np.flatnonzero(~led)
         if len(heads):
             own = self.whole([data[a:b].decode() for a, b in zip(start[heads].tolist(), end[heads].tolist(), strict=True)])
-            self._put(h1[heads], h2[heads], np.concatenate(own), np.array([len(x) for x in own], np.int32))
+            self._put(one[heads], two[heads], np.concatenate(own), np.array([len(x) for x in own], np.int32))
 
     def encode(self, strings: list[str], offsets: np.ndarray, data: np.ndarray) -> list[np.ndarray]:
         """The ids of each text; offsets and data are the texts' UTF-8."""
@@ -289,17 +309,21 @@ class Words:
         bad |= (at == offsets.take(of)) | (at + 1 == offsets.take(of + 1))
         odd = np.zeros(len(strings), bool)
         odd[of.compress(bad)] = True
+        whole = data.tobytes()
+        for token in self.added:
+            place = whole.find(token)
+            while place >= 0:
+                odd[np.searchsorted(offsets, place, "right") - 1] = True
+                place = whole.find(token, place + 1)
         if odd.any():
             use = ~odd.take(text)
             start, end, text = start.compress(use), end.compress(use), text.compress(use)
-        size = (end - start).astype(np.uint64)
-        h1, h2 = (mix64(w.spans(w.prefix(data), start, end) + size) for w in (_W1, _W2))
-        h1 |= np.uint64(1)  # 0 marks a free slot
-        slot = self._find(h1, h2)
+        one, two = _keys(data, start, end)
+        slot = self._find(one, two)
         miss = np.flatnonzero(slot < 0)
         if len(miss):
-            self._learn(data.tobytes(), start[miss], end[miss], h1[miss], h2[miss])
-            slot[miss] = self._find(h1[miss], h2[miss])
+            self._learn(whole, start[miss], end[miss], one[miss], two[miss])
+            slot[miss] = self._find(one[miss], two[miss])
         count = self.count.take(slot).astype(np.int64)
         total = np.cumsum(count)
         place = np.repeat(self.start.take(slot) - (total - count), count) + np.arange(total[-1] if len(total) else 0)
@@ -327,10 +351,13 @@ _WHITE_LEAD = _bytes(0xE1, 0xE2, 0xE3)
 def write_shards(docs: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """docs: doc_id, text (null: empty). A table in the shared folder: shard, n_docs, n_tokens, file; shards ascend with doc_id.
 
-    Repeated ids keep all their rows, in order of their text; rows without id come first.
+    Repeated ids keep all their rows, in order of their text (null as empty); rows without id come first. The rows of one id
+    may lie in several shards.
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    dealt = docs.select("doc_id", "text").repartitionByRange(max(1, -(-size // shard_bytes)), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    order = (F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 64), F.col("text"))
+    dealt = rows.repartitionByRange(max(1, -(-size // shard_bytes)), *order[:2]).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -352,25 +379,23 @@ def write_shards(docs: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) ->
 
 def read_shards(shards: DataFrame) -> DataFrame:
     """From the files: doc_id, start (ids before the document, in all shards), n_tokens and ids_crc32."""
-    # a few numbers a shard, thousands of times fewer than documents
-    totals = sorted((r["shard"], r["n_tokens"]) for r in shards.select("shard", "n_tokens").toLocalIterator())
-    starts, at = {}, 0
-    for shard, n in totals:
-        starts[shard] = at
-        at += n
+    # two numbers a shard of SHARD_BYTES go through one task
+    totals = materialize(shards.select("shard", "n_tokens"), "shard-sizes", narrow=True)
+    before = totals.select("shard", F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("before"))
+    placed = shards.select("shard", "file").join(small(materialize(before, "shard-starts", narrow=True)), "shard").select("before", "file")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, file in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for first, file in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = Shard(file.as_py())
                 ids = s.ids().astype("<u4")
                 ends = np.cumsum(s.lengths)
                 whole = memoryview(ids.tobytes())
                 crc = [zlib.crc32(whole[4 * a : 4 * b]) for a, b in zip((ends - s.lengths).tolist(), ends.tolist(), strict=True)]
                 doc = pa.array(s.doc_ids, mask=s.doc_ids == -(2**63))
-                yield pa.RecordBatch.from_arrays([doc, pa.array(ends - s.lengths + starts[shard]), pa.array(s.lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([doc, pa.array(ends - s.lengths + first), pa.array(s.lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.select("shard", "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 18
 
 _made: list[tuple[SparkSession, str]] = []
+_paths: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,20 +27,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one of our own only where spark.checkpoint.dir is unset."""
+    """The folder that the cluster shares: spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own and a cluster an error."""
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def fresh(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/tessella/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_clean)
+    _made.append((spark, path))
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def _clean() -> None:
     for spark, path in _made:
         try:
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone
             return
 
@@ -45,17 +63,50 @@ def _clean() -> None:
 def materialize(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: the lineage ends there and a lost executor loses nothing.
 
-    narrow: rows of a few ids, which are written by an eighth of the shuffle partitions (6 at least), as fewer files.
+    narrow: rows of a few ids, which an eighth of the shuffle partitions (6 at least) write, as fewer files; they are
+    shuffled to them, so that what makes them keeps all its tasks.
     """
     spark = df.sparkSession
     if narrow:
-        df = df.coalesce(max(6, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
-    path = f"{shared_dir(spark)}/tessella/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_clean)
-    _made.append((spark, path))
+        df = df.repartition(max(6, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+    path = fresh(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table_ = spark.read.schema(df.schema).parquet(path)
+    _paths[id(table_)] = (weakref.ref(table_), path)
+    return table_
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialized tables that nothing reads any more: what was made of them is written."""
+    for t in tables:
+        ref, path = _paths.pop(id(t), (None, None))
+        if ref is not None and ref() is t:
+            _delete(t.sparkSession, path)
+            _made.remove((t.sparkSession, path))
+
+
+#: Written tables of at most so many rows of a few ids (some 30 bytes each) are broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df (written already), broadcast if it has few rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+#: A key with more than one in so many of all rows is frequent; there are fewer such keys than that.
+FREQUENT = 20_000
+
+
+def frequent_join(rows: DataFrame, keys: DataFrame, on: list[str], total: int) -> DataFrame:
+    """Inner join of written rows with written keys (on, c: how often the key occurs in total rows, and more).
+
+    Frequent keys, fewer than FREQUENT by their definition, are broadcast; the rest is joined by shuffle, where no key has many rows.
+    """
+    bound = total / FREQUENT
+    few, many = keys.where(F.col("c") > bound), keys.where(F.col("c") <= bound).drop("c")
+    rest = rows.join(F.broadcast(few.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(few.drop("c")), on).unionByName(rest.join(many, on))
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +155,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any span of a byte array by two products: prefix sums of byte * base**i modulo 2**64, moved to place 0 by the inverse power."""
+    """Hashes of any span of a byte array by two products: prefix sums of byte * base**i modulo 2**64, moved to place 0 by the inverse power.
+
+    For choosing places only: spans of different bytes can have one hash, for every base. What must tell bytes apart uses `digests` or `hashes`.
+    """
 
     _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -133,6 +187,42 @@ class Rolling:
         return (prefix[end] - prefix[start]) * down[start]
 
 
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 128-bit XXH3 digest of each span, as two numbers."""
+    whole, one = data.tobytes(), xxhash.xxh3_128_digest
+    raw = b"".join([one(whole[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+    both = np.frombuffer(raw, "<u8").reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
+#: Spans of more bytes are hashed one at a time.
+_LONG = 128
+_PART = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)  # masks of the first k bytes
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The number in the eight bytes from each place on (little-endian; zeros beyond the end), one place more than bytes."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span: eight bytes at a time go through a bijection that spreads every bit, so each state depends on all bytes so far."""
+    size = end - start
+    at, h = eights(data), mix64(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    go, k = np.flatnonzero(size <= _LONG), 0
+    while len(go):
+        x = at[start[go] + k] & _PART[np.minimum(size[go] - k, 8)]
+        h[go] = mix64((h[go] ^ x) + np.uint64(0xD6E8FEB86659FD93))
+        k += 8
+        go = go[size[go] > k]
+    long = np.flatnonzero(size > _LONG)
+    if len(long):
+        whole = data.tobytes()
+        h[long] = [xxhash.xxh3_64_intdigest(whole[a:b]) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+    return h
+
+
 def arrow_list(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column from flat values and each row's length."""
     offsets = np.zeros(len(lengths) + 1, np.int32)
