@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .util import Rolling, digests, mix64
+from .util import Rolling, mix64
 
 #: Bytes of a trigger window.
 GRAM = 32
@@ -23,8 +23,6 @@ class Phrases:
     lo: np.ndarray  #: first window of `length` bytes that has this trigger
     hi: np.ndarray  #: last such window
     key: np.ndarray  #: hash of the trigger
-    one: np.ndarray  #: 128-bit digest of the phrase, lo to hi + length, mixed with the trigger's place in it
-    two: np.ndarray
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -50,7 +48,7 @@ def parse(offsets: np.ndarray, data: np.ndarray, length: int, gram: int = GRAM)
     """
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return Phrases(none, none, none, none, *[np.zeros(0, np.uint64)] * 3)
+        return Phrases(none, none, none, none, np.zeros(0, np.uint64))
     prefix = _GRAM.prefix(data)
     start = np.arange(len(data) - gram + 1)
     grams = mix64(_GRAM.spans(prefix, start, start + gram))
@@ -62,7 +60,7 @@ def parse(offsets: np.ndarray, data: np.ndarray, length: int, gram: int = GRAM)
     windows = np.maximum(sizes - length + 1, 0)
     total = int(windows.sum())
     if not total:
-        return Phrases(none, none, none, none, *[np.zeros(0, np.uint64)] * 3)
+        return Phrases(none, none, none, none, np.zeros(0, np.uint64))
     text = np.repeat(np.arange(len(sizes)), windows)
     first = np.cumsum(windows) - windows
     window = np.arange(total) - np.repeat(first - offsets[:-1], windows)
@@ -70,6 +68,4 @@ def parse(offsets: np.ndarray, data: np.ndarray, length: int, gram: int = GRAM)
     new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (text[1:] != text[:-1])]))
     last = np.concatenate([new[1:], [total]]) - 1
     t, lo, hi = a[new], window[new], window[last]
-    one, two = digests(data, lo, hi + length)
-    one = mix64(one + (t - lo).astype(np.uint64))
-    return Phrases(text[new], t, lo, hi, grams[t], one, two)
+    return Phrases(text[new], t, lo, hi, grams[t])

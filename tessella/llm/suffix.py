@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .parsing import GRAM, parse
-from .util import digests, discard, frequent_join, materialize, signed, slices, table
+from .util import digests, discard, frequent_join, materialize, mix64, signed, slices, table
 
 #: Bytes of a string of the contract, and of what counts as a passage elsewhere: a passage of over 50 words is longer.
 LENGTH, PASSAGE = 400, 200
@@ -41,17 +41,29 @@ FAN, FINEST = 8, 8
 _PART = "array<struct<at:int,left:int,n:int,key:long,alone:boolean,low:int>>"
 
 
-def phrases(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, rid, at (the trigger's place in the text), left (bytes before it in the phrase), n (windows), key, one, two."""
+def phrases(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,)) -> DataFrame:
+    """doc_id, rid, at (the trigger's place in the text), left (bytes before it in the phrase), key, and for the i-th length n{i} (windows), one{i} and two{i} (digest).
+
+    Triggers are those of windows of the least length. A phrase has the windows of every length whose first bytes have its
+    trigger; texts that end before have fewer of the longer ones, or none.
+    """
+    least = min(lengths)
+    names = ["doc_id", "rid", "at", "left", "key", *(f"{c}{i}" for i in range(len(lengths)) for c in ("n", "one", "two"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, offsets, data in slices(batches, "text"):
-            p = parse(offsets, data, length)
+            p = parse(offsets, data, least)
             rows = pa.array(p.text)
-            cols = [part.column(0).take(rows), part.column(1).take(rows), *(pa.array(x.astype(np.int32)) for x in (p.at - offsets[p.text], p.at - p.lo, p.hi - p.lo + 1)), *(pa.array(signed(x)) for x in (p.key, p.one, p.two))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "rid", "at", "left", "n", "key", "one", "two"])
+            cols = [part.column(0).take(rows), part.column(1).take(rows), *(pa.array(x.astype(np.int32)) for x in (p.at - offsets[p.text], p.at - p.lo)), pa.array(signed(p.key))]
+            for length in lengths:
+                n = np.maximum(np.minimum(p.hi, offsets[p.text + 1] - length) - p.lo + 1, 0)
+                one, two = digests(data, p.lo, np.where(n > 0, p.lo + n + (length - 1), p.lo))
+                one = mix64(one + (p.at - p.lo).astype(np.uint64))
+                cols += [pa.array(n.astype(np.int32)), pa.array(signed(one)), pa.array(signed(two))]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select("doc_id", "rid", "text").mapInArrow(run, "doc_id long, rid long, at int, left int, n int, key long, one long, two long")
+    kinds = ", ".join(f"n{i} int, one{i} long, two{i} long" for i in range(len(lengths)))
+    return docs.select("doc_id", "rid", "text").mapInArrow(run, f"doc_id long, rid long, at int, left int, key long, {kinds}")
 
 
 def _same_row(a: str, b: str):
@@ -218,16 +230,29 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """docs: doc_id, rid, text. doc_id, rid, start, end: a written table of spans that cover the bytes of every repeated string of length bytes; they may overlap."""
-    found = materialize(phrases(docs, length), "phrases")
+    return spans_of_lengths(docs, (length,), group)[0]
+
+
+def spans_of_lengths(docs: DataFrame, lengths: tuple[int, ...], group: int = GROUP) -> list[DataFrame]:
+    """`repeated_spans` of each length, from one parse."""
+    found = materialize(phrases(docs, lengths), "phrases")
     total = found.count()
     shared = materialize(found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "triggers", narrow=True)
     again = materialize(frequent_join(found, shared, ["key"], total), "shared-phrases")
+    discard(found, shared)
+    out = [_repeated(docs, again.where(f"n{i} > 0").select("doc_id", "rid", "at", "left", "key", *(F.col(f"{c}{i}").alias(c) for c in ("n", "one", "two"))), total, length, group) for i, length in enumerate(lengths)]
+    discard(again)
+    return out
+
+
+def _repeated(docs: DataFrame, again: DataFrame, total: int, length: int, group: int) -> DataFrame:
+    """Of phrases whose trigger occurs in several, the spans of repeated windows."""
     dictionary = again.groupBy("one", "two").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "rid", "at", "left", "n", "key")).alias("f"))
     dictionary = materialize(dictionary, "dictionary")
     first = F.col("at") - F.col("left")
     twice = frequent_join(again, dictionary.where("c > 1").select("one", "two", "c"), ["one", "two"], total)
     spans = [materialize(twice.select("doc_id", "rid", first.alias("start"), (first + F.col("n") + (length - 1)).alias("end")), "whole-phrases")]
-    used, spread = [found, shared, again, dictionary], length
+    used, spread = [dictionary], length
     members = dictionary.select("f.*", (F.col("c") == 1).alias("alone"), F.lit(0).alias("low"))
     while True:
         sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("alone").alias("any_alone")).where("any_alone AND c > 1").select("key", "c")
@@ -246,7 +271,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, group: int = GROUP) ->
         members = materialize(finer(rest, length, spread), "finer-groups")
         used.append(members)
         spread = -(-spread // FAN)
-    result = materialize(reduce(DataFrame.unionByName, spans), "spans", narrow=False)
+    result = materialize(reduce(DataFrame.unionByName, spans), "spans")
     discard(*used, *spans)
     return result
 
@@ -333,7 +358,7 @@ def without_passages(docs: DataFrame, spans: DataFrame, passages: DataFrame) ->
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents as UTF-8 (null: empty), without strings of LENGTH bytes that repeat; text is what is left without those of PASSAGE bytes."""
     docs = keyed(table(spark, sf_dir, "documents"))
-    return without_passages(docs, repeated_spans(docs), repeated_spans(docs, PASSAGE))
+    return without_passages(docs, *spans_of_lengths(docs, (LENGTH, PASSAGE)))
 
 
 def cleaned(docs: DataFrame, spans: DataFrame) -> DataFrame:
