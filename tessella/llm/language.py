@@ -31,8 +31,10 @@ KAPPA = 20.0
 DECLARED = 0.9
 #: Mean log probability of a trigram when every code is as likely: the model of no language.
 FLOOR = -BITS * float(np.log(2))
-#: Rows of the training sample; a row counts whole.
-SAMPLE_ROWS = 4000
+#: Rows of the training sample, and bytes of a text that may be in it; a row counts whole.
+SAMPLE_ROWS, SAMPLE_BYTES = 4000, 1 << 14
+#: A document is kept if its language has this posterior at least.
+ACCEPT = 0.5
 #: Priors of at most so many addresses are broadcast (some 100 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -71,8 +73,8 @@ class Model:
 
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """docs: id, text, label. Rows without label or text do not count; the sample is the rows of least id hash."""
-    rows = docs.select(F.xxhash64("id").alias("h"), "text", "label").where("label IS NOT NULL AND text IS NOT NULL")
+    """docs: id, text, label. Rows without label or text, or of more than SAMPLE_BYTES, do not count; the sample is the rows of least hash of id and text."""
+    rows = docs.select(F.xxhash64("id", "text").alias("h"), "text", "label").where("label IS NOT NULL AND text IS NOT NULL").where(F.octet_length("text") <= SAMPLE_BYTES)
     n = rows.count()
     if n > sample_rows:
         bound = -(2**63) + int(sample_rows / n * 2**64)
@@ -160,17 +162,17 @@ def priors(scored: DataFrame, levels: list[str], languages: list[str]) -> list[D
     return out
 
 
-def identify(docs: DataFrame, model: Model, levels: list[str], declared: str | None = None) -> DataFrame:
-    """docs: id, text, the level columns and perhaps declared (null: nothing declared).
+def identify(docs: DataFrame, model: Model, levels: list[str], declared: str | None = None, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """docs: keys, text, the level columns and perhaps declared (null: nothing declared).
 
-    Returns id, lang (the most probable; ties go to the first in alphabetical order), posterior, n_evidence, accepted.
+    Returns keys, lang (the most probable; ties go to the first in alphabetical order), posterior, n_evidence, accepted.
     Null, blank or letterless texts have lang null, posterior 0 and are not accepted; nor are texts whose trigrams
     fit every language worse than a uniform choice of codes would (FLOOR).
     """
     languages, k = model.languages, len(model.languages)
     if not k:
-        return docs.select("id", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("posterior"), F.lit(0).cast("long").alias("n_evidence"), F.lit(False).alias("accepted"))
-    keep = ["id", *levels, *([declared] if declared else [])]
+        return docs.select(*keys, F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("posterior"), F.lit(0).cast("long").alias("n_evidence"), F.lit(False).alias("accepted"))
+    keep = [*keys, *levels, *([declared] if declared else [])]
     scored = materialize(text_scores(docs, model, keep), "language-scores")
     prior = _size_checked(priors(scored, levels, languages)[-1])
     p = prior.select(*(F.col(c).alias(f"p_{c}") for c in levels), "prior")
@@ -183,23 +185,40 @@ def identify(docs: DataFrame, model: Model, levels: list[str], declared: str | N
     seen = F.col("n_evidence") > 0
     lang = F.element_at(F.array(*map(F.lit, languages)), F.array_position("post", F.col("posterior")).cast("int"))
     return fused.select(
-        "id",
+        *keys,
         F.when(seen, lang).alias("lang"),
         F.when(seen, F.col("posterior")).otherwise(0.0).alias("posterior"),
         "n_evidence",
-        (seen & (F.col("fit") >= F.lit(FLOOR)) & (F.col("posterior") >= 0.5)).alias("accepted"),
+        (seen & (F.col("fit") >= F.lit(FLOOR)) & (F.col("posterior") >= ACCEPT)).alias("accepted"),
     )
 
 
+LEVELS = ["suffix", "domain", "host"]
+
+
+def _address(host: Column) -> list[Column]:
+    return [F.substring_index(host, ".", -1).alias("suffix"), F.substring_index(host, ".", -2).alias("domain"), host.alias("host")]
+
+
+def _declared(html: Column) -> Column:
+    said = F.lower(F.regexp_extract(html, r"(?i)<html[^>]*\blang\s*=\s*[\"']?([a-zA-Z]+)", 1))
+    return F.when(said != "", said).alias("declared")
+
+
+def document_columns(docs: DataFrame) -> DataFrame:
+    """id, rid (a hash of the text), text, declared (by markup in the text), suffix, domain and host (of `source`), and label (`lang`)."""
+    return texts(docs, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("rid"), _declared(F.col("text").cast("string")), *_address(F.lower(F.col("source").cast("string"))), F.col("lang").cast("string").alias("label")).withColumnRenamed("doc_id", "id")
+
+
 def _documents(docs: DataFrame) -> tuple[DataFrame, Model]:
-    d = texts(docs, F.col("source").cast("string").alias("host"), F.col("lang").cast("string").alias("label")).withColumnRenamed("doc_id", "id")
+    d = document_columns(docs)
     return d, fit(d)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of documents; `source` stands for the host. doc_id, lang, posterior, n_evidence, accepted."""
+    """Every row of documents; `source` stands for the host, with its domain and suffix where it has dots. doc_id, lang, posterior, n_evidence, accepted."""
     docs, model = _documents(table(spark, sf_dir, "documents"))
-    return identify(docs, model, ["host"]).withColumnRenamed("id", "doc_id")
+    return identify(docs, model, LEVELS, "declared").withColumnRenamed("id", "doc_id")
 
 
 def page_columns(pages: DataFrame) -> DataFrame:
@@ -207,22 +226,20 @@ def page_columns(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.col("url").cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     plain = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>", " ")
-    said = F.lower(F.regexp_extract(html, r"(?i)<html[^>]*\blang\s*=\s*[\"']?([a-zA-Z]+)", 1))
-    return pages.select(
-        F.col("page_id").cast("long").alias("id"), plain.alias("text"), F.when(said != "", said).alias("declared"),
-        F.substring_index(host, ".", -1).alias("suffix"), F.substring_index(host, ".", -2).alias("domain"), host.alias("host"),
-    )
+    return pages.select(F.col("page_id").cast("long").alias("id"), plain.alias("text"), _declared(html), *_address(host))
 
 
 def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of pages, with declared language and address levels; the text model is that of documents."""
     _, model = _documents(table(spark, sf_dir, "documents"))
-    return identify(page_columns(table(spark, sf_dir, "pages")), model, ["suffix", "domain", "host"], "declared").withColumnRenamed("id", "page_id")
+    return identify(page_columns(table(spark, sf_dir, "pages")), model, LEVELS, "declared").withColumnRenamed("id", "page_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are accepted, with all their columns. A row without doc_id is judged with all such rows and goes if none is accepted."""
+    """Documents that are accepted, with all their columns; `lang` is the language found. Rows that are equal in doc_id and text fare alike if an equal source or another suffices."""
     d, model = _documents(docs)
-    found = materialize(identify(d, model, ["host"]).groupBy("id").agg(F.max("accepted").alias("accepted")), "language")
-    gone = _size_checked(found.where("NOT accepted").select(F.col("id").alias("gone_id")))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    found = identify(d, model, LEVELS, "declared", ("id", "rid")).where("accepted").groupBy("id", "rid").agg(F.min("lang").alias("found_"))
+    rid = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    both = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("r"), F.col("doc_id").cast("long").alias("doc_"), rid.alias("rid_"))
+    both = both.join(found, F.col("doc_").eqNullSafe(F.col("id")) & (F.col("rid_") == F.col("rid")))
+    return both.select(*((F.col("found_") if c == "lang" else F.col(f"r.`{c}`")).alias(c) for c in docs.columns))

@@ -29,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "page_languages": language.page_languages,
         "op9_avi_mjpeg": media.op9_avi_mjpeg,
         "op10_length_buckets": packing.op10_length_buckets,
+        "packed_batches": packing.packed_batches,
     }
     return {name: shipped(query) for name, query in found.items()} | {"pipeline": pipeline}
 

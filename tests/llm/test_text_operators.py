@@ -325,7 +325,12 @@ def test_op8_held_out(spark):
 
 def test_op10(spark, folder, corpus_rows):
     found = rows(queries.queries()["op10_length_buckets"](spark, folder))
-    n = [len((t or "").encode().split()) for _, t in corpus_rows]
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [x or "" for _, x in corpus_rows]
+    ids = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    n = [len(x) for x in ids]
     same([(r["doc_id"], r["n_tokens"]) for r in found], [(i, k) for (i, _), k in zip(corpus_rows, n, strict=True)])
     assert all(r["n_tokens"] <= r["pad_to"] for r in found)
     batches = defaultdict(list)
@@ -337,6 +342,22 @@ def test_op10(spark, folder, corpus_rows):
     for bucket in {b for b, _ in batches}:  # all batches but the last are full
         sizes = [len(batches[bucket, k]) for k in range(sum(b == bucket for b, _ in batches))]
         assert len(set(sizes[:-1])) <= 1
+    # the buckets are the optimal ones, and every row is in its bucket
+    lengths, counts = np.unique(n, return_counts=True)
+    cuts = packing.boundaries(lengths, counts, packing.BUCKETS)
+    assert {(r["n_tokens"], r["bucket"], r["pad_to"]) for r in found} == {(int(k), int(np.searchsorted(cuts, k)), cuts[int(np.searchsorted(cuts, k))]) for k in lengths}
+    # formed batches hold each document's ids in its place
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    made = rows(packing.formed(packing.pack(packing.encoded(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), True))))
+    held = Counter()
+    for b in made:
+        m = np.frombuffer(b["ids"], "<u4").reshape(len(b["doc_ids"]), b["pad_to"])
+        assert (m[np.arange(b["pad_to"]) >= np.array(b["lengths"])[:, None]] == packing.PAD).all()
+        for i, k, x in zip(b["doc_ids"], b["lengths"], m, strict=True):
+            held[i, tuple(x[:k].tolist())] += 1
+    assert held == Counter((i, tuple(x)) for (i, _), x in zip(corpus_rows, ids, strict=True))
+    out = rows(queries.queries()["packed_batches"](spark, folder))
+    assert sum(r["n_rows"] for r in out) == len(n) and sum(r["n_tokens"] for r in out) == sum(n) and all(r["padding"] == r["n_rows"] * r["pad_to"] - r["n_tokens"] for r in out)
 
 
 def test_boundaries_are_optimal():
@@ -365,10 +386,43 @@ def test_pipeline(spark, folder):
     found = rows(corpus_pipeline.run(spark, folder))
     ids = {r["doc_id"] for r in found}
     assert set(range(3, 60)) <= ids and not ids & {300, 301, 302, 110, 111, 112}
+    # the stages written out; languages are held against their fusion elsewhere
+    from tokenizers import Tokenizer
+
+    docs, model = language._documents(spark.read.parquet(f"{folder}/documents.parquet"))
+    accepted = {(r["id"], r["rid"]) for r in language.identify(docs, model, language.LEVELS, "declared", ("id", "rid")).where("accepted").collect()}
+    named = {(r["id"], r["text"]): (r["id"], r["rid"]) for r in docs.collect()}
+    left = [(i, t) for i, t in corpus_rows if named[i, t] in accepted]
+    top = components(left)
+    left = [(i, t) for i, t in left if i is None or top.get(i, i) == i]
+    masks = repeated_mask([t.encode() for _, t in left], suffix.PASSAGE)
+    left = [(i, characters_left(t, m)) for (i, t), m in zip(left, masks, strict=True)]
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    same([(r["doc_id"], r["n_tokens"]) for r in found], [(i, len(t.encode(x, add_special_tokens=False).ids)) for i, x in left if x])
+
+
+def components(corpus_rows):
+    """Each id's least reachable one."""
+    top = {}
+
+    def find(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    texts = [(i, (t or "").encode().lower().split()) for i, t in corpus_rows]
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []) for _, w in texts]
+    for a in range(len(sets)):
+        for b in range(a):
+            if texts[a][0] is not None and texts[b][0] is not None and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(texts[a][0]), find(texts[b][0])))
+                top[y] = x
+    return {i: find(i) for i, _ in texts if i is not None}
 
 
-def test_page_languages(spark, tmp_path):
-    """Text, markup and the suffix-domain-host hierarchy on a small pages table, against the fusion written out."""
+@pytest.mark.parametrize("name", ["page_languages", "op8_language_id"])
+def test_languages_by_the_fusion_written_out(spark, tmp_path, name):
+    """Text, markup and the suffix-domain-host hierarchy on small tables, against the fusion written out. Documents have the page as text and the host as source."""
     d = str(tmp_path)
     words = {"de": "der hund und die katze sind nicht im haus", "en": "the dog and the cat are not in this house", "fr": "le chien et le chat ne sont pas dans la maison"}
     rng = random.Random(8)
@@ -379,11 +433,21 @@ def test_page_languages(spark, tmp_path):
     pages += [(100 + k, f"http://{h}/z", f"<html{say}><p>alp</p></html>") for k, (h, say) in enumerate((h, say) for h in hosts for say in ("", " lang=en", ' lang="FR-be"'))]
     pages += [(200, "http://b.de/", ""), (201, None, "<p>the cat</p>"), (202, None, None), (None, "http://new.a.de/q", "<p>katze</p>")]
     spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3).write.parquet(f"{d}/pages.parquet")
-    got = {r["page_id"]: r for r in queries.queries()["page_languages"](spark, d).collect()}
+    of_documents = name == "op8_language_id"
+    if of_documents:
+        pages = [(i, url, html) for i, url, html in pages if i != 202]
+        schema = "doc_id long, text string, lang string, source string, n_chars long"
+        same_rows = [(k, " ".join(rng.sample(w.split(), 8)), x, "s", 40) for k, (x, w) in enumerate(list(words.items()) * 20, 1000)]
+        own = [(i, html, None, url.split("/")[2].upper() if url else None, 1) for i, url, html in pages]
+        pages += [(k, f"http://{s}/", t) for k, t, _, s, _ in same_rows]
+        d += "/own"
+        spark.createDataFrame(same_rows + own, schema).repartition(3).write.parquet(f"{d}/documents.parquet")
+    key = "doc_id" if of_documents else "page_id"
+    got = {r[key]: r for r in queries.queries()[name](spark, d).collect()}
 
     _, model = language._documents(spark.read.parquet(f"{d}/documents.parquet"))
     names = model.languages
-    plain = lambda html: re.sub(r"<[^>]*>", " ", re.sub(r"<style>.*?</style>", " ", html or ""))
+    plain = lambda html: (html or "") if of_documents else re.sub(r"<[^>]*>", " ", re.sub(r"<style>.*?</style>", " ", html or ""))
     seen = {}
     for i, url, html in pages:
         b = plain(html).encode()
@@ -410,3 +474,7 @@ def test_page_languages(spark, tmp_path):
         if n:
             assert r["lang"] == names[int(post.argmax())] and abs(r["posterior"] - post.max()) < 1e-6
     assert len({got[100 + k]["lang"] for k in range(18)}) > 1
+    if of_documents:
+        docs = spark.read.parquet(f"{d}/documents.parquet")
+        kept = {r["doc_id"]: r["lang"] for r in language.stage(spark, docs, d).collect()}
+        assert kept == {i: r["lang"] for i, r in got.items() if r["accepted"]} and 200 not in kept and None in kept
