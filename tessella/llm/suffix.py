@@ -38,7 +38,10 @@ GROUP = 1_000
 #: Each split divides a group's range of places by this, down to FINEST places.
 FAN, FINEST = 8, 8
 
-_PART = "array<struct<at:int,left:int,n:int,key:long,alone:boolean,low:int>>"
+#: What is known of a phrase: its group, place and bytes before the trigger, whether it occurs once, and of a split group the least bytes in common from the trigger on and their spread.
+_MEMBER = "key long, lo int, left int, size int, alone boolean, low int, spread int, length int, large boolean"
+_PART = "array<struct<" + _MEMBER.replace(" ", ":").replace(",:", ",") + ">>"
+_NAMES = [x.split()[0] for x in _MEMBER.split(", ")]
 
 
 def phrases(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,)) -> DataFrame:
@@ -70,52 +73,51 @@ def _same_row(a: str, b: str):
     return F.expr(f"{a}.doc_id <=> {b}.doc_id AND {a}.rid = {b}.rid")
 
 
-def excerpts(docs: DataFrame, members: DataFrame, length: int) -> DataFrame:
-    """The bytes of phrases: key, doc_id, rid, lo (place in the text), left, alone, span, low."""
-    own = members.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("at", "left", "n", "key", "alone", "low")).alias("parts"))
+def excerpts(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Members (doc_id, rid and _MEMBER) with their bytes: span."""
+    own = members.groupBy("doc_id", "rid").agg(F.collect_list(F.struct(*_NAMES)).alias("parts"))
     both = docs.alias("d").join(own.alias("o"), _same_row("d", "o")).select("d.doc_id", "d.rid", F.encode("d.text", "UTF-8").alias("body"), F.col("parts").cast(_PART))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "doc_id", "rid", "lo", "left", "alone", "span", "low"]
         for batch, offsets, data in slices(batches, "body"):
             parts = batch.column(3)
             counts = np.diff(parts.offsets.to_numpy())
             inner = parts.flatten()
             rows = pa.array(np.repeat(np.arange(batch.num_rows), counts))
-            at, left, n = (inner.field(i).to_numpy() for i in range(3))
-            lo = at - left
-            start = (np.repeat(offsets[:-1], counts) + lo).tolist()
+            start = (np.repeat(offsets[:-1], counts) + inner.field(1).to_numpy()).tolist()
             whole = data.tobytes()
-            spans = [whole[a : a + b] for a, b in zip(start, (n + length - 1).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([inner.field(3), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(lo.astype(np.int32)), inner.field(1), inner.field(4), pa.array(spans, pa.binary()), inner.field(5)], names)
+            spans = [whole[a : a + b] for a, b in zip(start, inner.field(3).to_numpy().tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *(inner.field(i) for i in range(len(_NAMES))), pa.array(spans, pa.binary())], ["doc_id", "rid", *_NAMES, "span"])
 
-    return both.mapInArrow(run, "key long, doc_id long, rid long, lo int, left int, alone boolean, span binary, low int")
+    return both.mapInArrow(run, f"doc_id long, rid long, {_MEMBER}, span binary")
 
 
-def finer(pieces: DataFrame, length: int, spread: int) -> DataFrame:
-    """Members of finer groups of pieces, whose common bytes from the trigger on are low to low + spread: key, doc_id, rid, at, left, n, alone, low."""
-    step = -(-spread // FAN)
+def _columns(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names]
+
+
+def finer(pieces: DataFrame) -> DataFrame:
+    """Members of finer groups, without bytes: a phrase in common with another from `low` to `low + spread` bytes of the trigger on meets it in one of FAN groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, low = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("left", "low"))
             spans = batch.column(batch.schema.get_field_index("span")).to_pylist()
-            rows, keys, lows = [], [], []
-            for i, (x, k, first) in enumerate(zip(spans, left.tolist(), low.tolist(), strict=True)):
+            rows, keys, lows, steps = [], [], [], []
+            for i, (x, k, first, spread, length) in enumerate(zip(spans, *(c.tolist() for c in _columns(batch, "left", "low", "spread", "length")), strict=True)):
+                step = -(-spread // FAN)
                 for place in range(first, min(first + spread, length), step):
                     before, ahead = max(length - place - step, 0), max(place, GRAM)
                     if k >= before and len(x) - k >= ahead:
                         rows.append(i)
-                        keys.append(xxhash.xxh3_64_intdigest(x[k - before : k + ahead], place))
+                        keys.append(xxhash.xxh3_64_intdigest(x[k - before : k + ahead], place * 65_536 + length))
                         lows.append(place)
-            take = pa.array(rows, pa.int32())
-            lo = batch.column(batch.schema.get_field_index("lo")).to_numpy()
-            n = np.array([len(x) for x in spans], np.int32) - length + 1
-            cols = [pa.array(signed(np.array(keys, np.uint64))), *(batch.column(batch.schema.get_field_index(c)).take(take) for c in ("doc_id", "rid"))]
-            cols += [pa.array(x.astype(np.int32)).take(take) for x in (lo + left, left, n)]
-            yield pa.RecordBatch.from_arrays([*cols, batch.column(batch.schema.get_field_index("alone")).take(take), pa.array(lows, pa.int32())], ["key", "doc_id", "rid", "at", "left", "n", "alone", "low"])
+                        steps.append(step)
+            own = batch.take(pa.array(rows, pa.int32()))
+            new = {"key": pa.array(signed(np.array(keys, np.uint64))), "low": pa.array(lows, pa.int32()), "spread": pa.array(steps, pa.int32())}
+            names = ["doc_id", "rid", *_NAMES]
+            yield pa.RecordBatch.from_arrays([new.get(c, own.column(own.schema.get_field_index(c))) for c in names], names)
 
-    return pieces.mapInArrow(run, "key long, doc_id long, rid long, at int, left int, n int, alone boolean, low int")
+    return pieces.mapInArrow(run, f"doc_id long, rid long, {_MEMBER}")
 
 
 def _agree(order: np.ndarray, strings: list[bytes]) -> np.ndarray:
@@ -169,14 +171,18 @@ def repeated_windows(spans: list[bytes], left: list[int], alone: list[bool], len
     return out
 
 
-def _met(pieces: DataFrame, length: int) -> DataFrame:
-    """Repeated spans (doc_id, rid, start, end) of phrases that are alone, groups by trigger."""
-    rows = pieces.repartition("key").sortWithinPartitions("key", "doc_id", "rid", "lo")
+_SPANS = "doc_id long, rid long, length int, start int, end int"
+
+
+def _met(pieces: DataFrame) -> DataFrame:
+    """Repeated spans of phrases that are alone, groups by key."""
+    rows = pieces.select("key", "doc_id", "rid", "lo", "left", "alone", "span", "length").repartition("key").sortWithinPartitions("key", "doc_id", "rid", "lo")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def spans(group: list[tuple]) -> list[tuple]:
+            length = group[0][7]
             found = repeated_windows([x[6] for x in group], [x[4] for x in group], [x[5] for x in group], length)
-            return [(x[1], x[2], x[3] + a, x[3] + b - 1 + length) for x, runs in zip(group, found, strict=True) for a, b in runs]
+            return [(x[1], x[2], length, x[3] + a, x[3] + b - 1 + length) for x, runs in zip(group, found, strict=True) for a, b in runs]
 
         group: list[tuple] = []
         for batch in batches:
@@ -192,20 +198,20 @@ def _met(pieces: DataFrame, length: int) -> DataFrame:
         if group:
             yield _spans(spans(group))
 
-    return rows.mapInArrow(run, "doc_id long, rid long, start int, end int")
+    return rows.mapInArrow(run, _SPANS)
 
 
 def _spans(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "rid", "start", "end"])
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "rid", "length", "start", "end"])
 
 
-def _counted(pieces: DataFrame, length: int, spread: int) -> DataFrame:
+def _counted(pieces: DataFrame) -> DataFrame:
     """The same for groups that are large however fine: their windows are rows, counted by 128-bit digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, offsets, data in slices(batches, "span"):
-            left, low, lo = (part.column(part.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("left", "low", "lo"))
+        for part, offsets, data in slices(batches, "span", 1 << 18):
+            left, low, lo, spread, length = (x.astype(np.int64) for x in _columns(part, "left", "low", "lo", "spread", "length"))
             first = np.maximum(left - (length - low), 0)
             last = np.minimum(left - np.maximum(length - low - spread, 0), np.diff(offsets) - length)
             n = np.maximum(last - first + 1, 0)
@@ -213,13 +219,15 @@ def _counted(pieces: DataFrame, length: int, spread: int) -> DataFrame:
             i = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n) + first[rows]
             at = offsets[rows] + i
             start, take = lo[rows] + i, pa.array(rows)
-            yield pa.RecordBatch.from_arrays([*(pa.array(signed(x)) for x in digests(data, at, at + length)), *(part.column(part.schema.get_field_index(c)).take(take) for c in ("doc_id", "rid", "alone")), pa.array(start.astype(np.int32)), pa.array((start + length).astype(np.int32))], ["h1", "h2", "doc_id", "rid", "alone", "start", "end"])
+            own = [part.column(part.schema.get_field_index(c)).take(take) for c in ("doc_id", "rid", "length", "alone")]
+            yield pa.RecordBatch.from_arrays([*(pa.array(signed(x)) for x in digests(data, at, at + length[rows])), *own, pa.array(start.astype(np.int32)), pa.array((start + length[rows]).astype(np.int32))], ["h1", "h2", "doc_id", "rid", "length", "alone", "start", "end"])
 
-    windows = materialize(pieces.mapInArrow(run, "h1 long, h2 long, doc_id long, rid long, alone boolean, start int, end int"), "windows")
+    windows = materialize(pieces.mapInArrow(run, "h1 long, h2 long, doc_id long, rid long, length int, alone boolean, start int, end int"), "windows")
     # a phrase has the windows of several groups: the same window of one phrase counts once
     once = windows.select("h1", "h2", "doc_id", "rid", "start").distinct()
     again = materialize(once.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "repeated-windows")
-    return frequent_join(windows.where("alone"), again, ["h1", "h2"], windows.count()).select("doc_id", "rid", "start", "end").distinct()
+    found = frequent_join(windows.where("alone"), again, ["h1", "h2"], windows.count())
+    return found.select("doc_id", "rid", "length", "start", "end").distinct()
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -228,58 +236,55 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("rid"), text.alias("text"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """docs: doc_id, rid, text. doc_id, rid, start, end: a written table of spans that cover the bytes of every repeated string of length bytes; they may overlap."""
-    return spans_of_lengths(docs, (length,), group)[0]
-
-
-def spans_of_lengths(docs: DataFrame, lengths: tuple[int, ...], group: int = GROUP) -> list[DataFrame]:
-    """`repeated_spans` of each length, from one parse."""
+def repeated_spans(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,), group: int = GROUP) -> DataFrame:
+    """docs: doc_id, rid, text. doc_id, rid, length, start, end: a written table of spans that cover the bytes of every repeated string of each length; they may overlap."""
     found = materialize(phrases(docs, lengths), "phrases")
     total = found.count()
     shared = materialize(found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "triggers", narrow=True)
     again = materialize(frequent_join(found, shared, ["key"], total), "shared-phrases")
     discard(found, shared)
-    out = [_repeated(docs, again.where(f"n{i} > 0").select("doc_id", "rid", "at", "left", "key", *(F.col(f"{c}{i}").alias(c) for c in ("n", "one", "two"))), total, length, group) for i, length in enumerate(lengths)]
-    discard(again)
-    return out
-
-
-def _repeated(docs: DataFrame, again: DataFrame, total: int, length: int, group: int) -> DataFrame:
-    """Of phrases whose trigger occurs in several, the spans of repeated windows."""
-    dictionary = again.groupBy("one", "two").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "rid", "at", "left", "n", "key")).alias("f"))
+    kinds = F.array(*(F.struct(F.lit(length).alias("length"), *(F.col(f"{c}{i}").alias(c) for c in ("n", "one", "two"))) for i, length in enumerate(lengths)))
+    each = again.select("doc_id", "rid", (F.col("at") - F.col("left")).alias("lo"), "left", "key", F.inline(kinds)).where("n > 0")
+    each = each.select("doc_id", "rid", "lo", "left", F.xxhash64("key", "length").alias("key"), (F.col("n") + F.col("length") - 1).alias("size"), "length", "one", "two")
+    dictionary = each.groupBy("length", "one", "two").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "rid", "lo", "left", "size", "key")).alias("f"))
     dictionary = materialize(dictionary, "dictionary")
-    first = F.col("at") - F.col("left")
-    twice = frequent_join(again, dictionary.where("c > 1").select("one", "two", "c"), ["one", "two"], total)
-    spans = [materialize(twice.select("doc_id", "rid", first.alias("start"), (first + F.col("n") + (length - 1)).alias("end")), "whole-phrases")]
-    used, spread = [dictionary], length
-    members = dictionary.select("f.*", (F.col("c") == 1).alias("alone"), F.lit(0).alias("low"))
+    twice = frequent_join(each, dictionary.where("c > 1").select("length", "one", "two", "c"), ["length", "one", "two"], total)
+    spans = [materialize(twice.select("doc_id", "rid", "length", F.col("lo").alias("start"), (F.col("lo") + F.col("size")).alias("end")), "whole-phrases")]
+    discard(again)
+    members = dictionary.select("f.*", (F.col("c") == 1).alias("alone"), F.lit(0).alias("low"), F.col("length").alias("spread"), "length")
+    met = materialize(excerpts(docs, _grouped(members, total, group)), "excerpts")
+    used, base = [dictionary, met], None
     while True:
-        sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("alone").alias("any_alone")).where("any_alone AND c > 1").select("key", "c")
-        sizes = materialize(sizes, "groups", narrow=True)
-        met = materialize(excerpts(docs, members.join(sizes.where(F.col("c") <= group), "key", "left_semi"), length), "excerpts")
-        spans.append(materialize(_met(met, length), "met-phrases"))
-        large = sizes.where(F.col("c") > group)
-        used += [sizes, met]
+        spans.append(materialize(_met(met.where("NOT large")), "met-phrases"))
+        large = met.where("large")
         if not large.limit(1).count():
             break
-        rest = materialize(excerpts(docs, frequent_join(members, large, ["key"], total), length), "large-groups")
-        used.append(rest)
-        if spread <= FINEST:
-            spans.append(materialize(_counted(rest, length, spread), "counted"))
-            break
-        members = materialize(finer(rest, length, spread), "finer-groups")
-        used.append(members)
-        spread = -(-spread // FAN)
+        last = large.where(F.col("spread") <= FINEST)
+        if last.limit(1).count():
+            spans.append(materialize(_counted(last), "counted"))
+        if base is None:  # the bytes of all phrases in large groups; rows that are equal give them once
+            base = materialize(large.select("doc_id", "rid", "lo", "left", "length", "span").dropDuplicates(["doc_id", "rid", "lo", "left", "length"]), "large-groups")
+        members = materialize(finer(large.where(F.col("spread") > FINEST)), "finer-members")
+        grouped = _grouped(members.drop("large"), total, group)
+        same = F.expr("m.doc_id <=> b.doc_id AND m.rid = b.rid AND m.lo = b.lo AND m.left = b.left AND m.length = b.length")
+        met = materialize(grouped.alias("m").join(base.alias("b"), same).select("m.*", "b.span"), "finer-groups")
+        used += [members, met]
     result = materialize(reduce(DataFrame.unionByName, spans), "spans")
-    discard(*used, *spans)
+    discard(*used, *spans, *([base] if base is not None else []))
     return result
 
 
-def _collected(docs: DataFrame, spans: DataFrame, name: str) -> DataFrame:
-    own = spans.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+def _grouped(members: DataFrame, total: int, group: int) -> DataFrame:
+    """The members of groups that can tell something, with large: whether the group has more than `group` of them."""
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("alone").alias("any_alone")).where("any_alone AND c > 1").select("key", "c", (F.col("c") > group).alias("large"))
+    return frequent_join(members, materialize(sizes, "groups", narrow=True), ["key"], total).select("doc_id", "rid", *_NAMES)
+
+
+def _collected(docs: DataFrame, spans: DataFrame, *lengths: int) -> DataFrame:
+    """docs (doc_id, rid and more) with spans0, spans1, ... of the lengths."""
+    own = spans.groupBy("doc_id", "rid").agg(*(F.collect_set(F.when(F.col("length") == n, F.struct("start", "end"))).alias(f"spans{i}") for i, n in enumerate(lengths)))
     both = docs.alias("d").join(own.alias("o"), _same_row("d", "o"), "left")
-    return both.select("d.*", F.col("o.spans").cast("array<struct<start:int,end:int>>").alias(name))
+    return both.select("d.*", *(F.col(f"o.spans{i}").cast("array<struct<start:int,end:int>>").alias(f"spans{i}") for i in range(len(lengths))))
 
 
 def _lists(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -319,9 +324,9 @@ def _characters(body: bytes | memoryview, a: np.ndarray, b: np.ndarray) -> str:
     return x[stays].tobytes().decode()
 
 
-def removed(docs: DataFrame, spans: DataFrame) -> DataFrame:
+def removed(docs: DataFrame, spans: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs: doc_id, rid, text. Adds n_bytes, n_removed, n_spans, kept_sha256 and kept (binary); spans are merged."""
-    both = _collected(docs, spans, "spans").select("doc_id", "rid", F.encode("text", "UTF-8").alias("body"), "spans")
+    both = _collected(docs, spans, length).select("doc_id", "rid", F.encode("text", "UTF-8").alias("body"), "spans0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -337,9 +342,9 @@ def removed(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "doc_id long, rid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def without_passages(docs: DataFrame, spans: DataFrame, passages: DataFrame) -> DataFrame:
-    """`removed` without its bytes, beside passage_bytes (in shorter repeated strings, `passages`) and text (without the characters in these)."""
-    both = _collected(_collected(docs, spans, "spans"), passages, "passages").select("doc_id", F.encode("text", "UTF-8").alias("body"), "spans", "passages")
+def without_passages(docs: DataFrame, spans: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """`removed` without its bytes, beside passage_bytes (in repeated strings of the length `passage`) and text (without the characters in these)."""
+    both = _collected(docs, spans, length, passage).select("doc_id", F.encode("text", "UTF-8").alias("body"), "spans0", "spans1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -358,13 +363,13 @@ def without_passages(docs: DataFrame, spans: DataFrame, passages: DataFrame) ->
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents as UTF-8 (null: empty), without strings of LENGTH bytes that repeat; text is what is left without those of PASSAGE bytes."""
     docs = keyed(table(spark, sf_dir, "documents"))
-    return without_passages(docs, *spans_of_lengths(docs, (LENGTH, PASSAGE)))
+    return without_passages(docs, repeated_spans(docs, (LENGTH, PASSAGE)))
 
 
-def cleaned(docs: DataFrame, spans: DataFrame) -> DataFrame:
+def cleaned(docs: DataFrame, spans: DataFrame, length: int = PASSAGE) -> DataFrame:
     """docs with its own columns, each text without the characters that lie in spans wholly; n_chars, if there, follows. Null texts stay null, and rows that lose all their text go."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("r"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("rid"))
-    both = _collected(rows, spans, "spans").select("r", F.encode(F.col("r.text").cast("string"), "UTF-8").alias("body"), "spans")
+    both = _collected(rows, spans, length).select("r", F.encode(F.col("r.text").cast("string"), "UTF-8").alias("body"), "spans0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -380,4 +385,4 @@ def cleaned(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the passages that repeat: strings of PASSAGE bytes, all their occurrences, as op1's text."""
-    return cleaned(docs, repeated_spans(keyed(docs), PASSAGE))
+    return cleaned(docs, repeated_spans(keyed(docs), (PASSAGE,)))

@@ -101,8 +101,11 @@ FREQUENT = 20_000
 def frequent_join(rows: DataFrame, keys: DataFrame, on: list[str], total: int) -> DataFrame:
     """Inner join of written rows with written keys (on, c: how often the key occurs in total rows, and more).
 
-    Frequent keys, fewer than FREQUENT by their definition, are broadcast; the rest is joined by shuffle, where no key has many rows.
+    Few keys are broadcast whole. Otherwise frequent keys, fewer than FREQUENT by their definition, are; the rest is joined by
+    shuffle, where no key has many rows.
     """
+    if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keys.drop("c")), on)
     bound = total / FREQUENT
     few, many = keys.where(F.col("c") > bound), keys.where(F.col("c") <= bound).drop("c")
     rest = rows.join(F.broadcast(few.select(*on)), on, "left_anti")

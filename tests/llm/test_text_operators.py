@@ -73,7 +73,7 @@ def test_op1_short_lengths(spark):
     texts = ["".join(rng.choice(list("ab"), 90)) for _ in range(25)] + ["ab" * 60, "ab" * 61, "a" * 80]
     docs = suffix.keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     for length, group in ((40, 1000), (40, 1)):
-        got = {r["doc_id"]: r["n_removed"] for r in suffix.removed(docs, suffix.repeated_spans(docs, length, group)).collect()}
+        got = {r["doc_id"]: r["n_removed"] for r in suffix.removed(docs, suffix.repeated_spans(docs, (length,), group), length).collect()}
         assert got == {i: int(m.sum()) for i, m in enumerate(repeated_mask([t.encode() for t in texts], length))}
 
 
@@ -379,7 +379,7 @@ def test_empty_tables(spark, nothing, name):
     assert queries.queries()[name](spark, nothing).count() == 0
 
 
-def test_pipeline(spark, folder):
+def test_pipeline(spark, folder, corpus_rows):
     import corpus_pipeline
 
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language identification", "near-duplicates", "repeated strings", "packing"]
