@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import next_corner, previous_corner
 from ..tables import written
-from .points import drop_degenerate
 
 
 def corners(faces: DataFrame) -> DataFrame:
@@ -20,15 +23,44 @@ def corners(faces: DataFrame) -> DataFrame:
 
 
 def opposite(faces: DataFrame) -> DataFrame:
-    """corners and opp (null on a boundary): half-edges pair with reversed ones, the n-th with the n-th in order of corners.
+    """corners and opp (null on a boundary): in order of corners, each half-edge pairs with the first reversed one that still waits and has another tip.
 
-    Degenerate faces have no opposites. Two corners with one tip don't pair.
+    Degenerate faces have no opposites. An edge of two half-edges is settled by aggregates over it, without a join; edges of more
+    are walked in order, an edge by one task that holds two numbers for each half-edge that waits.
     """
-    c = corners(faces)
-    sound = corners(drop_degenerate(faces)).withColumn("rn", F.row_number().over(Window.partitionBy("mesh_id", "src", "snk").orderBy("corner")))
-    back = sound.select("mesh_id", F.col("src").alias("snk"), F.col("snk").alias("src"), "rn", F.col("corner").alias("o"), F.col("tip").alias("o_tip"))
-    pairs = sound.join(back, ["mesh_id", "src", "snk", "rn"]).where("tip <> o_tip").select("mesh_id", "corner", F.col("o").alias("opp"))
-    return c.join(pairs, ["mesh_id", "corner"], "left")
+    edge = Window.partitionBy("mesh_id", "a", "b")
+    sound = (F.col("tip") != F.col("src")) & (F.col("src") != F.col("snk")) & (F.col("snk") != F.col("tip"))
+    own = lambda c: F.when(sound, F.col(c))
+    c = corners(faces).withColumn("a", F.least("src", "snk")).withColumn("b", F.greatest("src", "snk"))
+    c = c.withColumn("n", F.count_if(sound).over(edge)).withColumn("other", F.sum(own("corner")).over(edge) - F.col("corner"))
+    unlike = (F.min(own("tip")).over(edge) != F.max(own("tip")).over(edge)) & (F.min(own("src")).over(edge) != F.max(own("src")).over(edge))
+    c = c.withColumn("pair", F.when(sound & (F.col("n") == 2) & unlike, F.col("other")))
+    walked = _waiting(c.where(sound & (F.col("n") > 2)).select("mesh_id", "a", "b", "corner", "src", "tip"))
+    out = c.select("mesh_id", "corner", "face_idx", "tip", "src", "snk", "pair").join(walked, ["mesh_id", "corner"], "left")
+    return out.select("mesh_id", "corner", "face_idx", "tip", "src", "snk", F.coalesce("pair", "mate").alias("opp"))
+
+
+def _waiting(half_edges: DataFrame) -> DataFrame:
+    """mesh_id, corner, mate: half-edges of crowded edges, each with the first waiting one of the other direction and another tip."""
+    rows = half_edges.repartition("mesh_id", "a", "b").sortWithinPartitions("mesh_id", "a", "b", "corner")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, waits = None, {}
+        for batch in batches:
+            out: list[tuple] = []
+            for mesh, a, b, corner, src, tip in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if (mesh, a, b) != at:
+                    at, waits = (mesh, a, b), {a: [], b: []}
+                row = waits[b if src == a else a]
+                mate = next((k for k, (_, t) in enumerate(row) if t != tip), None)
+                if mate is None:
+                    waits[src].append((corner, tip))
+                else:
+                    other, _ = row.pop(mate)
+                    out += [(mesh, corner, other), (mesh, other, corner)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], ["mesh_id", "corner", "mate"])
+
+    return rows.mapInArrow(run, "mesh_id long, corner long, mate long")
 
 
 def edges(faces: DataFrame) -> DataFrame:
@@ -55,17 +87,16 @@ def seams(adjacent: DataFrame, corner_values: DataFrame) -> DataFrame:
 
     corner_values: mesh_id, corner, val.
     """
-    v = corner_values.select("mesh_id", "corner", "val")
-
-    def at(name: str, c) -> DataFrame:
-        return v.select("mesh_id", F.col("corner").alias(f"{name}_c"), F.col("val").alias(name))
-
+    # the three values of a face on one row, so that a corner meets them with its own face and once with the opposite one
+    k = F.col("corner") % 3
+    face = corner_values.groupBy("mesh_id", F.expr("corner div 3").alias("face_")).agg(*(F.max(F.when(k == i, F.struct("val"))).alias(f"v{i}") for i in range(3)))
     c, o = F.col("corner"), F.col("opp")
-    x = adjacent.withColumn("a_c", next_corner(c)).withColumn("b_c", previous_corner(c)).withColumn("oa_c", previous_corner(o)).withColumn("ob_c", next_corner(o))
-    for name in ("a", "b", "oa", "ob"):
-        x = x.join(at(name, None), ["mesh_id", f"{name}_c"], "left")
-    seam = F.col("opp").isNull() | ~F.col("a").eqNullSafe(F.col("oa")) | ~F.col("b").eqNullSafe(F.col("ob"))
-    return x.select(*adjacent.columns, seam.alias("is_seam"))
+    x = adjacent.withColumn("face_", F.expr("corner div 3")).join(face, ["mesh_id", "face_"], "left")
+    x = x.withColumn("own_", F.array("v0", "v1", "v2")).drop("face_", "v0", "v1", "v2").withColumn("face_", F.expr("opp div 3"))
+    x = x.join(face, ["mesh_id", "face_"], "left").withColumn("their_", F.array("v0", "v1", "v2"))
+    at = lambda values, corner: F.get(values, (corner % 3).cast("int"))["val"]
+    same = at("own_", next_corner(c)).eqNullSafe(at("their_", previous_corner(o))) & at("own_", previous_corner(c)).eqNullSafe(at("their_", next_corner(o)))
+    return x.select(*adjacent.columns, (o.isNull() | ~same).alias("is_seam"))
 
 
 def least_labels(nodes: DataFrame, links: DataFrame, label: str, rounds: int = 64) -> DataFrame:
@@ -94,18 +125,61 @@ def face_components(adjacent: DataFrame) -> DataFrame:
     return out.select("mesh_id", F.col("node").alias("face_idx"), F.col("label").alias("component"))
 
 
+#: Corners that are put together in one go, at least; a vertex is not divided.
+FAN_ROWS = 100_000
+
+
 def fans(adjacent: DataFrame, cut: bool = False) -> DataFrame:
     """mesh_id, corner, fan: the least corner of the fan around a vertex, by swinging over shared edges (with cut, not over seams).
 
-    Each fan is a vertex of its own: a vertex that two separate fans share splits.
+    Each fan is a vertex of its own: a vertex that two separate fans share splits. A fan lies around one vertex, so corners meet
+    by vertex, once: each has at most one corner on its left, and chains of these are closed by doubling. A task holds two numbers
+    for each corner of a vertex.
     """
-    open_ = adjacent.where("opp IS NOT NULL" + (" AND NOT is_seam" if cut else ""))
     c, o = F.col("corner"), F.col("opp")
-    # the edge opposite to a corner joins the fans of both its ends
-    link = F.array(F.struct(next_corner(c).alias("a"), previous_corner(o).alias("b")), F.struct(previous_corner(c).alias("a"), next_corner(o).alias("b")))
-    links = open_.select("mesh_id", F.inline(link))
-    out = least_labels(adjacent.select("mesh_id", F.col("corner").alias("node")), links, "fans")
-    return out.select("mesh_id", F.col("node").alias("corner"), F.col("label").alias("fan"))
+    over = F.when(o.isNotNull() & ~F.col("is_seam"), o) if cut else o
+    links = adjacent.select("mesh_id", F.col("snk").alias("v"), previous_corner(c).alias("corner"), next_corner(over).alias("left"))
+    rows = links.repartition("mesh_id", "v").sortWithinPartitions("mesh_id", "v")
+
+    def closed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        mesh, corner = t.column("mesh_id").to_numpy(), t.column("corner").to_numpy()
+        left = t.column("left").fill_null(-1).to_numpy()
+        order = np.lexsort((corner, mesh))
+        # places of (mesh, left) among (mesh, corner)
+        both = np.stack([mesh[order], corner[order]])
+        number = np.cumsum(np.concatenate([[0], (both[0, 1:] != both[0, :-1]).astype(np.int64)])) if len(order) else np.zeros(0, np.int64)
+        top = int(max(corner.max(initial=0), left.max(initial=0))) + 1
+        keys = number * top + both[1]
+        asked = number * top + left[order]
+        at = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
+        has = (left[order] >= 0) & (keys[at] == asked) if len(keys) else np.zeros(0, bool)
+        ahead = np.where(has, at, np.arange(len(keys)))
+        back = np.arange(len(keys))
+        back[at[has]] = np.flatnonzero(has)
+        least = np.arange(len(keys))
+        for _ in range(len(keys).bit_length() + 1):
+            least = np.minimum(least, np.minimum(least[ahead], least[back]))
+            ahead, back = ahead[ahead], back[back]
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(both[1][least])], ["mesh_id", "corner", "fan"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if n >= FAN_ROWS and batch.num_rows:  # up to where the vertex changes
+                key = np.stack([batch.column(k).to_numpy() for k in range(2)])
+                last = [held[-1].column(k)[held[-1].num_rows - 1].as_py() for k in range(2)]
+                other = np.flatnonzero((key != np.array(last)[:, None]).any(0))
+                if len(other):
+                    yield closed([*held, batch.slice(0, int(other[0]))])
+                    batch, held, n = batch.slice(int(other[0])), [], 0
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+        if held:
+            yield closed(held)
+
+    return rows.mapInArrow(run, "mesh_id long, corner long, fan long")
 
 
 def split_vertices(adjacent: DataFrame, fan: DataFrame) -> DataFrame:
@@ -119,10 +193,12 @@ def split_vertices(adjacent: DataFrame, fan: DataFrame) -> DataFrame:
 
 
 def boundary_loops(adjacent: DataFrame) -> DataFrame:
-    """mesh_id, corner, loop: boundary half-edges (the corners that face them), joined where they share a vertex."""
-    b = adjacent.where("opp IS NULL AND src <> snk")
-    ends = b.select("mesh_id", "corner", F.explode(F.array("src", "snk")).alias("v"))
-    hub = ends.groupBy("mesh_id", "v").agg(F.min("corner").alias("hub"))
-    links = ends.join(hub, ["mesh_id", "v"]).select("mesh_id", F.col("corner").alias("a"), F.col("hub").alias("b"))
+    """mesh_id, corner, loop: boundary half-edges (the corners that face them), joined where they end the same fan: loops that only touch at a vertex stay apart."""
+    b = adjacent.where("opp IS NULL AND tip <> src AND src <> snk AND snk <> tip")
+    c = F.col("corner")
+    ends = b.select("mesh_id", "corner", F.explode(F.array(next_corner(c), previous_corner(c))).alias("end_"))
+    ends = written(ends.join(fans(adjacent).select("mesh_id", F.col("corner").alias("end_"), "fan"), ["mesh_id", "end_"]), "boundary-ends")
+    hub = ends.groupBy("mesh_id", "fan").agg(F.min("corner").alias("hub"))
+    links = ends.join(hub, ["mesh_id", "fan"]).select("mesh_id", F.col("corner").alias("a"), F.col("hub").alias("b"))
     out = least_labels(b.select("mesh_id", F.col("corner").alias("node")), links, "boundary-loops")
     return out.select("mesh_id", F.col("node").alias("corner"), F.col("label").alias("loop"))

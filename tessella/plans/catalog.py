@@ -32,7 +32,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def with_(*parts: str) -> str:
-    return "WITH " + ",".join(p.strip() for p in parts)
+    return "WITH RECURSIVE " + ",".join(p.strip() for p in parts)
 
 
 _DEDUP_SQL = """
@@ -186,7 +186,7 @@ def seam_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.seams(topology.opposite(f), _corner_values(spark, sf_dir, f)).select("mesh_id", "corner", "opp", "is_seam")
 
 
-@query(with_(FACES_SQL, CORNERS_SQL, OPPOSITE_SQL).replace("WITH ", "WITH RECURSIVE ", 1) + """,
+@query(with_(FACES_SQL, CORNERS_SQL, OPPOSITE_SQL) + """,
 l AS (SELECT DISTINCT mesh_id, face_idx AS a, opp // 3 AS b FROM adjacent WHERE opp IS NOT NULL),
 walk(mesh_id, face_idx, reach) AS (SELECT mesh_id, face_idx, face_idx FROM faces UNION SELECT w.mesh_id, w.face_idx, l.b FROM walk w JOIN l ON w.mesh_id = l.mesh_id AND w.reach = l.a)
 SELECT mesh_id, face_idx, min(reach) AS component FROM walk GROUP BY ALL""")
@@ -201,12 +201,12 @@ fw(mesh_id, corner, reach) AS (SELECT mesh_id, corner, corner FROM corners UNION
 fan AS (SELECT mesh_id, corner, min(reach) AS fan FROM fw GROUP BY ALL)"""
 
 
-@query(with_(FACES_SQL, CORNERS_SQL, OPPOSITE_SQL, _FAN_SQL).replace("WITH ", "WITH RECURSIVE ", 1) + " SELECT * FROM fan")
+@query(with_(FACES_SQL, CORNERS_SQL, OPPOSITE_SQL, _FAN_SQL) + " SELECT * FROM fan")
 def vertex_fans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.fans(topology.opposite(views.faces(spark, sf_dir)))
 
 
-@query(with_(FACES_SQL, CORNERS_SQL, OPPOSITE_SQL, _FAN_SQL).replace("WITH ", "WITH RECURSIVE ", 1) + """, g AS (SELECT mesh_id, fan, min(tip) AS tip FROM fan JOIN corners USING (mesh_id, corner) GROUP BY ALL),
+@query(with_(FACES_SQL, CORNERS_SQL, OPPOSITE_SQL, _FAN_SQL) + """, g AS (SELECT mesh_id, fan, min(tip) AS tip FROM fan JOIN corners USING (mesh_id, corner) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY mesh_id, tip ORDER BY fan) AS rn, max(tip) OVER (PARTITION BY mesh_id) + 1 AS n FROM g)
 SELECT mesh_id, fan, CASE rn WHEN 1 THEN tip ELSE n + sum(CASE WHEN rn > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY mesh_id ORDER BY fan) - 1 END::BIGINT AS vertex FROM r""")
 def split_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +214,7 @@ def split_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.split_vertices(adjacent, topology.fans(adjacent))
 
 
-@query(with_(FACES_SQL, POINTS_SQL, CORNERS_SQL, OPPOSITE_SQL, _SEAM_SQL.replace("material AS val", "(material + face_idx % 2) % 2 AS val")).replace("WITH ", "WITH RECURSIVE ", 1) + """,
+@query(with_(FACES_SQL, POINTS_SQL, CORNERS_SQL, OPPOSITE_SQL, _SEAM_SQL.replace("material AS val", "(material + face_idx % 2) % 2 AS val")) + """,
 fl AS (SELECT mesh_id, corner - corner % 3 + (corner + 1) % 3 AS a, opp - opp % 3 + (opp + 2) % 3 AS b FROM seam WHERE NOT is_seam
   UNION SELECT mesh_id, corner - corner % 3 + (corner + 2) % 3, opp - opp % 3 + (opp + 1) % 3 FROM seam WHERE NOT is_seam),
 fw(mesh_id, corner, reach) AS (SELECT mesh_id, corner, corner FROM corners UNION SELECT w.mesh_id, w.corner, l.b FROM fw w JOIN fl l ON w.mesh_id = l.mesh_id AND w.reach = l.a)
@@ -225,13 +225,28 @@ def attribute_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.fans(topology.seams(topology.opposite(f), _corner_values(spark, sf_dir, f)), cut=True)
 
 
-@query()
+_LOOP_SQL = """
+bend AS (SELECT mesh_id, corner, unnest([corner - corner % 3 + (corner + 1) % 3, corner - corner % 3 + (corner + 2) % 3]) AS end_ FROM adjacent WHERE opp IS NULL AND tip <> src AND src <> snk AND snk <> tip),
+bfan AS (SELECT e.mesh_id, e.corner, f.fan FROM bend e JOIN fan f ON f.mesh_id = e.mesh_id AND f.corner = e.end_),
+bl AS (SELECT DISTINCT x.mesh_id, x.corner AS a, y.corner AS b FROM bfan x JOIN bfan y ON x.mesh_id = y.mesh_id AND x.fan = y.fan),
+bw(mesh_id, corner, reach) AS (SELECT DISTINCT mesh_id, corner, corner FROM bend UNION SELECT w.mesh_id, w.corner, l.b FROM bw w JOIN bl l ON w.mesh_id = l.mesh_id AND w.reach = l.a),
+loops AS (SELECT mesh_id, corner, min(reach) AS loop FROM bw GROUP BY ALL)"""
+
+
+@query(with_(FACES_SQL, CORNERS_SQL, OPPOSITE_SQL, _FAN_SQL, _LOOP_SQL) + " SELECT mesh_id, loop, count(*) AS boundary_edges FROM loops GROUP BY ALL")
 def boundary_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boundary edges of each loop; a vertex that two loops touch joins them."""
+    """Boundary edges of each loop; loops that touch at a vertex are apart."""
     loops = topology.boundary_loops(topology.opposite(views.faces(spark, sf_dir)))
     return loops.groupBy("mesh_id", "loop").agg(F.count(F.lit(1)).alias("boundary_edges"))
 
 
+@query(with_(FACES_SQL, CORNERS_SQL, OPPOSITE_SQL, _FAN_SQL, _LOOP_SQL) + " SELECT mesh_id, count(*) AS boundary_edges, count(DISTINCT loop) AS loops FROM loops GROUP BY ALL")
+def boundary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundary edges and loops of each mesh."""
+    loops = topology.boundary_loops(topology.opposite(views.faces(spark, sf_dir)))
+    return loops.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("boundary_edges"), F.count_distinct("loop").alias("loops"))
+
+
 # Quantization.
 
 _E = "SELECT vec_id, label, embedding[1] AS a, embedding[2] AS b, embedding[3] AS c FROM embeddings"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import quality, topology, walks
+from ..operators import quality, walks
 from ..shipping import shipped
 from ..sources import drc
 from . import views
@@ -45,11 +45,5 @@ def nearest_face_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.nearest_face(points, quality.triangles(faces, place), 0.25).select("point_idx", F.round("dist", 9).alias("dist"))
 
 
-def boundary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boundary edges and loops of each mesh."""
-    loops = topology.boundary_loops(topology.opposite(views.faces(spark, sf_dir)))
-    return loops.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("boundary_edges"), F.count_distinct("loop").alias("loops"))
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: shipped(f) for f in (clers_walk, coding_order, compressed_meshes, nearest_face_distance, boundary_report)}
+    return {f.__name__: shipped(f) for f in (clers_walk, coding_order, compressed_meshes, nearest_face_distance)}

@@ -1,4 +1,4 @@
-"""A mesh over the driver's tables: points from embeddings, faces from lineitem, in SPLIT meshes over one shared set of points.
+"""Meshes over the driver's tables: faces from lineitem, a mesh a supplier, so that their number grows with the data; points from embeddings, of which the faces use the first POINTS.
 
 (l_orderkey, l_linenumber) is not unique, so faces are numbered by all their columns, inside each mesh.
 """
@@ -11,14 +11,15 @@ from pyspark.sql.window import Window
 
 from ..tables import table
 
-SPLIT = 16
+#: Points that the meshes share: few, so that faces have edges in common.
+POINTS = 128
 ORDER = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
 def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """mesh_id, face_idx, p0, p1, p2."""
-    n = table(spark, sf_dir, "embeddings").count()
-    rows = table(spark, sf_dir, "lineitem").withColumn("mesh_id", F.col("l_suppkey") % SPLIT)
+    n = min(table(spark, sf_dir, "embeddings").count(), POINTS)
+    rows = table(spark, sf_dir, "lineitem").withColumn("mesh_id", F.col("l_suppkey"))
     rows = rows.withColumn("face_idx", (F.row_number().over(Window.partitionBy("mesh_id").orderBy(*ORDER)) - 1).cast("long"))
     k, p, line = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber")
     return rows.select("mesh_id", "face_idx", (k % n).alias("p0"), (p % n).alias("p1"), ((k + 31 * p + 7 * line) % n).alias("p2"))
@@ -34,17 +35,24 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FACES_SQL = f"""
 faces AS (SELECT mesh_id, face_idx, l_orderkey % n AS p0, l_partkey % n AS p1, (l_orderkey + 31 * l_partkey + 7 * l_linenumber) % n AS p2
-  FROM (SELECT *, l_suppkey % {SPLIT} AS mesh_id, row_number() OVER (PARTITION BY l_suppkey % {SPLIT} ORDER BY {', '.join(ORDER)}) - 1 AS face_idx FROM lineitem),
-       (SELECT count(*) AS n FROM embeddings))"""
+  FROM (SELECT *, l_suppkey AS mesh_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY {', '.join(ORDER)}) - 1 AS face_idx FROM lineitem),
+       (SELECT least(count(*), {POINTS}) AS n FROM embeddings))"""
 POINTS_SQL = """
 points AS (SELECT vec_id AS point_idx, floor(embedding[1]::DOUBLE * 4) / 4 AS x, floor(embedding[2]::DOUBLE * 4) / 4 AS y, floor(embedding[3]::DOUBLE * 4) / 4 AS z,
   embedding[4] AS nx, embedding[5] AS ny, embedding[6] AS nz, embedding[7] AS u, embedding[8] AS v, label AS material FROM embeddings)"""
 CORNERS_SQL = """
 corners AS (SELECT mesh_id, 3 * face_idx AS corner, face_idx, p0 AS tip, p1 AS src, p2 AS snk FROM faces
   UNION ALL SELECT mesh_id, 3 * face_idx + 1, face_idx, p1, p2, p0 FROM faces UNION ALL SELECT mesh_id, 3 * face_idx + 2, face_idx, p2, p0, p1 FROM faces)"""
+# Each half-edge of an edge in order of corners takes the first that waits, runs the other way and has another tip.
 OPPOSITE_SQL = """
-sound AS (SELECT c.*, row_number() OVER (PARTITION BY c.mesh_id, src, snk ORDER BY corner) AS rn FROM corners c WHERE tip <> src AND src <> snk AND snk <> tip),
-pairs AS (SELECT a.mesh_id, a.corner, b.corner AS opp FROM sound a JOIN sound b ON a.mesh_id = b.mesh_id AND a.src = b.snk AND a.snk = b.src AND a.rn = b.rn AND a.tip <> b.tip),
+half AS (SELECT mesh_id, least(src, snk) AS a, greatest(src, snk) AS b, corner, src, tip, row_number() OVER (PARTITION BY mesh_id, least(src, snk), greatest(src, snk) ORDER BY corner) AS k,
+  count(*) OVER (PARTITION BY mesh_id, least(src, snk), greatest(src, snk)) AS uses FROM corners WHERE tip <> src AND src <> snk AND snk <> tip),
+edge_walk(mesh_id, a, b, k, waiting, corner, mate) AS (
+  SELECT DISTINCT mesh_id, a, b, 0::BIGINT, []::STRUCT(corner BIGINT, src BIGINT, tip BIGINT)[], NULL::BIGINT, NULL::BIGINT FROM half WHERE uses > 1
+  UNION ALL SELECT mesh_id, a, b, k, CASE WHEN mate IS NULL THEN list_append(waiting, {'corner': corner, 'src': src, 'tip': tip}) ELSE list_filter(waiting, lambda x: x.corner <> mate) END, corner, mate
+  FROM (SELECT w.mesh_id, w.a, w.b, h.k, w.waiting, h.corner, h.src, h.tip, list_filter(w.waiting, lambda x: x.src <> h.src AND x.tip <> h.tip)[1].corner AS mate
+    FROM edge_walk w JOIN half h ON h.mesh_id = w.mesh_id AND h.a = w.a AND h.b = w.b AND h.k = w.k + 1)),
+pairs AS (SELECT mesh_id, corner, mate AS opp FROM edge_walk WHERE mate IS NOT NULL UNION ALL SELECT mesh_id, mate, corner FROM edge_walk WHERE mate IS NOT NULL),
 adjacent AS (SELECT c.*, p.opp FROM corners c LEFT JOIN pairs p ON c.mesh_id = p.mesh_id AND c.corner = p.corner)"""
 EDGES_SQL = """
 edges AS (SELECT mesh_id, least(src, snk) AS a, greatest(src, snk) AS b, count(*) AS uses FROM corners GROUP BY ALL)"""

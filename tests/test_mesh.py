@@ -455,3 +455,37 @@ def test_stream(spark, tmp_path):
         q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).where("status = 'done'").select("path").distinct().count() == 3
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_adjacency_of_crowded_soups(spark):
+    """Pairs in order of waiting, and loops as walked, on random faces with repeated tips, crowded edges and degenerate faces."""
+    import random
+
+    from tessella.operators import walks
+
+    rng = random.Random(4)
+    soups = {m: [tuple(rng.randrange(4 + m) for _ in range(3)) for _ in range(30)] for m in range(6)}
+    soups[6] = [(0, 1, 2), (0, 2, 1), (3, 2, 1)]
+    soups[7] = [(0, 1, 2), (0, 3, 4), (5, 6, 7)]  # two triangles that touch at a vertex
+    f = faces_of(spark, soups)
+    adjacent = topology.opposite(f)
+    found = {(r["mesh_id"], r["corner"]): r["opp"] for r in adjacent.collect()}
+    for m, faces in soups.items():
+        s = walks.Surface.__new__(walks.Surface)
+        s.vert = [v for t in faces for v in t]
+        s.opp = [walks.NONE] * len(s.vert)
+        s._pair()
+        assert [found[m, c] for c in range(len(s.vert))] == [None if o == walks.NONE else o for o in s.opp]
+    assert found[6, 0] == 6
+    loops = {}
+    for r in topology.boundary_loops(adjacent).collect():
+        loops.setdefault(r["mesh_id"], set()).add(r["loop"])
+    assert len(loops[7]) == 3 and len(set(walks.holes(walks.Surface(soups[7])).values())) == 3
+    tidy = {0: [(0, 1, 2), (2, 1, 3), (4, 5, 6)], 1: [(k, k + 1, k + 2) if k % 2 else (k + 1, k, k + 2) for k in range(9)]}
+    for r in topology.boundary_loops(topology.opposite(faces_of(spark, tidy))).groupBy("mesh_id").agg(F.count_distinct("loop").alias("n")).collect():
+        assert r["n"] == len(set(walks.holes(walks.Surface(tidy[r["mesh_id"]])).values()))
+
+
+def test_opposite_of_no_faces(spark):
+    adjacent = topology.opposite(faces_of(spark, {0: [(0, 1, 2)]}).limit(0))
+    assert topology.fans(adjacent).count() == 0 and topology.boundary_loops(adjacent).count() == 0
