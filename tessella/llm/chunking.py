@@ -6,8 +6,7 @@ the REACH bytes before them only and insertions move chunks without changing the
 RUN bytes or more, so that a few words that two texts share by chance stay; with run=0 every repeated chunk goes, and the
 bytes of all of them are reported whatever the run.
 
-Frequent digests are joined by broadcast, the others by shuffle (`frequent_join`), so no task gets all copies of a common
-chunk.
+Rows of frequent digests are dealt to several tasks (`frequent_join`), so none gets all copies of a common chunk.
 """
 
 from __future__ import annotations
@@ -89,12 +88,16 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 
     The result reads written tables only; rows without doc_id come last among the occurrences of a chunk.
     """
-    every = materialize(chunks(docs), "chunks")
-    held = every.groupBy("d1", "d2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "start")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    every = chunks(docs)
+    # most chunks occur once: half of the digest tells, and only what is left is written
+    twice = materialize(every.groupBy("d1").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "repeated-halves")
+    total = twice.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    again = materialize(frequent_join(every, twice, ["d1"], total), "repeated-chunks")
+    held = again.groupBy("d1", "d2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "start")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1")
     stays = materialize(held.select("d1", "d2", "f", "c"), "repeated-digests")
-    both = frequent_join(every, stays, ["d1", "d2"], every.count())
-    found = materialize(both.select("doc_id", "rid", "start", "end", F.expr("doc_id <=> f.doc_id AND rid = f.rid AND start = f.start").alias("first"), F.col("f.doc_id").alias("source")), "repeated-chunks")
-    discard(every, stays)
+    both = frequent_join(again, stays, ["d1", "d2"], total)
+    found = materialize(both.select("doc_id", "rid", "start", "end", F.expr("doc_id <=> f.doc_id AND rid = f.rid AND start = f.start").alias("first"), F.col("f.doc_id").alias("source")), "repeats")
+    discard(twice, again, stays)
     return found
 
 

@@ -94,22 +94,22 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-#: A key with more than one in so many of all rows is frequent; there are fewer such keys than that.
-FREQUENT = 20_000
+#: A key with more than one in so many of all rows is frequent; there are fewer such keys than that. Its rows are dealt to SALTS tasks.
+FREQUENT, SALTS = 20_000, 64
 
 
 def frequent_join(rows: DataFrame, keys: DataFrame, on: list[str], total: int) -> DataFrame:
-    """Inner join of written rows with written keys (on, c: how often the key occurs in total rows, and more).
+    """Inner join of rows with written keys (on, c: how often the key occurs in total rows, and more), the same way at every size.
 
-    Few keys are broadcast whole. Otherwise frequent keys, fewer than FREQUENT by their definition, are; the rest is joined by
-    shuffle, where no key has many rows.
+    Frequent keys, fewer than FREQUENT by their definition, are broadcast to mark their rows, which are dealt to SALTS parts by
+    a hash of their other columns; each part meets a copy of the key. So no task gets all rows of a key, and rows are read once.
     """
-    if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(keys.drop("c")), on)
-    bound = total / FREQUENT
-    few, many = keys.where(F.col("c") > bound), keys.where(F.col("c") <= bound).drop("c")
-    rest = rows.join(F.broadcast(few.select(*on)), on, "left_anti")
-    return rows.join(F.broadcast(few.drop("c")), on).unionByName(rest.join(many, on))
+    often = F.col("c") > total / FREQUENT
+    few = keys.where(often).select(*on, F.lit(True).alias("often_"))
+    part = F.pmod(F.xxhash64(*(c for c in rows.columns if c not in on)), F.lit(SALTS))
+    dealt = rows.join(F.broadcast(few), on, "left").select(*rows.columns, F.when(F.col("often_"), part).otherwise(0).cast("long").alias("part_"))
+    copies = keys.withColumn("part_", F.explode(F.when(often, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("c")
+    return dealt.join(copies.withColumn("part_", F.col("part_").cast("long")).hint("shuffle_merge"), [*on, "part_"]).drop("part_")
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
