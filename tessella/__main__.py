@@ -1,4 +1,6 @@
-"""python -m tessella encode FOLDER OUT | transcode FOLDER OUT: OBJ files to compressed meshes, glTF files to GLB, as Parquet tables."""
+"""python -m tessella encode FOLDER OUT: OBJ files to OUT/<name>.drc
+python -m tessella transcode FOLDER OUT [loose]: glTF files, with the files they name, to OUT/files/<name>.glb (loose: .gltf, .bin and images) and OUT/report (JSON)
+"""
 
 import sys
 
@@ -6,18 +8,18 @@ from pyspark.sql import SparkSession
 
 
 def main(args: list[str]) -> int:
-    if len(args) != 3 or args[0] not in ("encode", "transcode"):
+    if len(args) not in (3, 4) or args[0] not in ("encode", "transcode") or args[3:] not in ([], ["loose"]):
         print(__doc__)
         return 2
+    from tessella import export
     from tessella.shipping import ship
-    from tessella.sources import drc, gltf, obj
 
     spark = SparkSession.builder.getOrCreate()
     ship(spark)
     if args[0] == "encode":
-        drc.encode_meshes(*obj.meshes(obj.read_obj(spark, args[1]))).write.parquet(args[2])
+        export.encode_folder(spark, args[1], args[2])
     else:
-        gltf.transcoded(gltf.documents(spark, args[1])).write.parquet(args[2])
+        export.transcode_folder(spark, args[1], args[2], loose=args[3:] == ["loose"])
     return 0
 
 

@@ -7,8 +7,11 @@ from __future__ import annotations
 
 import base64
 import json
+import posixpath
+import re
 import struct
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -210,6 +213,63 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.gl[tb]*").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
+def beside(path: str, uri: str) -> str:
+    """The path of what a document names, relative to the document's folder unless it has a scheme of its own."""
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", uri):
+        return uri
+    scheme, host, rest = re.fullmatch(r"(?s)(?:([^/]*://)([^/]*))?(.*)", path).groups()
+    return (scheme or "") + (host or "") + posixpath.normpath(posixpath.join(posixpath.dirname(rest), unquote(uri)))
+
+
+def dependencies(docs: DataFrame) -> DataFrame:
+    """path, uri, place: files that documents name, each once a document. Documents that can't be parsed name none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    own = sorted(set(uris(parse(body.as_py(), lambda uri: b"")[0])))
+                except ValueError:
+                    own = []
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.string()), pa.array(own, pa.string()), pa.array([beside(name, u) for u in own], pa.string())], ["path", "uri", "place"])
+
+    return docs.select("path", "content").mapInArrow(run, "path string, uri string, place string")
+
+
+def gathered(docs: DataFrame, files: DataFrame) -> DataFrame:
+    """path, content, files (uri to bytes): documents with the files (path, content) that they name, by equi-joins.
+
+    A document and what it names must fit a Python worker. Files that are not there stay out of the map.
+    """
+    found = dependencies(docs).join(files.select(F.col("path").alias("place"), F.col("content").alias("body")), "place")
+    own = found.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("uri", "body"))).alias("files"))
+    return docs.select("path", "content").join(own, "path", "left")
+
+
+def scenes(spark: SparkSession, path: str) -> DataFrame:
+    """gathered() of the documents below a folder and all other files there."""
+    rest = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("NOT lower(path) RLIKE '[.]gl(tf|b)$'")
+    return gathered(documents(spark, path), rest)
+
+
+def _each(docs: DataFrame, f: Callable[[str, bytes, Callable[[str], bytes]], pa.RecordBatch], schema: str) -> DataFrame:
+    """f(path, content, files) of every document; without a column of files, none can be read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own = dict(batch.column(2)[k].as_py() or []) if batch.num_columns > 2 else {}
+
+                def read(uri: str, own: dict[str, bytes] = own) -> bytes:
+                    if uri not in own:
+                        raise ValueError(f"no way to read {uri}")
+                    return own[uri]
+
+                yield f(batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), read)
+
+    return docs.select("path", "content", *(["files"] if "files" in docs.columns else [])).mapInArrow(run, schema)
+
+
 TABLES = "file string, kind string, idx long, name string, parent long, mesh long, material long, mode long, matrix array<double>, body string, error string"
 
 
@@ -252,20 +312,37 @@ def tables(docs: DataFrame) -> DataFrame:
 
 
 def compressed_parts(docs: DataFrame) -> DataFrame:
-    """path, part, drc: the compressed primitives of documents with buffers of their own."""
+    """path, part, drc: the compressed primitives of documents, with buffers of their own or from files (gathered)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                doc, buffers = parse(body.as_py(), lambda uri: b"")
-                own = sorted({p["extensions"][COMPRESSION]["bufferView"] for m in doc.get("meshes", []) for p in m["primitives"] if COMPRESSION in p.get("extensions", {})})
-                parts = []
-                for i in own:
-                    v = doc["bufferViews"][i]
-                    parts.append(buffers[v["buffer"]][v.get("byteOffset", 0) : v.get("byteOffset", 0) + v["byteLength"]])
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.string()), pa.array(own, pa.int64()), pa.array(parts, pa.binary())], ["path", "part", "drc"])
+    def parts(name: str, body: bytes, files: Callable[[str], bytes]) -> pa.RecordBatch:
+        doc, buffers = parse(body, files)
+        own = sorted({p["extensions"][COMPRESSION]["bufferView"] for m in doc.get("meshes", []) for p in m["primitives"] if COMPRESSION in p.get("extensions", {})})
+        views = [doc["bufferViews"][i] for i in own]
+        cut = [buffers[v["buffer"]][v.get("byteOffset", 0) : v.get("byteOffset", 0) + v["byteLength"]] for v in views]
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.string()), pa.array(own, pa.int64()), pa.array(cut, pa.binary())], ["path", "part", "drc"])
+
+    return _each(docs, parts, "path string, part long, drc binary")
 
-    return docs.select("path", "content").mapInArrow(run, "path string, part long, drc binary")
+
+def accessor_rows(docs: DataFrame) -> DataFrame:
+    """path, accessor, row, value (doubles), error: all rows of all accessors; one that can't be read has one row with its reason."""
+    names = ["path", "accessor", "row", "value", "error"]
+
+    def read(name: str, body: bytes, files: Callable[[str], bytes]) -> pa.RecordBatch:
+        at, rows, values, errors = [], [], [], []
+        try:
+            doc, buffers = parse(body, files)
+        except ValueError as e:
+            doc, at, rows, values, errors = {}, [None], [None], [None], [str(e)]
+        for i in range(len(doc.get("accessors", []))):
+            try:
+                own = accessor(doc, buffers, i).astype(float).tolist()
+                at, rows, values, errors = at + [i] * len(own), rows + list(range(len(own))), values + own, errors + [None] * len(own)
+            except (ValueError, KeyError, IndexError) as e:
+                at, rows, values, errors = at + [i], rows + [None], values + [None], errors + [f"{type(e).__name__}: {e}"]
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(rows, pa.int64()), pa.array(values, pa.list_(pa.float64())), pa.array(errors, pa.string())], names)
+
+    return _each(docs, read, "path string, accessor long, row long, value array<double>, error string")
 
 
 def type_conflicts(tables_: DataFrame) -> DataFrame:
@@ -276,19 +353,61 @@ def type_conflicts(tables_: DataFrame) -> DataFrame:
 
 
 def transcoded(docs: DataFrame, bits: dict[str, int] | None = None) -> DataFrame:
-    """path, glb, before, after, status: documents whose buffers are their own; others say why in status."""
+    """path, glb, before, after, status: documents as GLB with compressed primitives; before counts the files they name (gathered), status says why one can't be read."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data, out, status = body.as_py(), None, "done"
-                try:
-                    out = transcode(data, bits=bits)
-                except (ValueError, KeyError, IndexError) as e:
-                    status = f"{type(e).__name__}: {e}"
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([out], pa.binary()), pa.array([len(data)]), pa.array([len(out) if out else None], pa.int64()), pa.array([status])], ["path", "glb", "before", "after", "status"])
+    def run(name: str, data: bytes, files: Callable[[str], bytes]) -> pa.RecordBatch:
+        used, out, status = {}, None, "done"
 
-    return docs.select("path", "content").mapInArrow(run, "path string, glb binary, before long, after long, status string")
+        def read(uri: str) -> bytes:
+            used[uri] = files(uri)
+            return used[uri]
+
+        try:
+            out = transcode(data, read, bits)
+        except (ValueError, KeyError, IndexError) as e:
+            status = f"{type(e).__name__}: {e}"
+        before = len(data) + sum(map(len, used.values()))
+        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([out], pa.binary()), pa.array([before]), pa.array([len(out) if out else None], pa.int64()), pa.array([status])], ["path", "glb", "before", "after", "status"])
+
+    return _each(docs, run, "path string, glb binary, before long, after long, status string")
+
+
+def loose(data: bytes, stem: str, resources: str | None = None) -> list[tuple[str, bytes]]:
+    """A GLB as files, each with its name: stem.gltf, stem.bin with all buffers, and, given a folder of resources, an image a file there."""
+    doc, buffers = parse(data)
+    doc, body, views, number = json.loads(json.dumps(doc)), bytearray(), [], {}
+    images = {i["bufferView"] for i in doc.get("images", []) if "bufferView" in i} if resources is not None else set()
+    out = []
+
+    def cut(i: int) -> bytes:
+        v = doc["bufferViews"][i]
+        return buffers[v["buffer"]][v.get("byteOffset", 0) : v.get("byteOffset", 0) + v["byteLength"]]
+
+    for i, v in enumerate(doc.get("bufferViews", [])):
+        if i not in images:
+            body.extend(b"\0" * (-len(body) % 4))
+            number[i] = len(views)
+            views.append(v | {"buffer": 0, "byteOffset": len(body)})
+            body.extend(cut(i))
+    for k, image in enumerate(doc.get("images", [])):
+        if image.get("bufferView") in images:
+            ending = image.get("mimeType", "image/png").rpartition("/")[2].replace("jpeg", "jpg")
+            out.append((f"{resources.strip('/')}/{posixpath.basename(stem)}-{k}.{ending}".lstrip("/"), cut(image.pop("bufferView"))))
+            image["uri"] = out[-1][0]
+
+    def renumbered(node, names=("bufferView",)):
+        if isinstance(node, list):
+            return [renumbered(x, names) for x in node]
+        if isinstance(node, dict):
+            return {k: number[x] if k in names and isinstance(x, int) else renumbered(x, (*names, "values", "arrayOffsets", "stringOffsets") if k == "propertyTables" else names) for k, x in node.items()}
+        return node
+
+    doc = renumbered({k: x for k, x in doc.items() if k not in ("bufferViews", "buffers")})
+    if views:
+        doc |= {"bufferViews": views, "buffers": [{"byteLength": len(body), "uri": posixpath.basename(stem) + ".bin"}]}
+        out.append((stem + ".bin", bytes(body)))
+    folder = posixpath.dirname(stem)
+    return [(stem + ".gltf", json.dumps(doc, ensure_ascii=False).encode())] + [(n if n == stem + ".bin" or not folder else f"{folder}/{n}", b) for n, b in out]
 
 
 def report(done: DataFrame) -> DataFrame:

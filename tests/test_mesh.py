@@ -9,9 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessella import export
 from tessella.functions import columns as C
 from tessella.operators import entropy, points, predict, quality, quantize, ranges, scene, topology, walks
-from tessella.sources import drc, gltf, obj
+from tessella.sources import drc, files, gltf, obj
 from tessella.streaming.transcode import transcode_stream
 
 TETRAHEDRON = """
@@ -379,6 +380,56 @@ def test_gltf(spark, tmp_path):
     assert rows(gltf.report(gltf.transcoded(docs)).where("status = 'done'").select((F.col("ratio") > 0)))[0][0]
 
 
+def test_external_files(spark, tmp_path):
+    doc, body = document()
+    folder, out = tmp_path / "in" / "one two", tmp_path / "out"
+    folder.mkdir(parents=True)
+    (folder / "own.glb").write_bytes(gltf.glb(doc, body))
+    named = doc | {"buffers": [{"byteLength": len(body), "uri": "../a%20b.bin"}], "images": [{"uri": "x.png"}]}
+    (folder / "named.gltf").write_text(json.dumps(named))
+    (folder / "lost.gltf").write_text(json.dumps(named | {"images": [{"uri": "none.png"}]}))
+    (folder / "broken.gltf").write_text("{")
+    (tmp_path / "in" / "a b.bin").write_bytes(body)
+    (folder / "x.png").write_bytes(b"\x89PNG\r\n\x1a\n")
+    both = gltf.scenes(spark, str(tmp_path / "in"))
+    done = {r["path"].rpartition("/")[2]: r for r in gltf.transcoded(both).collect()}
+    assert {k: r["status"].split(":")[0] for k, r in done.items()} == {"own.glb": "done", "named.gltf": "done", "lost.gltf": "ValueError", "broken.gltf": "JSONDecodeError"}
+    assert "none.png" in done["lost.gltf"]["status"] and bytes(done["named.gltf"]["glb"]) == bytes(done["own.glb"]["glb"])
+    assert done["named.gltf"]["before"] == len(json.dumps(named)) + len(body) + 8
+    a = gltf.accessor_rows(both)
+    of = lambda name: sorted(rows(a.where(F.col("path").endswith(name)).select("accessor", "row", "value")))
+    assert of("own.glb") == of("named.gltf") and len(of("own.glb")) == 14 and (0, 3, [1.0, 1.0, 0.0]) in of("own.glb")
+    assert "none" not in rows(a.where(F.col("path").endswith("broken.gltf")).select("error"))[0][0]
+    report = export.transcode_folder(spark, str(tmp_path / "in"), str(out), loose=True)
+    assert report.where("status = 'done'").count() == 2 and spark.read.json(str(out / "report")).count() == 4
+    assert sorted(p.name for p in (out / "files" / "one two").iterdir()) == ["named.bin", "named.gltf", "own.bin", "own.gltf", "resources"] and (out / "files" / "_SUCCESS").exists()
+    again = gltf.scenes(spark, str(out / "files"))
+    assert set(rows(gltf.tables(again).where("kind = 'error'").select("error"))) == {("extension " + gltf.COMPRESSION,)}
+    assert Counter(bytes(r["drc"]) for r in gltf.compressed_parts(again).collect()) == Counter(bytes(r["drc"]) for r in gltf.compressed_parts(gltf.transcoded(both).where("glb IS NOT NULL").select("path", F.col("glb").alias("content"))).collect())
+    assert (out / "files" / "one two" / "resources" / "own-0.png").read_bytes() == b"\x89PNG\r\n\x1a\n"
+
+
+def test_paths():
+    assert gltf.beside("file:/a/b/c.gltf", "../d%20e.bin") == "file:/a/d e.bin" and gltf.beside("hdfs://h:1/a/c.gltf", "d/e.bin") == "hdfs://h:1/a/d/e.bin"
+    assert gltf.beside("s3://x/c.gltf", "d.bin") == "s3://x/d.bin" and gltf.beside("/a/c.gltf", "http://h/d.bin") == "http://h/d.bin"
+
+
+def test_encoded_files(spark, tmp_path):
+    for k in range(2):
+        (tmp_path / "in" / str(k)).mkdir(parents=True)
+        (tmp_path / "in" / str(k) / "t.obj").write_text("v 0 0 0\nv 1 0 0\nv 0 1 0\nv 1 1 0\nf 1 2 3\n" + "f 2 4 3\n" * k)
+    export.encode_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert [drc.header((tmp_path / "out" / str(k) / "t.drc").read_bytes())["faces"] for k in range(2)] == [1, 2]
+
+
+def test_file_names(spark, tmp_path):
+    own = spark.createDataFrame([("a/x", bytearray(b"1")), ("y", None), (None, bytearray(b"2")), ("z", bytearray())], "name string, content binary")
+    files.write_files(own, str(tmp_path / "out"))
+    assert sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*") if p.is_file()) == ["_SUCCESS", "a/x", "z"]
+    with pytest.raises(Exception, match="outside the folder"):
+        files.write_files(spark.createDataFrame([("../x", bytearray(b"1"))], "name string, content binary"), str(tmp_path / "out"))
+
+
 def test_accessor_bounds():
     doc, body = document()
     doc["accessors"][0]["count"] = 99
