@@ -576,10 +576,12 @@ def base64_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from . import meshes
+    from . import documents, meshes  # noqa: F401 (documents registers its queries here)
 
     return _QUERIES | meshes.queries()
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import documents  # noqa: F401
+
     return dict(_SQL)
