@@ -34,6 +34,8 @@ PERCENT = 75
 LEADERS = 16
 #: A leader's set goes with so many others at most to one task's run.
 CHUNK = 200
+#: Members of a list in open components that a task pairs with as many others.
+BLOCK = 2_000
 
 
 def sketches(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
@@ -102,10 +104,16 @@ def open_pairs(entries: DataFrame, component: DataFrame) -> DataFrame:
     """(hub, b): pairs of a list in two components, one member outside the list's largest."""
     own = materialize(entries.join(component.withColumnRenamed("id", "rep"), "rep", "left").select("v", "rep", "n", "at", F.coalesce("component_id", "rep").alias("c")), "listed")
     count = own.groupBy("v", "c").agg(F.count(F.lit(1)).alias("members"))
-    major = count.groupBy("v").agg(F.max(F.struct("members", "c")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("v", F.col("most.c").alias("major"))
+    lists_ = count.groupBy("v").agg(F.max(F.struct("members", "c")).alias("most"), F.sum("members").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    major = lists_.select("v", F.col("most.c").alias("major"), blocks(F.col("all")).alias("columns"), blocks(F.col("all") - F.col("most.members")).alias("rows"))
     rest = materialize(own.join(major, "v"), "open-lists", narrow=True)
-    some = rest.where("c <> major").select("v", F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("at").alias("b_at"), F.col("c").alias("b_c"))
-    cross = rest.join(some, "v").where("c <> b_c AND (c = major OR rep < b)").where(_near("n", "at", "b_n", "b_at"))
+    # a list's pairs lie in a grid of blocks of members by blocks of members, so no task pairs all of a long list
+    dealt = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    some = rest.where("c <> major").select("v", dealt("rows").alias("row"), each("columns").alias("column"), F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("at").alias("b_at"), F.col("c").alias("b_c"))
+    every = rest.select("v", each("rows").alias("row"), dealt("columns").alias("column"), "rep", "n", "at", "c", "major")
+    cross = every.join(some, ["v", "row", "column"]).where("c <> b_c AND (c = major OR rep < b)").where(_near("n", "at", "b_n", "b_at"))
     return cross.select(F.col("rep").alias("hub"), "b").distinct()
 
 

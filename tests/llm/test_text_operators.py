@@ -201,6 +201,24 @@ def test_op6_many_near_copies(spark):
     assert {r["component_id"] for r in found} == {0}
 
 
+@pytest.mark.parametrize("block", [1, 3, minhash.BLOCK])
+def test_op6_open_pairs(spark, monkeypatch, block):
+    """Pairs of lists dealt in blocks are all pairs that could unite two components."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    own = {rep: (rep % 5 if rep % 3 else 0) for rep in range(24)}  # components of lists: a large one and others
+    entries = [(v, rep, 40 + rep % 4, 1 + (rep + v) % 6) for v in range(4) for rep in own if rep % (v + 1) == 0]
+    wanted = set()
+    for v, a, n, at in entries:
+        mine = [own[r] for w, r, *_ in entries if w == v]
+        major = max((mine.count(c), c) for c in mine)[1]
+        for w, b, m, be in entries:
+            near = (1 + min(n - at, m - be)) * 175 >= (n + m) * 75
+            if v == w and own[a] != own[b] and own[b] != major and (own[a] == major or a < b) and near:
+                wanted.add((a, b))
+    found = minhash.open_pairs(spark.createDataFrame(entries, "v long, rep long, n long, at long"), spark.createDataFrame(list(own.items()), "id long, component_id long")).collect()
+    assert len(found) == len(wanted) > 50 and {(r["hub"], r["b"]) for r in found} == wanted
+
+
 def test_op7(spark, folder, corpus_rows):
     from tokenizers import Tokenizer
 
