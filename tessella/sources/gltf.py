@@ -270,6 +270,8 @@ def _each(docs: DataFrame, f: Callable[[str, bytes, Callable[[str], bytes]], pa.
     return docs.select("path", "content", *(["files"] if "files" in docs.columns else [])).mapInArrow(run, schema)
 
 
+#: Rows of small documents go on together.
+BATCH_ROWS = 2_000
 TABLES = "file string, kind string, idx long, name string, parent long, mesh long, material long, mode long, matrix array<double>, body string, error string"
 
 
@@ -302,11 +304,19 @@ def tables(docs: DataFrame) -> DataFrame:
         for i, uri in enumerate(uris(doc)):
             yield {"kind": "dependency", "idx": i, "name": uri}
 
+    def together(own: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in own], k) for c, k in zip(names, kinds, strict=True)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            own: list[dict] = []
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = list(rows(name, body.as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.string()), *(pa.array([r.get(c) for r in own], k) for c, k in zip(names[1:], kinds[1:], strict=True))], names)
+                own += ({"file": name, **r} for r in rows(name, body.as_py()))
+                if len(own) >= BATCH_ROWS:
+                    yield together(own)
+                    own = []
+            if own:
+                yield together(own)
 
     return docs.select("path", "content").mapInArrow(run, TABLES)
 
