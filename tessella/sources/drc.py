@@ -317,7 +317,7 @@ def sequential_indices(triangles: list[tuple[int, int, int]], points: int) -> by
 
 
 def encode_meshes(faces: DataFrame, points: DataFrame) -> DataFrame:
-    """faces: mesh_id, face_idx, p0, p1, p2; points: mesh_id, point_idx, x, y, z and, if there, nx, ny, nz, u, v. mesh_id, drc."""
+    """faces: mesh_id, face_idx, p0, p1, p2; points: mesh_id, point_idx, x, y, z and, if there, nx, ny, nz, u, v. mesh_id, drc. What a point of a mesh lacks (null), the whole mesh goes without."""
     have = [c for c in ("nx", "ny", "nz", "u", "v") if c in points.columns]
 
     def run(key: tuple, f: pa.Table, p: pa.Table) -> pa.Table:
@@ -326,9 +326,10 @@ def encode_meshes(faces: DataFrame, points: DataFrame) -> DataFrame:
         triangles = [tuple(place[i] for i in t) for t in zip(*(f.column(c).to_pylist() for c in ("p0", "p1", "p2")), strict=True)]
         column = lambda names: np.stack([p.column(c).to_numpy().astype(np.float32) for c in names], 1)
         attributes = [Attribute("POSITION", column("xyz"))]
-        if "nx" in have:
+        whole = {c for c in have if not p.column(c).null_count}
+        if whole >= {"nx", "ny", "nz"}:
             attributes.append(Attribute("NORMAL", column(("nx", "ny", "nz")), 1))
-        if "u" in have:
+        if whole >= {"u", "v"}:
             attributes.append(Attribute("TEXTURE_COORDINATE", column("uv"), 1))
         return pa.table({"mesh_id": pa.array([key[0].as_py()], pa.int64()), "drc": pa.array([encode(triangles, attributes)], pa.binary())})
 
