@@ -2,10 +2,10 @@
 
 Each half of a vector has its own codebook (k-means on a bounded sample, `sample_rows`); pairs of codes form a product
 grid of cells, and every row lies in one. A row visits cells in ascending order of how far its halves would have to move
-to get there: the two sorted lists of squared margins are merged (multi-sequence traversal) up to the radius at which
-the target recall is reached. The radius comes from the threshold (a displacement of that length, evenly spread over all
-directions, ends outside with less than a thousandth) and from the pairs of the sample, held against brute force. Every
-row found is verified by its cosine in double precision.
+to get there (multi-sequence traversal of the two sorted lists of squared margins). Each visit adds the share of the row's
+possible neighbours that the cell holds, if a neighbour at the threshold lies in an evenly spread direction; the traversal
+of a row ends when the shares reach the target recall. A pair is found if either of its rows visits the other's cell. Pairs
+of the sample, held against brute force, widen the spread until the recall measured on them is high enough, too. Every row found is verified by its cosine in double precision.
 
 Equal vectors are one class with a count. A cell's rows are dealt to chunks, so tasks compare blocks of bounded size, and
 a block returns sums of links and a spanning forest of them, no pairs.
@@ -13,6 +13,7 @@ a block returns sums of links and a spanning forest of them, no pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,9 +28,13 @@ COSINE = 0.95
 SAMPLE_ROWS = 20_000
 #: Rows of a cell that the codebooks aim at, and their largest size.
 CELL_ROWS, CODES = 200, 256
-TARGET = 0.999
+#: Recall at which a row's traversal ends, the recall to be measured on pairs of the sample (either row finds a pair), and how many pairs.
+TARGET, MEASURED, PAIRS = 0.99, 0.999, 4000
 #: Rows and visitors of a cell that meet in one block.
 BLOCK_ROWS, BLOCK_VISITS = 1024, 4096
+#: How much of a normal distribution lies beyond each of these places.
+_PLACES = np.linspace(0, 9, 1801)
+_BEYOND = np.array([math.erfc(z / math.sqrt(2)) / 2 for z in _PLACES])
 
 
 @dataclass
@@ -37,7 +42,7 @@ class Index:
     size: int  #: dimensions
     half: int
     books: tuple[np.ndarray, np.ndarray]
-    radius: float  #: squared
+    spread: float  #: standard deviation, in any direction, of a neighbour at the threshold
     cosine: float
 
     def margins(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,33 +58,56 @@ class Index:
             cells = cells * len(book) + own
         return cells, out[0], out[1]
 
-    def visits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each row's cell, and (row, cell) of all visits."""
+    def shares(self, margins: np.ndarray) -> np.ndarray:
+        """For sorted squared margins of a half, the share of a row's neighbours in each code's region; they sum to 1."""
+        share = np.interp(np.sqrt(margins) / self.spread, _PLACES, _BEYOND, right=0.0)
+        share[:, 0] = np.maximum(1 - share[:, 1:].sum(1), 0.5)
+        return share / share.sum(1)[:, None]
+
+    def visits(self, x: np.ndarray, target: float = TARGET) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each row's cell and reach (the squared movement at which it stops), and (row, cell) of all visits."""
         cells, one, two = self.margins(x)
         first, second = one.argsort(1), two.argsort(1)
         one, two = np.take_along_axis(one, first, 1), np.take_along_axis(two, second, 1)
-        rows, found = [], []
-        for i in range(one.shape[1]):  # the two ascending lists are merged up to the radius
-            left = self.radius - one[:, i]
-            if not (left >= 0).any():
-                break
-            for j in range(two.shape[1]):
-                hit = np.flatnonzero(two[:, j] <= left)
-                if not len(hit):
-                    break
-                rows.append(hit)
-                found.append(first[hit, i] * len(self.books[1]) + second[hit, j])
-        return cells, np.concatenate(rows), np.concatenate(found)
-
-    def visited(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        p, q = self.shares(one), self.shares(two)
+        width = two.shape[1]
+        two = np.concatenate([two, np.full((len(x), 1), np.inf)], 1)
+        reach, seen, last = np.zeros(len(x)), np.zeros(len(x)), np.zeros(len(x))
+        place = np.zeros(one.shape, np.int64)  # for each place of the first list, the next one of the second
+        front = one + two[:, :1]  # what that next cell takes
+        rows, found, live = [], [], np.arange(len(x))
+        while len(live):
+            i = front[live].argmin(1)
+            cost = front[live, i]
+            # a row stops in a gap, so that rounding can't change what it visits
+            stop = np.isinf(cost) | ((seen[live] >= target) & (cost > last[live] * (1 + 1e-6) + 1e-12))
+            end = live[stop]
+            reach[end] = np.where(np.isinf(cost[stop]), np.inf, (last[end] + cost[stop]) / 2)
+            live, i, cost = live[~stop], i[~stop], cost[~stop]
+            j = place[live, i]
+            rows.append(live)
+            found.append(first[live, i] * width + second[live, j])
+            seen[live] += p[live, i] * q[live, j]
+            last[live] = cost
+            place[live, i] = j + 1
+            front[live, i] = one[live, i] + two[live, j + 1]
+        return cells, reach, np.concatenate(rows), np.concatenate(found)
+
+    def recall(self, one: np.ndarray, two: np.ndarray) -> float:
+        """The share of pairs of rows of which one visits the other's cell."""
+        (a, reach, _, _), (b, back, _, _) = self.visits(one), self.visits(two)
+        return float((self.visited(one, reach, b) | self.visited(two, back, a)).mean())
+
+    def visited(self, x: np.ndarray, reach: np.ndarray, cell: np.ndarray) -> np.ndarray:
         """Whether each row visits the cell beside it."""
         _, one, two = self.margins(x)
-        every = np.arange(len(x))
-        return two[every, cell % len(self.books[1])] <= self.radius - one[every, cell // len(self.books[1])]
+        every, width = np.arange(len(x)), len(self.books[1])
+        return one[every, cell // width] + two[every, cell % width] <= reach
 
 
 def unit(raw: list[bytes], size: int) -> np.ndarray:
     x = np.frombuffer(b"".join(raw), np.float64).reshape(-1, size)
+    x = x / np.abs(x).max(1)[:, None]  # squares of very large or small components would leave the range
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -105,21 +133,15 @@ def fit(vectors: DataFrame, size: int, rows: int, cosine: float = COSINE, sample
     x = unit(got.column(1).to_pylist(), size)[order]
     half = max(size // 2, 1)
     k = int(np.clip(np.sqrt(rows / CELL_ROWS), 1, CODES))
-    index = Index(size, half, (_means(x[:, :half], k), _means(x[:, half:], k)), 0.0, cosine)
-    spread = (2 - 2 * cosine) / size  # squared movement in one direction
-    index.radius = 9 * spread
-    cells, one, two = index.margins(x)
-    scores = []
+    index = Index(size, half, (_means(x[:, :half], k), _means(x[:, half:], k)), max(math.sqrt((2 - 2 * cosine) / size), 1e-9), cosine)
+    pairs = []
     for a in range(0, min(len(x), 4000), 500):
         i, j = np.nonzero(x[a : a + 500] @ x.T >= cosine)
-        i, j = i[j > i + a] + a, j[j > i + a]
-        n = len(index.books[1])
-        there = one[i, cells[j] // n] + two[i, cells[j] % n]
-        back = one[j, cells[i] // n] + two[j, cells[i] % n]
-        scores.append(np.minimum(there, back))
-    near = np.concatenate(scores) if scores else np.zeros(0)
-    if len(near) >= 100:
-        index.radius = max(index.radius, 1.5 * float(np.quantile(near, TARGET)))
+        pairs.append(np.stack([i[j > i + a] + a, j[j > i + a]]))
+    one, two = np.concatenate(pairs, 1) if pairs else np.zeros((2, 0), np.int64)
+    one, two = one[:PAIRS], two[:PAIRS]
+    while len(one) >= 100 and index.recall(x[one], x[two]) < MEASURED:
+        index.spread *= 1.25
     return index
 
 
@@ -130,26 +152,25 @@ def links(vectors: DataFrame, index: Index) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 2000):
                 part = batch.slice(i, 2000)
-                cells, rows, found = index.visits(unit(part.column(2).to_pylist(), index.size))
+                cells, reach, rows, found = index.visits(unit(part.column(2).to_pylist(), index.size))
                 take = pa.array(np.concatenate([np.arange(part.num_rows), rows]))
                 role = np.concatenate([np.zeros(part.num_rows, np.int32), np.ones(len(rows), np.int32)])
-                own = cells[np.concatenate([np.arange(part.num_rows), rows])]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([cells, found])), pa.array(role), pa.array(own), *(part.column(c).take(take) for c in range(3))], ["cell", "role", "own", "rep", "weight", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([cells, found])), pa.array(role), pa.array(cells).take(take), pa.array(reach).take(take), *(part.column(c).take(take) for c in range(3))], ["cell", "role", "own", "reach", "rep", "weight", "body"])
 
-    placed = materialize(vectors.select("rep", "weight", "body").mapInArrow(place, "cell long, role int, own long, rep long, weight long, body binary"), "visits")
+    placed = materialize(vectors.select("rep", "weight", "body").mapInArrow(place, "cell long, role int, own long, reach double, rep long, weight long, body binary"), "visits")
     # as many rows as cells, CODES squared at most
     sizes = placed.groupBy("cell").agg(F.ceil(F.count_if(F.col("role") == 0) / BLOCK_ROWS).alias("data"), F.ceil(F.count_if(F.col("role") == 1) / BLOCK_VISITS).alias("visits")).where("data > 0")
     dealt = placed.join(F.broadcast(materialize(sizes, "cells")), "cell")
     one = F.pmod(F.xxhash64("rep"), F.when(F.col("role") == 0, F.col("data")).otherwise(F.col("visits")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("role") == 0, F.col("visits")).otherwise(F.col("data")) - 1))
     dealt = dealt.select("*", one.alias("mine"), other.alias("theirs"))
-    dealt = dealt.select("cell", F.when(F.col("role") == 0, F.col("mine")).otherwise(F.col("theirs")).alias("d"), F.when(F.col("role") == 0, F.col("theirs")).otherwise(F.col("mine")).alias("q"), "role", "own", "rep", "weight", "body")
+    dealt = dealt.select("cell", F.when(F.col("role") == 0, F.col("mine")).otherwise(F.col("theirs")).alias("d"), F.when(F.col("role") == 0, F.col("theirs")).otherwise(F.col("mine")).alias("q"), "role", "own", "reach", "rep", "weight", "body")
     rows = dealt.repartition("cell", "d", "q").sortWithinPartitions("cell", "d", "q", "role")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
             t = pa.Table.from_batches(parts).combine_chunks()
-            role, own, rep, weight = (t.column(c).to_numpy() for c in ("role", "own", "rep", "weight"))
+            role, own, reach, rep, weight = (t.column(c).to_numpy() for c in ("role", "own", "reach", "rep", "weight"))
             x = unit(t.column("body").to_pylist(), index.size)
             n = int((role == 0).sum())
             if not n or n == len(x):
@@ -161,7 +182,7 @@ def links(vectors: DataFrame, index: Index) -> DataFrame:
             keep = np.where(own[i] == cell, rep[i] < rep[j], own[i] < cell)
             back = np.flatnonzero(own[i] > cell)
             if len(back):
-                keep[back] = ~index.visited(x[j[back]], own[i[back]])
+                keep[back] = ~index.visited(x[j[back]], reach[j[back]], own[i[back]])
             i, j = i[keep], j[keep]
             if not len(i):
                 return None
