@@ -5,8 +5,8 @@ rows (file, body, captures) of a table in the shared folder, written and read by
 copies them to real files.
 
 The capture index has a line a record, sorted by the URL with its host reversed, in zlib blocks of BLOCK_LINES lines: the
-second level. The first level is the sparse directory of each block's first key; a lookup is a binary search there, the
-reading of one or a few blocks, and range reads of the captures found.
+second level. The first level is the sparse directory of the first and last key of each run of blocks; a lookup is a binary
+search there, the reading of one or a few blocks, and range reads of the captures found.
 """
 
 from __future__ import annotations
@@ -23,12 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import materialize, table
+from .util import materialize, slices, table
 
 FILE_BYTES = 16 << 20
 BLOCK_LINES = 3000
-#: The directory goes to the driver up to so many blocks (some 100 bytes each); beyond, keys are joined.
-DIRECTORY_ROWS = 500_000
+#: Lines of the sparse directory (some 100 bytes each), which every task of a search holds: it has one for a run of
+#: consecutive blocks, of one block up to this number of blocks, of as many more beyond.
+DIRECTORY_ROWS = 250_000
 #: Repeated payloads up to so many are broadcast (some 60 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 100_000
 #: Pages have no capture time.
@@ -115,8 +116,8 @@ def write(pages: DataFrame, revisit_bytes: int = 0, file_bytes: int = FILE_BYTES
             return pa.RecordBatch.from_arrays([pa.array([f"{part:06d}-{k:05d}.warc.gz"]), pa.array([b"".join(body)], pa.binary()), pa.array([captures], kind)], ["file", "body", "captures"])
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                for row in batch.slice(i, 500).to_pylist():
+            for part_rows, _, _ in slices([batch], "payload"):
+                for row in part_rows.to_pylist():
                     digest = base64.b32encode(row["sha1"]).decode()
                     kind, payload = ("revisit", b"") if row["revisit"] else ("response", row["payload"])
                     member = _member(kind, row["page_id"], row["url"], digest, len(row["payload"]), payload, row["first"])
@@ -208,25 +209,27 @@ def keyed(urls: DataFrame) -> DataFrame:
 def search(keys: DataFrame, blocks: DataFrame) -> DataFrame:
     """keys: key. The captures of these keys, each once: key, page_id, file, offset, length."""
     asked = keys.select("key").distinct()
-    n = blocks.select("block").limit(DIRECTORY_ROWS + 1).count()
-    if n > DIRECTORY_ROWS:
-        return captures(blocks).join(asked, "key", "left_semi")
-    directory = sorted((r["first"], r["last"], r["block"]) for r in blocks.select("first", "last", "block").toLocalIterator())
+    spans = blocks.select("block", "first", "last")
+    long = max(1, -(-spans.count() // DIRECTORY_ROWS))
+    at = F.col("block").bitwiseAND((1 << 32) - 1)  # the block's place in its task
+    spans = spans.withColumn("run", F.col("block") - at % long)
+    runs = spans.groupBy("run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    directory = sorted((r["first"], r["last"], r["run"]) for r in runs.toLocalIterator())
     first, last, number = ([d[i] for d in directory] for i in range(3))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for key in batch.column(0).to_pylist():
-                i = bisect.bisect_left(last, key)  # the first block that ends at the key or after it
+                i = bisect.bisect_left(last, key)  # the first run that ends at the key or after it
                 while i < len(first) and first[i] <= key:
                     out.append((key, number[i]))
                     i += 1
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64())], ["key", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64())], ["key", "run"])
 
-    hits = materialize(asked.mapInArrow(find, "key string, block long"), "lookup")
-    needed = blocks.join(hits.select("block").distinct(), "block", "left_semi")
-    return captures(needed).join(hits.select("key").distinct(), "key", "left_semi")
+    hits = materialize(asked.mapInArrow(find, "key string, run long"), "lookup")
+    needed = spans.join(hits, "run").where("key BETWEEN first AND last").select("block").distinct()
+    return captures(blocks.join(needed, "block", "left_semi")).join(hits.select("key").distinct(), "key", "left_semi")
 
 
 def lookup(urls: DataFrame, blocks: DataFrame) -> DataFrame:
