@@ -61,6 +61,18 @@ def test_op3_searches_the_directory(spark, pages, monkeypatch):
     assert Counter((r["page_id"], r["url"]) for r in found) == Counter((i, u) for i, u, _ in rows)
 
 
+@pytest.mark.parametrize("most", [1, 3, 1000])
+def test_search_by_runs_of_blocks(spark, pages, monkeypatch, most):
+    """The same captures whatever the length of the sparse directory."""
+    archives = warc.write(spark.read.parquet(f"{pages[0]}/pages.parquet"))
+    blocks = warc.index(archives, 2)
+    monkeypatch.setattr(warc, "DIRECTORY_ROWS", most)
+    keys = warc.keyed(spark.createDataFrame([(u,) for _, u, _ in pages[1][::3]] + [("http://none.example.com/",)], "url string"))
+    wanted = {r["key"] for r in keys.collect()}
+    found = Counter((r["key"], r["page_id"]) for r in warc.search(keys, blocks).collect())
+    assert found == Counter((r["key"], r["page_id"]) for r in warc.captures(blocks).collect() if r["key"] in wanted) and found
+
+
 def test_surt():
     assert warc.surt("http://www.A.b.com/x?y#z") == "com,b,a)/x?y"
     assert warc.surt("https://u:p@a.com:443") == "com,a)/"
@@ -121,6 +133,44 @@ def test_op5(spark, tmp_path):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in found if r["vec_id"] is not None)
 
 
+def test_op5_traversal():
+    """Cells in strictly ascending order up to the row's reach, no cell twice, and the recall that was aimed at, in 64 dimensions."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = embedding.Index(64, 32, (embedding._means(x[:, :32], 12), embedding._means(x[:, 32:], 12)), (0.1 / 64) ** 0.5, 0.95)
+    q = x[:1500]
+    cells, reach, rows, found = index.visits(q)
+    _, one, two = index.margins(q)
+    for i in range(0, 1500, 50):
+        cost = one[i][:, None] + two[i]
+        mine = found[rows == i]
+        assert mine[0] == cells[i] and len(set(mine)) == len(mine)
+        assert (np.diff(cost.ravel()[mine]) >= -1e-12).all()
+        assert sorted(mine) == np.flatnonzero(cost.ravel() <= reach[i]).tolist()
+    move = rng.normal(size=q.shape)
+    move -= (move * q).sum(1)[:, None] * q
+    near = 0.95 * q + np.sqrt(1 - 0.95**2) * move / np.linalg.norm(move, axis=1)[:, None]
+    there = index.visited(q, reach, index.margins(near)[0])
+    assert there.mean() > 0.98 and index.recall(q, near) > 0.998
+    assert len(rows) < 0.4 * 144 * len(q)
+
+
+def test_op5_perturbed_copies(spark, tmp_path):
+    """64 dimensions: every link of perturbed copies, also of components whose squares leave the range of doubles."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 64))
+    x[600:] = x[:300] + rng.normal(size=(300, 64)) * 0.25
+    rows = [(i, (v * (1e200 if i % 3 == 1 else 1e-200 if i % 3 == 2 else 1)).tolist()) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in queries.queries()["op5_multi_index"](spark, str(tmp_path)).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    linked = u @ u.T >= 0.95
+    assert 200 < linked.sum() - 900 <= 600
+    for i in range(900):
+        assert found[i] == (linked[i].sum() - 1, np.flatnonzero(linked[i]).min())
+
+
 def test_op5_nothing(spark, tmp_path):
     spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/a/embeddings.parquet")
     spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/b/embeddings.parquet")
