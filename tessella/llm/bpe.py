@@ -4,12 +4,15 @@ Texts are split by the tokenizer's pattern; each distinct piece is encoded once
 later slices, within a bound). Pieces of like length form padded matrices of ids. In each round every row merges its
 leftmost pair of minimum rank; ranks of pairs come from a hashed table, only the pairs beside a merge are looked up
 again, and rows are compacted by the place that the merge frees. Rows without a pair leave the matrix.
+
+Long pieces are cut where two bytes meet that no token holds side by side: no merge can cross such a place. What is still
+long is a row of its own that merges all its pairs of minimum rank in a round, which comes to the same as the leftmost
+each time unless a merge makes a pair of lesser rank; then the round merges the leftmost alone.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .util import slices, table, texts
 
 NONE = np.int32(2**31 - 1)
-#: Pieces of more bytes are merged with a heap: a matrix would need a round for each byte.
-MATRIX_BYTES = 256
+#: Longer pieces are cut, and rows that stay longer merge all pairs of minimum rank in a round instead of one.
+ROW_BYTES = 256
 #: Encoded pieces that a worker keeps.
 KEEP = 400_000
 _BITS = 20
@@ -44,6 +47,11 @@ class Coder:
         self.byte = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         if (self.byte < 0).any():
             raise ValueError("every byte needs a rank")
+        self.side_by_side = np.zeros((256, 256), bool)
+        joined = np.frombuffer(b"".join(self.ranks), np.uint8)
+        ends = np.cumsum([len(x) for x in self.ranks])
+        within = np.setdiff1d(np.arange(len(joined) - 1), ends - 1)
+        self.side_by_side[joined[within], joined[within + 1]] = True
         self._index()
 
     @classmethod
@@ -128,42 +136,68 @@ class Coder:
                 left = np.flatnonzero(at > 0)
                 ranks[left, at[left] - 1] = self.pair_ranks(ids[left, at[left] - 1], ids[left, at[left]])
 
-    def _heap(self, piece: bytes) -> list[int]:
-        """The same merges for one long piece, by a heap of (rank, place) over a linked list."""
-        get, part = self.ranks.get, [piece[i : i + 1] for i in range(len(piece))]
-        after, before = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1))
-        heap = [(r, i) for i in range(len(part) - 1) if (r := get(part[i] + part[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i = heapq.heappop(heap)
-            j = after[i]
-            if not part[i] or j >= len(part) or get(part[i] + part[j]) != rank:
-                continue
-            part[i] += part[j]
-            part[j] = b""
-            after[i] = after[j]
-            if after[i] < len(part):
-                before[after[i]] = i
-                if (r := get(part[i] + part[after[i]])) is not None:
-                    heapq.heappush(heap, (r, i))
-            if before[i] >= 0 and (r := get(part[before[i]] + part[i])) is not None:
-                heapq.heappush(heap, (r, before[i]))
-        return [self.ranks[p] for p in part if p]
+    def _row(self, ids: np.ndarray) -> np.ndarray:
+        """Merges one long row: all its leftmost pairs of minimum rank in each round."""
+        ranks = self.pair_ranks(ids[:-1], ids[1:])
+        while len(ranks) and (least := ranks.min()) != NONE:
+            at = np.flatnonzero(ranks == least)
+            if len(at) > 1:  # of pairs that overlap every other one, from the left
+                new = np.concatenate([[True], np.diff(at) > 1])
+                at = at[(np.arange(len(at)) - np.flatnonzero(new)[np.cumsum(new) - 1]) % 2 == 0]
+                after = np.concatenate([[False], np.diff(at) == 2])  # the pair before has become one id
+                before = np.where(after, least, ids[at - 1])[1 if at[0] == 0 else 0 :]
+                behind = ids[at[at + 2 < len(ids)] + 2]
+                made = np.concatenate([self.pair_ranks(before, np.full_like(before, least)), self.pair_ranks(np.full_like(behind, least), behind)])
+                if len(made) and made.min() < least:
+                    at = at[:1]
+            ids[at] = least
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids, ranks = ids[keep], ranks[keep[1:]]
+            at = at - np.arange(len(at))
+            again = np.concatenate([at[at < len(ranks)], at[at > 0] - 1])
+            ranks[again] = self.pair_ranks(ids[again], ids[again + 1])
+        return ids
+
+    def _cuts(self, piece: bytes) -> list[int]:
+        """The places where a piece may be cut, its ends included."""
+        b = np.frombuffer(piece, np.uint8)
+        return [0, *(np.flatnonzero(~self.side_by_side[b[:-1], b[1:]]) + 1).tolist(), len(piece)]
 
     def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
         """The ids of distinct pieces as little-endian unsigned 32-bit numbers."""
         out: dict[str, bytes] = {}
-        raw, names = [], []
+        raw: list[bytes] = []
+        names: list[str | tuple[str, int]] = []
+        cut: dict[str, list[bytes]] = {}
         for piece in pieces:
             x = piece.encode()
             rank = self.ranks.get(x)
             if rank is not None:  # as the library does: a piece that has a rank is one id
                 out[piece] = rank.to_bytes(4, "little")
-            elif len(x) > MATRIX_BYTES:
-                out[piece] = np.array(self._heap(x), "<u4").tobytes()
+            elif len(x) > ROW_BYTES:
+                cuts = self._cuts(x)
+                cut[piece] = [b""] * (len(cuts) - 1)
+                for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                    if b - a > ROW_BYTES:
+                        cut[piece][k] = self._row(self.byte[np.frombuffer(x[a:b], np.uint8)]).astype("<u4").tobytes()
+                    else:
+                        raw.append(x[a:b])
+                        names.append((piece, k))
             else:
                 raw.append(x)
                 names.append(piece)
+        for name, ids in zip(names, self._rows(raw), strict=True):
+            if isinstance(name, tuple):
+                cut[name[0]][name[1]] = ids
+            else:
+                out[name] = ids
+        out.update((piece, b"".join(parts)) for piece, parts in cut.items())
+        return out
+
+    def _rows(self, raw: list[bytes]) -> list[bytes]:
+        """The ids of byte strings, merged in matrices of rows of like length."""
+        out = [b""] * len(raw)
         if not raw:
             return out
         size = np.array([len(x) for x in raw])
@@ -179,7 +213,7 @@ class Coder:
                 for found, x, n in self._matrix(ids, size[rows].copy()):
                     w, buffer = 4 * x.shape[1], x.astype("<u4").tobytes()
                     for k, (r, m) in enumerate(zip(rows[found].tolist(), (4 * n).tolist(), strict=True)):
-                        out[names[r]] = buffer[k * w : k * w + m]
+                        out[r] = buffer[k * w : k * w + m]
         return out
 
     def encode(self, strings: list[str]) -> list[bytes]:

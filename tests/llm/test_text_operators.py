@@ -4,7 +4,9 @@ import base64
 import hashlib
 import random
 import re
+import string
 import struct
+import tempfile
 import zlib
 from collections import Counter, defaultdict
 
@@ -153,10 +155,27 @@ def test_op4(spark, folder, corpus_rows):
     same(rows(queries.queries()["op4_byte_bpe"](spark, folder)), wanted)
 
 
-def test_op4_long_pieces_and_collisions():
-    c = bpe.Coder.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    for x in (b"ab" * 100, b"x" * 250, "é".encode() * 90, b"thethethe" * 20):
-        assert c.encode_pieces([x.decode()])[x.decode()] == np.array(c._heap(x), "<u4").tobytes()
+def test_op4_long_pieces():
+    """Pieces whose rows merge many pairs a round, pieces that are cut, and a table in which a merge makes a pair of lesser rank."""
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    rng = random.Random(3)
+    odd = {bytes([b]): b for b in range(256)} | {b"ab": 300, b"cd": 301, b"abcd": 299, b"abab": 302, b"ba": 310, b"bcd": 305, b"aa": 303, b"aaaa": 298, b"aab": 297, b"dab": 296}
+    for table, name in ((ranks, "multi"), (odd, "odd")):
+        path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+        if table is odd:
+            with tempfile.NamedTemporaryFile("w", suffix=".tiktoken", delete=False) as f:
+                f.write("".join(f"{base64.b64encode(a).decode()} {b}\n" for a, b in odd.items()))
+                path = f.name
+        c = bpe.Coder(path, public_tokenizers.PATTERN)
+        t = tiktoken.Encoding(name, pat_str="(?s).+", mergeable_ranks=table, special_tokens={})
+        alphabet = string.ascii_letters + string.digits + "+/"
+        texts = ["ab" * 100, "x" * 250, "x" * 4001, "é" * 900, "the" * 700, "aab" * 500, "日本語" * 300]
+        texts += ["".join(rng.choices(alphabet, k=n)) for n in (257, 700, 5000, 30000)] + ["".join(rng.choices("abcd", k=n)) for n in (40, 255, 400, 3000) for _ in range(5)]
+        for x in texts:
+            assert c.encode_pieces([x])[x] == np.array(t.encode_ordinary(x), "<u4").tobytes(), (name, x[:50], len(x))
 
 
 def test_op6(spark, folder, corpus_rows):
