@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import embedding, queries, warc
+from tessella.llm import embedding, oracles, queries, warc
 
 
 @pytest.fixture(scope="module")
@@ -34,6 +34,17 @@ def test_op3(spark, pages):
     assert found == sorted(wanted)
 
 
+def test_op3_sql(spark, pages):
+    import duckdb
+
+    folder, rows = pages
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{folder}/pages.parquet/*.parquet')")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
+    wanted = Counter(db.execute(f"SELECT {', '.join(columns)} FROM ({oracles.SQL['op3_warc']})").fetchall())
+    assert wanted == Counter(tuple(r[c] for c in columns) for r in queries.queries()["op3_warc"](spark, folder).collect())
+
+
 def test_lookup_and_files(spark, pages, tmp_path):
     folder, rows = pages
     archives = warc.write(spark.read.parquet(f"{folder}/pages.parquet"), file_bytes=2000)
