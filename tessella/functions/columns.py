@@ -96,6 +96,11 @@ def padded(n: Column, to: int = 4) -> Column:
     return (F.ceil(n / to) * to).cast("long")
 
 
+def base64(b: Column) -> Column:
+    """One line, whatever its length: Spark breaks lines after 76 characters."""
+    return F.translate(F.base64(b), "\r\n", "")
+
+
 # Octahedral mapping, in 32-bit floats.
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import base64
 from ..sources import gltf
 from ..tables import table
 from .catalog import query
@@ -26,7 +27,7 @@ def scenes(spark: SparkSession, sf_dir: str, external: bool = False) -> DataFram
     own = rows.groupBy("o_custkey").agg(F.sort_array(F.collect_list("o")).alias("o")).withColumn("n", F.size("o"))
     nodes = F.transform("o", lambda o: o.dropFields("key"))
     buffer = F.unhex(F.array_join(F.transform("o", lambda o: _little(o["key"])), ""))
-    uri = F.concat(F.lit("keys-"), c.cast("string"), F.lit(".bin")) if external else F.concat(F.lit("data:application/octet-stream;base64,"), F.base64(buffer))
+    uri = F.concat(F.lit("keys-"), c.cast("string"), F.lit(".bin")) if external else F.concat(F.lit("data:application/octet-stream;base64,"), base64(buffer))
     # mesh m has m + 1 primitives; the normals' accessor differs by primitive
     primitive = lambda m, p: F.struct(
         F.struct(F.lit(0).alias("POSITION"), F.lit(1 + p % 2).alias("NORMAL")).alias("attributes"), F.when((c + m + p) % 3 != 0, (c + m + p) % 2).alias("material"),
