@@ -63,6 +63,14 @@ def _waiting(half_edges: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "mesh_id long, corner long, mate long")
 
 
+def swings(adjacent: DataFrame) -> DataFrame:
+    """mesh_id, corner, swing: the corner of the same vertex in the face over the edge opposite to the next corner. A face's corners meet by face."""
+    own = F.struct("corner", "opp")
+    face = adjacent.groupBy("mesh_id", "face_idx").agg(*(F.max(F.when(F.col("corner") % 3 == k, own)).alias(f"c{k}") for k in range(3)))
+    rows = F.array(*(F.struct(F.col(f"c{k}.corner").alias("corner"), next_corner(F.col(f"c{(k + 1) % 3}.opp")).alias("swing")) for k in range(3)))
+    return face.select("mesh_id", F.inline(rows))
+
+
 def edges(faces: DataFrame) -> DataFrame:
     """mesh_id, a < b, uses: undirected edges and how many faces have them."""
     return corners(faces).groupBy("mesh_id", F.least("src", "snk").alias("a"), F.greatest("src", "snk").alias("b")).agg(F.count(F.lit(1)).alias("uses"))

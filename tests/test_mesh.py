@@ -540,3 +540,44 @@ def test_adjacency_of_crowded_soups(spark):
 def test_opposite_of_no_faces(spark):
     adjacent = topology.opposite(faces_of(spark, {0: [(0, 1, 2)]}).limit(0))
     assert topology.fans(adjacent).count() == 0 and topology.boundary_loops(adjacent).count() == 0
+
+
+def test_whole_meshes(spark, monkeypatch):
+    """Meshes in a task at once give what edges, corners and vertices give by joins; so do meshes too large for a task."""
+    from tessella.operators import surfaces
+
+    rng = random.Random(6)
+    soups = {m: [tuple(rng.randrange(4 + m) for _ in range(3)) for _ in range(40)] for m in range(7)}
+    soups |= {7: torus(6), 8: grid(5), 9: [(0, 1, 2), (0, 3, 4), (5, 6, 7)], 10: [(0, 1, 2), (0, 2, 1), (3, 2, 1)], 11: [(x * 10**17, y * 10**17, -z) for x, y, z in grid(4)], 12: [(3, 3, 3)]}
+    f = faces_of(spark, soups).withColumn("face_idx", F.col("face_idx") * 2 + 1)
+    for k in range(3):
+        f = f.withColumn(f"v{k}", F.when(F.col(f"p{k}") != 5, (F.col(f"p{k}") + F.col("face_idx").bitwiseAND(2)) % 3))
+    f = f.repartition(3).cache()
+    adjacent = topology.opposite(f)
+    seams = topology.seams(adjacent, surfaces._values(f))
+    want = {
+        "opposite": adjacent.select("mesh_id", "corner", "tip", "opp"),
+        "swings": topology.swings(adjacent),
+        "seams": seams.select("mesh_id", "corner", "opp", "is_seam"),
+        "fans": topology.fans(adjacent),
+        "split_vertices": topology.split_vertices(adjacent, topology.fans(adjacent)),
+        "components": topology.face_components(adjacent),
+        "loops": topology.boundary_loops(adjacent).groupBy("mesh_id", "loop").count(),
+    }
+    kept = points.drop_degenerate(f)
+    for most, least in ((10**6, 10**6), (10**6, 1), (30, 1)):
+        monkeypatch.setattr(surfaces, "MESH_FACES", most)
+        monkeypatch.setattr(surfaces, "FACE_ROWS", least)
+        for name, rows_ in want.items():
+            assert sorted(map(repr, rows(getattr(surfaces, name)(f)))) == sorted(map(repr, rows(rows_))), (name, most)
+        assert sorted(rows(surfaces.fans(f, cut=True))) == sorted(rows(topology.fans(seams, cut=True)))
+        told = {r["mesh_id"]: (r["triangles"], r["boundary_edges"]) for r in surfaces.figures(kept).collect()}
+        assert told == {r["mesh_id"]: (r["n"], r["boundary_edges"]) for r in topology.edge_report(kept).join(kept.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n")), "mesh_id").collect()}
+        assert surfaces.figures(kept).count() == points.used_points(kept).count()
+    odd = spark.createDataFrame([(None, 0, 0, 1, 2), (None, 1, 2, 1, 3), (1, 0, None, 1, 2), (1, 1, 2, 1, 3), (1, 2, 4, 2, None)], f.drop("v0", "v1", "v2").schema)
+    monkeypatch.setattr(surfaces, "MESH_FACES", 10**6)
+    assert all(r["opp"] is None for r in surfaces.opposite(odd).collect())
+    assert sorted(repr(tuple(r)) for r in surfaces.split_vertices(odd).collect()) == sorted(map(repr, [(1, 0, None), (1, 1, 1), (1, 2, 2), (1, 3, 5), (1, 4, 6), (1, 5, 3), (1, 6, 4), (1, 7, 7), (1, 8, 8)]))
+    assert {r["loop"]: r["boundary_edges"] for r in surfaces.loops(odd).where("mesh_id = 1").collect()} == {3: 3}
+    assert surfaces.loops(odd).where("mesh_id IS NULL").count() == 6
+    assert surfaces.loops(odd.limit(0)).count() == 0
