@@ -6,6 +6,7 @@ order (histograms, normalised frequencies, cumulative sums) is relational.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -200,8 +201,8 @@ def encode_symbols(symbols: list[int]) -> bytes:
     length = min(max(sum(s > 0 for s in symbols).bit_length() + 1, 1), 18)
     bits = PRECISION[length]
     counts = [0] * (max(symbols, default=0) + 1)
-    for s in symbols:
-        counts[s] += 1
+    for s, n in Counter(symbols).items():
+        counts[s] = n
     if not symbols:
         counts = [1]
     probs = frequencies(counts, bits)
@@ -211,9 +212,10 @@ def encode_symbols(symbols: list[int]) -> bytes:
         total += p
     base = 4 << bits
     state, out = base, bytearray()
+    full = [(base >> bits) * p << 8 for p in probs]
     for s in reversed(symbols):
-        p = probs[s]
-        while state >= (base >> bits) * p << 8:
+        p, most = probs[s], full[s]
+        while state >= most:
             out.append(state & 255)
             state >>= 8
         state = (state // p << bits) + state % p + starts[s]
