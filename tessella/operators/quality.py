@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from operator import add
 
@@ -17,6 +17,8 @@ from ..tables import written
 
 #: Rounds of the search for far faces, at most.
 LEVELS = 20
+#: Faces that go to each task as a whole, at most; some 300 KB.
+FEW_FACES = 4096
 
 
 def triangles(faces: DataFrame, positions: DataFrame) -> DataFrame:
@@ -30,7 +32,12 @@ def nearest_face(points: DataFrame, tris: DataFrame, cell: float, rings: int = 1
 
     Points meet faces by an equi-join on grid cells: a face lies in all cells of its bounding box, a point looks in its cell
     and those around. Distances up to rings * cell are proven by that; points without one go down the tree of `far_face`.
+    Where there are few faces in all, each task has them, and no point moves.
     """
+    few = tris.where(_finite(f"{v}{c}" for v in "abc" for c in "xyz")).select("mesh_id", *(F.col(f"{v}{c}").cast("double") for v in "abc" for c in "xyz")).limit(FEW_FACES + 1).toArrow()
+    if few.num_rows <= FEW_FACES:
+        return _among(points, few)
+
     def cells(low: Column, high: Column) -> Column:
         return F.sequence(F.floor(low / cell).cast("long"), F.floor(high / cell).cast("long"))
 
@@ -48,6 +55,72 @@ def nearest_face(points: DataFrame, tris: DataFrame, cell: float, rings: int = 1
     return points.select("mesh_id", "point_idx").join(best, ["mesh_id", "point_idx"], "left")
 
 
+def _among(points: DataFrame, few: pa.Table) -> DataFrame:
+    """nearest_face for faces that each task has: those whose box is nearer than some face's middle are measured."""
+    mesh = np.array([-1 if m is None else m for m in few.column("mesh_id").to_pylist()], np.int64)
+    known = few.column("mesh_id").is_valid().to_numpy()
+    corners = np.stack([few.column(k).to_numpy() for k in range(1, 10)], 1).reshape(-1, 3, 3) if len(mesh) else np.zeros((0, 3, 3))
+    own = {int(m): corners[known & (mesh == m)] for m in np.unique(mesh[known])}
+    rows = points.select("mesh_id", "point_idx", *(F.col(c).cast("double").alias(c) for c in "xyz"))
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields[:2]}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.array([-1 if m is None else m for m in batch.column(0).to_pylist()], np.int64)
+            p = np.stack([batch.column(k).fill_null(float("nan")).to_numpy(zero_copy_only=False) for k in range(2, 5)], 1)
+            sound = np.isfinite(p).all(1) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            dist, has = np.zeros(len(p)), np.zeros(len(p), bool)
+            for m in np.unique(at[sound]).tolist():
+                t = own.get(m)
+                if t is None:
+                    continue
+                asked, step = np.flatnonzero(sound & (at == m)), max(1, 500_000 // len(t))
+                for k in range(0, len(asked), step):
+                    dist[asked[k : k + step]] = _nearest(p[asked[k : k + step]], t)
+                has[asked] = True
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dist, mask=~has)], ["mesh_id", "point_idx", "dist"])
+
+    return rows.mapInArrow(run, f"mesh_id {types['mesh_id']}, point_idx {types['point_idx']}, dist double")
+
+
+def _nearest(p: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The distance of each point to the nearest of some triangles."""
+    low, high, middle = t.min(1), t.max(1), t.mean(1)
+    least, most = np.zeros((len(p), len(t))), np.zeros((len(p), len(t)))
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        for c in range(3):
+            x = p[:, c, None]
+            gap = np.maximum(np.maximum(low[:, c] - x, x - high[:, c]), 0)
+            least += gap * gap
+            most += (x - middle[:, c]) ** 2
+        rounding = 1e-14 * max(np.abs(p).max(), np.abs(t).max())
+        bound = np.sqrt(most.min(1)) * (1 + 1e-9) + rounding
+        point, face = np.nonzero(~(least > (bound * bound)[:, None]))
+        d = triangle_distance(p[point], t[face])
+    return np.fmin.reduceat(d, np.searchsorted(point, np.arange(len(p))))
+
+
+def triangle_distance(p: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """functions.columns.point_triangle_distance for rows of points and triangles."""
+    dot = lambda x, y: x[:, 0] * y[:, 0] + x[:, 1] * y[:, 1] + x[:, 2] * y[:, 2]
+
+    def segment(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        d = v - u
+        n = dot(d, d)
+        along = np.where(n > 0, np.clip(dot(p - u, d) / np.where(n > 0, n, 1), 0.0, 1.0), 0.0)
+        e = p - (u + d * along[:, None])
+        return dot(e, e)
+
+    a, b, c = t[:, 0], t[:, 1], t[:, 2]
+    ab, ac, ap = b - a, c - a, p - a
+    n = np.cross(ab, ac)
+    nn = dot(n, n)
+    safe = np.where(nn > 0, nn, 1)
+    w, v, height = dot(np.cross(ab, ap), n) / safe, dot(np.cross(ap, ac), n) / safe, dot(ap, n)
+    inside = (nn > 0) & (w >= 0) & (v >= 0) & (v + w <= 1)
+    return np.sqrt(np.where(inside, height * height / safe, np.minimum(np.minimum(segment(a, b), segment(b, c)), segment(c, a))))
+
+
 def _finite(columns: Iterable[str]) -> Column:
     return reduce(lambda a, b: a & b, (F.coalesce(F.abs(F.col(c).cast("double")) < float("inf"), F.lit(False)) for c in columns))
 

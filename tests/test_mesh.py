@@ -590,6 +590,23 @@ def _soup_bytes():
     return faces, [drc.Attribute("POSITION", x[:, :3]), drc.Attribute("TEXTURE_COORDINATE", x[:, 3:5], 1)], drc.Attribute("NORMAL", x[:, 5:] / np.linalg.norm(x[:, 5:], axis=1)[:, None], 1)
 
 
+def test_few_faces_in_each_task(spark, monkeypatch):
+    """Few faces go to the tasks, many are met by cells and boxes: the distances are the same, and points don't move for few."""
+    rng = random.Random(8)
+    tris = [(m, k, *(o[c] + rng.uniform(-s, s) for _ in "abc" for c in range(3))) for m in range(2) for k in range(60) for o, s in [([rng.uniform(-3, 3) for _ in "xyz"], rng.choice([0.01, 0.3, 2]))]]
+    tris += [(0, 60, *[1.0] * 9), (1, 60, *[float("nan")] * 9)]
+    asked = [(m, k, *(rng.uniform(-w, w) for _ in "xyz")) for m in range(3) for k in range(40) for w in [rng.choice([3, 15, 500])]] + [(0, 999, None, 0.0, 0.0), (0, 998, float("inf"), 0.0, 0.0)]
+    t = spark.createDataFrame(tris, "mesh_id long, face_idx long, " + ", ".join(f"{v}{c} double" for v in "abc" for c in "xyz"))
+    q = spark.createDataFrame(asked, "mesh_id long, point_idx long, x double, y double, z double")
+    near = quality.nearest_face(q, t, 0.25)
+    assert "Exchange" not in near._jdf.queryExecution().executedPlan().toString()
+    few = {r[:2]: r[2] for r in rows(near)}
+    monkeypatch.setattr(quality, "FEW_FACES", 5)
+    many = {r[:2]: r[2] for r in rows(quality.nearest_face(q, t, 0.25))}
+    assert few.keys() == many.keys() and len(few) == len(asked)
+    assert all((few[k] is None) == (many[k] is None) and (few[k] is None or abs(few[k] - many[k]) < 1e-9) for k in few)
+
+
 def test_compressed_bytes_and_calls():
     """The bytes of a soup with crowded edges, seams and loops, and how many calls a face costs."""
     import hashlib
